@@ -1 +1,3 @@
-"""The registered queries."""
+"""The registered queries: importing this package registers them all."""
+
+from ferryline.plans import assessment, basics, migration, tracking, workload, writes  # noqa: F401
