@@ -178,10 +178,10 @@ _HOURS = [(r, *A.BASE_HOURS[r], A.RANGE_RATIO[r]) for r in range(1, 6)]
 
 
 @query(f"""WITH {_GROUPS}, h AS (SELECT * FROM {sql_values(_HOURS, 'risk, lo, hi, ratio')}), u AS (SELECT text_hash, database_name, sum(lo) AS lo, sum(hi) AS hi, max(tag_risk) AS top FROM (SELECT DISTINCT sha256(sql_text) AS text_hash, database_name, tag, tag_risk FROM tags) x JOIN h ON h.risk = tag_risk GROUP BY 1, 2)
-          SELECT text_hash, database_name, round(greatest(u.lo, u.hi / h.ratio) * (1 - power(0.7, statements)) / 0.3, 4) AS min_hours, round(u.hi * (1 - power(0.7, statements)) / 0.3, 4) AS max_hours FROM grp JOIN u USING (text_hash, database_name) JOIN h ON h.risk = u.top""")
+          SELECT text_hash, database_name, round(greatest(u.lo, u.hi / h.ratio) * (1 - power(0.7, statements)) / 0.3 + 1e-9, 4) AS min_hours, round(u.hi * (1 - power(0.7, statements)) / 0.3 + 1e-9, 4) AS max_hours FROM grp JOIN u USING (text_hash, database_name) JOIN h ON h.risk = u.top""")
 def item_effort(s, d):
     lo, hi = A.item_effort(F.col("tags"), F.col("statements"))
-    return _groups(s, d).select("text_hash", "database_name", F.round(lo, 4).alias("min_hours"), F.round(hi, 4).alias("max_hours"))
+    return _groups(s, d).select("text_hash", "database_name", F.round(lo + 1e-9, 4).alias("min_hours"), F.round(hi + 1e-9, 4).alias("max_hours"))
 
 
 @query(f"WITH {_TAGS} SELECT event_id, 'risk-' || risk || ',' || 'c' || (event_id % 2) || ',' || CASE WHEN risk <= 2 THEN 'automatic' WHEN risk = 3 THEN 'semi-automatic' ELSE 'manual' END || CASE WHEN risk = 5 THEN ',requires-research' ELSE '' END AS tags FROM an")
