@@ -189,7 +189,7 @@ class Toxicity:
         words = words.withColumn("w", F.regexp_replace("w", r"[^\p{L}]+", "")).filter(F.length("w").between(3, LONGEST))
         rate1, rate0 = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
         counts = words.groupBy("w").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).filter("n1 >= 2")
-        best = counts.select("w", (rate1 * F.log(rate1 / rate0)).alias("g")).filter("g > 0").orderBy(F.desc("g"), "w").limit(landmarks)
+        best = counts.filter(rate1 >= 4 * rate0).select("w", (rate1 * F.log(rate1 / rate0)).alias("g")).filter("g > 0").orderBy(F.desc("g"), "w").limit(landmarks)
         marks = [x.w for x in best.collect()]
         if not marks:
             return cls([], np.zeros(0), 0.0, 1.0, float(np.log(n1 / n0)))
