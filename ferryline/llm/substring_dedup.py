@@ -123,7 +123,7 @@ def _joined(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
-    """``docs``: did, th, text. Paths with a repeated edge, for each document: did, th, spans array of (start, n, mask).
+    """``docs``: id, did, th, text. Paths with a repeated edge, for each document: did, th, spans array of (start, n, mask).
 
     ``mask`` has a bit for each repeated edge of the path, the first edge lowest.
     """
@@ -136,7 +136,7 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
             did, th = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[row], th[row], (start - first[row]).astype(np.int32), n.astype(np.int32), anchor, key)], ["did", "th", "start", "n", "anchor", "path"])
 
-    found = stage(docs.mapInArrow(cut, "did long, th long, start int, n int, anchor long, path long"), "paths")
+    found = stage(docs.select("did", "th", "text").mapInArrow(cut, "did long, th long, start int, n int, anchor long, path long"), "paths")
     twice = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     found = stage(found.join(twice, "anchor"), "paths-met")
 
@@ -158,7 +158,8 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, once, off.astype(np.int32), edge[at])], ["anchor", "path", "once", "off", "edge"])
 
     per_doc = open_.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "path", "copies", "start", "n")).alias("items"))
-    apart = docs.join(per_doc, ["did", "th"]).select("text", "items").mapInArrow(edges, "anchor long, path long, once boolean, off int, edge long")
+    # the id goes along so that this exchange of the texts is the one that strip reads again
+    apart = docs.join(per_doc, ["did", "th"]).select("id", "text", "items").mapInArrow(edges, "anchor long, path long, once boolean, off int, edge long")
     # equal rows give the same copy more than once: a path counts once for each edge
     shared = apart.groupBy("anchor", "edge").agg(F.min("path").alias("lo"), F.max("path").alias("hi")).filter("lo != hi").select("anchor", "edge")
     partly = apart.filter("once").join(shared, ["anchor", "edge"]).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
@@ -192,7 +193,6 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         raise ValueError("window must be 2 to 71 words")
     names = [id_col, *(carry or [])]
     slim = docs.select(F.struct(*names).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    texts = slim.select("did", "th", "text")
 
     def strip(batches):
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -209,7 +209,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), span)))], ["id", "n_words", "n_removed", "kept", "spans"])
 
-    joined = slim.join(repeated_runs(texts, window), ["did", "th"], "left").select("id", "text", "spans")
+    joined = slim.join(repeated_runs(slim, window), ["did", "th"], "left").select("id", "text", "spans")
     kind = slim.schema["id"].dataType.simpleString()
     out = joined.mapInArrow(strip, f"id {kind}, n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int>>")
     return out.select(*[F.col("id").getField(c).alias(c) for c in names], "n_words", "n_removed", "kept", "spans")
