@@ -112,7 +112,7 @@ def test_bpe_round_trip(odd):
 
 
 def test_models_and_rules_on_odd_rows(odd, empty, spark):
-    labelled = spark.createDataFrame([(i, f"what a {'stupid' if i % 4 == 1 else 'idiot'} thing number{i}" if i % 2 else f"a fine day for reading books number{i}", i % 2) for i in range(60)], "doc_id long, text string, toxic int")
+    labelled = spark.createDataFrame([(i, f"what a {'stupid' if i % 4 == 1 else 'idiot'} thing number{i}" if i % 2 else f"what a {'fine' if i % 4 else 'quiet'} thing number{i}", i % 2) for i in range(60)], "doc_id long, text string, toxic int")
     model = Toxicity.fit(labelled)
     probe = spark.createDataFrame([(1, "what an idxiot"), (2, "a fine book"), (3, "s-t-u-p-i-d day")], "doc_id long, text string")
     score = {r.doc_id: r.score for r in model.score(probe, "doc_id").collect()}
