@@ -33,11 +33,11 @@ NUM, NAME, UNIT = "\x01n", "\x01p", "\x01u"
 
 def canonical(word: str, starts: bool) -> tuple[str, str]:
     """(template token, value) of a word; punctuation around it doesn't count; ("", "") if nothing is left."""
-    core = _EDGE.sub("", word)
+    core = word if word.isalpha() else _EDGE.sub("", word)
     low = core.lower()
     if not core:
         return "", ""
-    if _NUMBER.match(core) or low in NUMBERS:
+    if low in NUMBERS or (not core.isalpha() and _NUMBER.match(core)):
         return NUM, low
     if low in UNITS:
         return UNIT, low
@@ -46,59 +46,82 @@ def canonical(word: str, starts: bool) -> tuple[str, str]:
     return low, low
 
 
+class _Known(dict):
+    """Word to the number of its entry; entries are made when a word is first met."""
+
+    def __init__(self, words: _Words, starts: bool):
+        self.words, self.starts = words, starts
+
+    def __missing__(self, word: str) -> int:
+        token, value = canonical(word, self.starts)
+        w = self.words
+        n = self[word] = len(w.tokens)
+        w.tokens.append(token)
+        w.values.append(value)
+        w.hashes.append(xxhash.xxh3_64_digest(token))
+        w.flags.append((token != "") + 2 * (token[:1] not in ("", "\x01")) + 4 * (word[-1] in ".!?:|"))
+        return n
+
+
 class _Words:
-    """Template tokens of texts; what a word becomes is remembered, up to a bound."""
+    """Entries (template token, value, hash; flags: 1 counts, 2 literal, 4 ends a sentence) of words seen so far, up to a bound."""
 
     def __init__(self):
-        self.known: dict[tuple[str, bool], tuple[str, str, bytes]] = {}
-
-    def of(self, text: str) -> list[tuple[str, str, bytes]]:
-        out, starts, known = [], True, self.known
-        for word in text.split():
-            found = known.get((word, starts))
-            if found is None:
-                token, value = canonical(word, starts)
-                if len(known) > 300_000:
-                    known.clear()
-                found = known[word, starts] = (token, value, xxhash.xxh3_64_digest(token))
-            if found[0]:
-                out.append(found)
-            starts = word[-1] in ".!?:|"
-        return out
-
-
-def _windows(tokens: list[tuple[str, str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        self.clear()
+
+    def clear(self) -> None:
+        self.tokens, self.values, self.hashes, self.flags = [], [], [], []
+        self.inside, self.first = _Known(self, False), _Known(self, True)
+
+    def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the numbers of its words that count, their hashes and whether they are literal."""
+        if len(self.tokens) > 300_000:
+            self.clear()
+        split = [t.split() for t in texts]
+        inside, first = self.inside, self.first
+        numbers = [np.array([inside[w] for w in words], np.int64) for words in split]
+        flags = np.array(self.flags, np.int64)
+        for words, n in zip(split, numbers):  # a sentence's first word is read as such
+            for i in np.flatnonzero(np.append(4, flags[n[:-1]])[: len(n)] & 4).tolist():
+                n[i] = first[words[i]]
+        flags, hashes = np.array(self.flags, np.int64), np.frombuffer(b"".join(self.hashes), ">u8").astype(np.uint64)
+        for n in numbers:
+            n = n[flags[n] & 1 == 1]
+            yield n, hashes[n], flags[n] & 2 == 2
+
+
+def _windows(h: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window, and whether it has enough literal words."""
-    if len(tokens) < WIDTH:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    h = np.frombuffer(b"".join([t[2] for t in tokens]), ">u8").astype(np.uint64)
     n = len(h) - WIDTH + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     x = np.zeros(n, np.uint64)
     for k in range(WIDTH):
         x = (x ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(31)
-    literal = np.cumsum([0] + [t[0][0] != "\x01" for t in tokens])
-    return x.view(np.int64), literal[WIDTH:] - literal[:-WIDTH] >= LITERAL
+    sums = np.concatenate([[0], np.cumsum(literal)])
+    return x.view(np.int64), sums[WIDTH:] - sums[:-WIDTH] >= LITERAL
 
 
 def _hits(few: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            keys, at, hs, tokens, values = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                toks = words.of(text.as_py() or "")
-                h, ok = _windows(toks)
-                if few is not None and len(h):
-                    place = np.minimum(np.searchsorted(few, h), len(few) - 1)
-                    ok = ok & (few[place] == h) if len(few) else ok & False
-                for i in np.flatnonzero(ok).tolist():
-                    keys.append(key)
-                    at.append(i)
-                    hs.append(int(h[i]))
-                    tokens.append([t[0] for t in toks[i : i + WIDTH]])
-                    values.append([t[1] for t in toks[i : i + WIDTH]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(at, pa.int32()), pa.array(hs, pa.int64()), *(pa.array(x, pa.list_(pa.string())) for x in (tokens, values))], ["key", "at", "h", "tokens", "vals"])
+            for lo in range(0, batch.num_rows, 500):
+                keys, at, hs, tokens, values = [], [], [], [], []
+                part = batch.slice(lo, 500)
+                names = part.column(0).to_pylist()
+                for key, (n, h, literal) in zip(names, words.of([t or "" for t in part.column(1).to_pylist()])):
+                    h, ok = _windows(h, literal)
+                    if few is not None:
+                        ok = ok & (few[np.minimum(np.searchsorted(few, h), len(few) - 1)] == h) if len(few) else ok & False
+                    for i in np.flatnonzero(ok).tolist():
+                        keys.append(key)
+                        at.append(i)
+                        hs.append(int(h[i]))
+                        tokens.append([words.tokens[k] for k in n[i : i + WIDTH]])
+                        values.append([words.values[k] for k in n[i : i + WIDTH]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(at, pa.int32()), pa.array(hs, pa.int64()), *(pa.array(x, pa.list_(pa.string())) for x in (tokens, values))], ["key", "at", "h", "tokens", "vals"])
 
     return run
 
@@ -145,4 +168,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sha
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(words.of(t or "")) for t in batch.column(1).to_pylist()], pa.int32())], ["key", "total"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(n) for n, _, _ in words.of([t or "" for t in batch.column(1).to_pylist()])], pa.int32())], ["key", "total"])
