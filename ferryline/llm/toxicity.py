@@ -79,6 +79,8 @@ class Kernel:
         self.matrix[:, :] /= np.maximum(size, 1e-9)
         self.place = np.full(TABLE, len(codes), np.int32)
         self.place[codes] = np.arange(len(codes))
+        row, self.column = np.nonzero(self.matrix)
+        self.cell, self.start = self.matrix[row, self.column], np.searchsorted(row, np.arange(len(self.matrix) + 1))
         self.most = self.matrix.max(axis=1, initial=0)
 
     def __call__(self, words: list[str]) -> list[np.ndarray | None]:
@@ -93,11 +95,11 @@ class Kernel:
         near = np.flatnonzero(bound > FLOOR)
         take = (bound > FLOOR)[who] & (at < len(self.matrix) - 1)
         who, at, weight = np.searchsorted(near, who[take]), at[take], weight[take]
-        rank = np.arange(len(who)) - np.searchsorted(who, who)
-        value = np.zeros((len(near), self.matrix.shape[1]), np.float32)
-        for r in range(int(rank.max(initial=-1)) + 1):  # the r-th subsequence of every word at once
-            own = rank == r
-            value[who[own]] += self.matrix[at[own]] * weight[own, None]
+        # a subsequence stands in few landmarks: only their cells are added up
+        n, m = self.start[at + 1] - self.start[at], self.matrix.shape[1]
+        row = np.repeat(np.arange(len(at)), n)
+        cell = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.start[at][row]
+        value = np.bincount(who[row] * m + self.column[cell], self.cell[cell] * weight[row], len(near) * m).reshape(len(near), m)
         value = np.minimum(value / size[near, None], 1)
         value = np.maximum(value - FLOOR, 0).astype(np.float32) / np.float32(1 - FLOOR)
         for k in np.flatnonzero(value.max(axis=1, initial=0) > 0):
