@@ -115,12 +115,12 @@ def _mapped(landmarks: list[str], then=None, names=("id", "z")):
         for batch in batches:
             texts, n = batch.column(batch.num_columns - 1), batch.num_rows
             z = np.zeros((n, len(landmarks)), np.float32)
-            for lo in range(0, n, 500):
+            for lo in range(0, n, 150):
                 sets = []
-                for t in texts.slice(lo, 500):
+                for t in texts.slice(lo, 150):
                     t = t.as_py() or ""
                     sets.append({*t.split(), *(_NO_LETTER.sub("", x) for x in _SPELLED.findall(t))})
-                if len(known) > 400_000:
+                if len(known) > 250_000:
                     known.clear()
                 new = [w for w in set().union(*sets) if w not in known]
                 parts = [normal(w) for w in new]
