@@ -26,6 +26,8 @@ SHAPES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 DECAY, TABLE = 0.7, 1 << 20
 #: Kernel values up to this are taken as 0.
 FLOOR = 0.5
+#: Words compared with the landmarks in one go, and words whose values a task remembers.
+BLOCK, REMEMBERED = 2048, 100_000
 #: Partitions of the rows learned from.
 PARTS = 24
 #: Words with more letters are compared by the first ones of each half-overlapping part of this length.
@@ -103,7 +105,7 @@ class Kernel:
         value = np.minimum(value / size[near, None], 1)
         value = np.maximum(value - FLOOR, 0).astype(np.float32) / np.float32(1 - FLOOR)
         for k in np.flatnonzero(value.max(axis=1, initial=0) > 0):
-            out[near[k]] = value[k]
+            out[near[k]] = value[k].copy()  # a view would keep all of them in memory
         return out
 
 
@@ -120,7 +122,7 @@ def _mapped(landmarks: list[str], then=None, names=("id", "z")):
                 for t in texts.slice(lo, 150):
                     t = t.as_py() or ""
                     sets.append({*t.split(), *(_NO_LETTER.sub("", x) for x in _SPELLED.findall(t))})
-                if len(known) > 250_000:
+                if len(known) > REMEMBERED:
                     known.clear()
                 new = [w for w in set().union(*sets) if w not in known]
                 parts = [normal(w) for w in new]
@@ -130,9 +132,10 @@ def _mapped(landmarks: list[str], then=None, names=("id", "z")):
                         flat.append(p[cut : cut + LONGEST])
                         owner.append(k)
                 known.update(dict.fromkeys(new))
-                for k, v in zip(owner, kernel(flat)):
-                    if v is not None:
-                        known[new[k]] = v if known[new[k]] is None else np.maximum(known[new[k]], v)
+                for at in range(0, len(flat), BLOCK):
+                    for k, v in zip(owner[at : at + BLOCK], kernel(flat[at : at + BLOCK])):
+                        if v is not None:
+                            known[new[k]] = v if known[new[k]] is None else np.maximum(known[new[k]], v)
                 for k, words in enumerate(sets):
                     for w in words:
                         v = known[w]
