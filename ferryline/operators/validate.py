@@ -94,3 +94,45 @@ APPLY_ORDER = ["table", "view", "function", "procedure", "trigger"]
 def type_rank(kind: Column, order: list[str] | None = None) -> Column:
     order = order or APPLY_ORDER
     return F.coalesce(*[F.when(kind == k, F.lit(i)) for i, k in enumerate(order)], F.lit(len(order)))
+
+
+#: Object types, and the types that each configuration file concerns, by the pattern of its name.
+ALL_TYPES = ["function", "procedure", "table", "trigger", "view"]
+CONFIG_FILES = [
+    (r"^(type|function|schema)-mappings\.json$", ALL_TYPES),
+    (r"^stored-procedure\..*\.md$", ["procedure"]),
+    (r"^function\..*\.md$", ["function"]),
+    (r"^view\..*\.md$", ["view"]),
+    (r"^trigger\..*\.md$", ["trigger"]),
+    (r"^complex-object\..*\.md$", ALL_TYPES),
+]
+
+
+def changed_types(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Object types that added, removed or changed configuration files (file_name, sha) concern."""
+    p = previous.select("file_name", F.col("sha").alias("_was"))
+    j = current.select("file_name", "sha").join(p, "file_name", "full").filter(~F.col("sha").eqNullSafe(F.col("_was")))
+    kinds = F.coalesce(*[F.when(F.col("file_name").rlike(x), F.array(*[F.lit(k) for k in kinds])) for x, kinds in CONFIG_FILES])
+    return j.select(F.explode(kinds).alias("object_type")).distinct()
+
+
+#: Category of each object type in the order of scripts; wrappers are 8, other types last.
+SCRIPT_ORDER = {"schema": 0, "type": 1, "sequence": 2, "table": 3, "constraint": 3, "index": 4, "function": 5, "procedure": 5, "trigger": 6, "view": 7, "synonym": 7, "permission": 9}
+
+
+def script_order(objects: DataFrame, depends: DataFrame, wrapped: Column) -> DataFrame:
+    """object_name, is_wrapper and place of each script: by category, dependencies inside it, name.
+
+    ``objects``: object_name, object_type; ``depends``: src, dst. Where
+    ``wrapped`` holds there is a wrapper script besides the main one.
+    """
+    from ferryline.operators.relational import numbered
+
+    category = F.coalesce(*[F.when(F.col("object_type") == k, F.lit(i)) for k, i in SCRIPT_ORDER.items()], F.lit(10))
+    o = objects.withColumn("category", category).withColumn("_wrapped", wrapped)
+    src, dst = (o.select(F.lower("object_name").alias(k), F.col("category").alias(f"c_{k}")) for k in ("src", "dst"))
+    edges = depends.select(F.lower("src").alias("src"), F.lower("dst").alias("dst")).distinct()
+    inside = edges.join(src, "src").join(dst, "dst").filter("c_src = c_dst").groupBy("src").agg(F.count("*").alias("n"))
+    main = o.join(inside, F.lower("object_name") == F.col("src"), "left").select("object_name", F.lit(False).alias("is_wrapper"), "category", F.coalesce("n", F.lit(0)).alias("n"))
+    wrapper = o.filter("_wrapped").select("object_name", F.lit(True).alias("is_wrapper"), F.lit(8).alias("category"), F.lit(0).cast("long").alias("n"))
+    return numbered(main.unionByName(wrapper), [F.asc("category"), F.asc("n"), F.asc("object_name")], "place").select("object_name", "is_wrapper", "place")
