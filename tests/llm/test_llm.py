@@ -136,13 +136,14 @@ def test_decontamination(odd, spark, empty):
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/1?x=1", "https://a.example.org/en/12", "https://a.com/fr/x", "http://com/de/", "http://x.net", "ftp://b.spam.biz/buy?ref=1"]
+    urls = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/1?x=1", "https://a.example.org/en/12", "https://a.com/fr/x", "http://com/de/", "http://x.net", "ftp://b.spam.biz/buy?ref=1", "http://e.net/" + "/".join("abcdefghijklmnop") + "/buy"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     labels = spark.createDataFrame([(f"ftp://b{i}.spam.biz/buy", True) for i in range(20)] + [(f"http://c{i}.good.net/", False) for i in range(20)], "url string, bad boolean")
     got = {r.page_id: r for r in url_filter(pages, labels, Q.URL_RULES).collect()}
-    assert [got[i].rule for i in range(9)] == [None, None, None, "example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None]
+    assert [got[i].rule for i in range(10)] == [None, None, None, "example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None]
     assert got[3].host == "www.example.org" and got[3].path == "/es/1" and got[8].verdict == "block" and got[7].verdict == "allow"
-    assert url_filter(pages, labels.filter("false"), Q.URL_RULES).count() == 9
+    assert got[9].verdict == "block"  # by its last token
+    assert url_filter(pages, labels.filter("false"), Q.URL_RULES).count() == 10
 
 
 def test_chats(spark):
