@@ -30,10 +30,9 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
-    """doc_id, text and label of the labelled documents outside the held-out fold."""
-    own = labels.filter(fold_of(F.col("doc_id"), folds) != held_out).select("doc_id", label)
-    return docs.select("doc_id", "text").join(own, "doc_id")
+def known_labels(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """doc_id and label of the labels outside the held-out fold."""
+    return labels.filter(fold_of(F.col("doc_id"), folds) != held_out).select("doc_id", label)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = Toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 5, 0))
+    model = Toxicity.fit(docs, known_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0))
     out = model.score(docs, "doc_id")
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -55,7 +54,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = Quality.fit(labelled(docs, table(spark, sf_dir, "labels"), "quality", 3, 1))
+    model = Quality.fit(docs.select("doc_id", "text").join(known_labels(table(spark, sf_dir, "labels"), "quality", 3, 1), "doc_id"))
     out = model.score(docs, ["doc_id"])
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -178,13 +178,23 @@ class Toxicity:
         self.landmarks, self.weights, self.offset, self.slope, self.shift = landmarks, weights, offset, slope, shift
 
     @classmethod
-    def fit(cls, rows: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", landmarks: int = 256, fit_rows: int = 4000, cost: float = 10.0) -> Toxicity:
-        """Learn from labelled rows, of which at most ``fit_rows`` of each class, in the order of their ids' hashes.
-
-        Without rows of both classes every text gets the share of toxic rows (0.5 without rows).
+    def fit(cls, rows: DataFrame, labels: DataFrame | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", landmarks: int = 256, fit_rows: int = 4000, cost: float = 10.0) -> Toxicity:
+        """Learn from the texts of ``rows`` that ``labels`` (by default ``rows`` itself) marks 0 or 1.
+
+        At most ``fit_rows`` ids of each class are learned from, in the order of
+        their hashes. They are chosen before any text is read; of an id's
+        repeated labels the largest counts, of its texts the smallest. Null
+        ids and null labels are left out. Without rows of both classes every
+        text gets the share of toxic rows (0.5 without rows).
         """
-        r = rows.filter(F.col(label_col).isNotNull()).select(F.xxhash64(id_col).alias("k"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("t"))
-        sample = stage(r.filter("y = 1").orderBy("k", "t").limit(fit_rows).unionByName(r.filter("y = 0").orderBy("k", "t").limit(fit_rows)).repartition(PARTS, "k"), "sample")
+        y = F.col(label_col).cast("int")
+        marked = (rows if labels is None else labels).filter(y.isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(y).alias("y"))
+        texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+        known = stage(marked.join(texts.select("id"), "id", "left_semi").withColumn("k", F.xxhash64("id")), "labelled")
+        count = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        part = lambda v: known.filter((F.col("y") == v) & (F.col("k") / 2.0**64 + 0.5 <= (1.5 * fit_rows + 1000) / count.get(v, 1))).orderBy("k", "id").limit(fit_rows)
+        chosen = stage(part(1).unionByName(part(0)), "chosen")  # 2 * fit_rows rows at most
+        sample = stage(texts.join(F.broadcast(chosen), "id").groupBy("id", "k", "y").agg(F.min("t").alias("t")).repartition(PARTS, "k"), "sample")
         found = {x.y: x.n for x in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
         n1, n0 = found.get(1, 0), found.get(0, 0)
         if not n1 or not n0:
