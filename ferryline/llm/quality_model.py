@@ -45,8 +45,13 @@ class Quality:
     @classmethod
     def fit(cls, rows: DataFrame, label_col: str = "quality", text_col: str = "text", shrink: float = 0.1) -> Quality:
         """Learn from all labelled rows by one aggregation. Without rows of both classes all get the prior."""
+        return cls.fit_counts(with_counts(rows, text_col, [label_col]), label_col, shrink)
+
+    @classmethod
+    def fit_counts(cls, counts: DataFrame, label_col: str = "quality", shrink: float = 0.1) -> Quality:
+        """``fit``, from counts of ``with_counts`` and the label."""
         names = list(statistics())
-        x = with_counts(rows.filter(F.col(label_col).isin(0, 1)), text_col, [label_col]).select(F.col(label_col).alias("_y"), *[c.alias(k) for k, c in statistics().items()])
+        x = counts.filter(F.col(label_col).isin(0, 1)).select(F.col(label_col).alias("_y"), *[c.alias(k) for k, c in statistics().items()])
         sums = [F.count("*").alias("n"), *[F.sum(a).alias(a) for a in names]]
         sums += [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
         got = {r["_y"]: r for r in x.groupBy("_y").agg(*sums).collect()}
@@ -86,5 +91,9 @@ class Quality:
         Null and empty texts have all counts 0 and are scored like any; repeated
         rows get equal scores; an empty table gives an empty result.
         """
-        rows = with_counts(docs, text_col, keep).select(*keep, *[c.alias(k) for k, c in statistics().items()])
+        return self.score_counts(with_counts(docs, text_col, keep), keep)
+
+    def score_counts(self, counts: DataFrame, keep: list[str]) -> DataFrame:
+        """``score``, from counts of ``with_counts``."""
+        rows = counts.select(*keep, *[c.alias(k) for k, c in statistics().items()])
         return rows.select(*keep, self.probability().alias("score"))

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ferryline.llm.bpe_tokens import bpe_encode
 from ferryline.llm.chat_format import chat_format
-from ferryline.llm.common import fold_of, table
+from ferryline.llm.common import fold_of, stage, table
 from ferryline.llm.decontaminate import contaminated
 from ferryline.llm.quality_model import Quality
 from ferryline.llm.quality_rules import quality_rules
 from ferryline.llm.sharding import shard_documents
 from ferryline.llm.simhash_dedup import simhash_dedup
 from ferryline.llm.substring_dedup import substring_dedup
+from ferryline.llm.textstats import with_counts
 from ferryline.llm.toxicity import Toxicity
 from ferryline.llm.url_filters import url_filter
 
@@ -53,9 +54,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = Quality.fit(docs.select("doc_id", "text").join(known_labels(table(spark, sf_dir, "labels"), "quality", 3, 1), "doc_id"))
-    out = model.score(docs, ["doc_id"])
+    # labels are joined to the counts, so that texts are read once and never shuffled
+    counts = stage(with_counts(table(spark, sf_dir, "documents"), "text", ["doc_id"]), "counts")
+    model = Quality.fit_counts(counts.join(known_labels(table(spark, sf_dir, "labels"), "quality", 3, 1), "doc_id"))
+    out = model.score_counts(counts, ["doc_id"])
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
