@@ -4,12 +4,14 @@ Numbers, names and units become typed placeholders, so a question asked again
 with other values has the same template. Windows of the template are hashed
 and joined; for documents that share windows with an item, what stood in the
 placeholders is compared: each benchmark value must always have become the
-same value, and the other way round.
+same value. Windows at nearby distances count together, so a word put in or
+left out doesn't split an item.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,20 +92,29 @@ class _Words:
             yield n, hashes[n], flags[n] & 2 == 2
 
 
-def _windows(h: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _windows(h: np.ndarray, literal: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window, and whether it has enough literal words."""
-    n = len(h) - WIDTH + 1
+    n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     x = np.zeros(n, np.uint64)
-    for k in range(WIDTH):
+    for k in range(width):
         x = (x ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(31)
     sums = np.concatenate([[0], np.cumsum(literal)])
-    return x.view(np.int64), sums[WIDTH:] - sums[:-WIDTH] >= LITERAL
+    return x.view(np.int64), sums[width:] - sums[:-width] >= LITERAL
 
 
-def _hits(few: np.ndarray | None):
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def _hits(few: np.ndarray | None, whole: dict[int, np.ndarray] | None = None):
+    """Windows of (key, text): those of ``few`` (all if None), and those with the lengths and hashes of ``whole``.
+
+    Without ``whole`` the texts are items: one without a usable window is a single window of its own length.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
@@ -111,56 +122,122 @@ def _hits(few: np.ndarray | None):
                 keys, at, hs, tokens, values = [], [], [], [], []
                 part = batch.slice(lo, 500)
                 names = part.column(0).to_pylist()
-                for key, (n, h, literal) in zip(names, words.of([t or "" for t in part.column(1).to_pylist()])):
-                    h, ok = _windows(h, literal)
+                for key, (n, hashes, literal) in zip(names, words.of([t or "" for t in part.column(1).to_pylist()])):
+                    h, ok = _windows(hashes, literal)
                     if few is not None:
-                        ok = ok & (few[np.minimum(np.searchsorted(few, h), len(few) - 1)] == h) if len(few) else ok & False
-                    for i in np.flatnonzero(ok).tolist():
+                        ok = ok & _among(h, few)
+                    found = [(i, WIDTH, int(h[i])) for i in np.flatnonzero(ok).tolist()]
+                    if whole is None:
+                        if not found and len(n):
+                            found = [(0, len(n), int(_windows(hashes, literal, len(n))[0][0]))]
+                    else:
+                        for size, known in whole.items():
+                            h, _ = _windows(hashes, literal, size)
+                            found += [(i, size, int(h[i])) for i in np.flatnonzero(_among(h, known)).tolist()]
+                    for i, size, x in found:
                         keys.append(key)
                         at.append(i)
-                        hs.append(int(h[i]))
-                        tokens.append([words.tokens[k] for k in n[i : i + WIDTH]])
-                        values.append([words.values[k] for k in n[i : i + WIDTH]])
+                        hs.append(x)
+                        tokens.append([words.tokens[k] for k in n[i : i + size]])
+                        values.append([words.values[k] for k in n[i : i + size]])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(at, pa.int32()), pa.array(hs, pa.int64()), *(pa.array(x, pa.list_(pa.string())) for x in (tokens, values))], ["key", "at", "h", "tokens", "vals"])
 
     return run
 
 
+def _cover(windows: list[tuple]) -> tuple[int, int]:
+    """Item words covered and values changed by the windows (pos, size, slots (token and benchmark value, document value, changed)).
+
+    A window counts if its values are unchanged, or each of its benchmark values has one counterpart in all windows.
+    """
+    became = defaultdict(set)
+    for _, _, slots in windows:
+        for was, now, _ in slots:
+            became[was].add(now)
+    words, changed = set(), set()
+    for pos, size, slots in windows:
+        if not any(c for _, _, c in slots) or all(len(became[was]) == 1 for was, _, _ in slots):
+            words.update(range(pos, pos + size))
+            changed.update(was for was, _, c in slots if c)
+    return len(words), len(changed)
+
+
+def best_cover(windows: list[tuple], total: int) -> tuple[int, int]:
+    """Of windows (at, pos, size, slots) of one text and an item of ``total`` words the largest cover, with the fewest changed values.
+
+    Each shift is tried alone, and with its neighbours no farther than half
+    the item from one to the next. There, a window that fits several places is
+    tried at all of them and at the one whose shift has most windows.
+    """
+    shifts = defaultdict(list)
+    for w in windows:
+        shifts[w[0] - w[1]].append(w)
+    tries, near, last = list(shifts.values()), [], None
+    for s in sorted(shifts):
+        if last is None or s - last > max(total / 2, 1):
+            near.append([])
+        near[-1].append(s)
+        last = s
+    for group in near:
+        if len(group) > 1:
+            rows = sorted((w for s in group for w in shifts[s]), key=lambda w: (-len(shifts[w[0] - w[1]]), w[0], w[1]))
+            tries.append(rows)
+            here, there, once = set(), set(), []
+            for w in rows:
+                if w[0] not in here and w[1] not in there:
+                    here.add(w[0])
+                    there.add(w[1])
+                    once.append(w)
+            tries.append(once)
+    n, changed = max((n, -c) for n, c in (_cover([w[1:] for w in t]) for t in tries))
+    return n, -changed
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for windows, total in zip(batch.column("windows"), batch.column("total").to_pylist()):
+            rows = [(w["at"], w["pos"], w["size"], [(s["was"], s["now"], s["changed"]) for s in w["slots"]]) for w in windows.as_py()]
+            out.append(best_cover(rows, total))
+        n, changed = (pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), batch.column("total"), n, changed], ["key", "item", "total", "n_words", "n_changed"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents that hold a benchmark item or a long part of it, with whatever values.
 
     Returns one row for each document and item: id_col, item_col, n_words (words
     of the item that matched windows cover), share (of the item's words) and
     n_changed (placeholder values that differ). A pair counts if the cover has
-    at least ``min_words`` words or ``share`` of the item (of which it needs a
-    window at least), and the changed values are consistent: over all matched
-    windows a benchmark value has one counterpart, and the other way round.
-    Items under ``WIDTH`` words can't match. Null and empty texts match
-    nothing; repeated rows and null ids count as one document each.
-    Other columns don't pass; empty tables give an empty result.
+    at least ``min_words`` words or ``share`` of the item. Windows near each
+    other in a document are added up; of those with changed values only the
+    ones count whose benchmark values have one counterpart each. An item
+    without a usable window (too short, or mostly placeholders) must be there
+    as a whole, with unchanged values if it has under ``LITERAL`` other words.
+    Null and empty texts match nothing; rows that share an id are judged text
+    by text and give the best of them. Other columns don't pass; empty tables
+    give an empty result.
     """
     item = benchmark.select(F.col(item_col).alias("key"), F.col(item_text_col).alias("text"))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     shape = "at int, h long, tokens array<string>, vals array<string>"
     own = stage(item.mapInArrow(_hits(None), f"key {item_kind}, {shape}"), "windows")
-    few = None
+    literals = F.size(F.filter("tokens", lambda t: ~t.startswith("\x01")))
+    usable = (F.size("tokens") == WIDTH) & (literals >= LITERAL)
+    few, whole = None, {}
     if own.count() <= FEW_WINDOWS:
-        few = np.unique(np.array([r.h for r in own.select("h").distinct().collect()], np.int64))
-    hits = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(_hits(few), f"key {kind}, {shape}")
+        few = np.unique(np.array([r.h for r in own.filter(usable).select("h").distinct().collect()], np.int64))
+    for r in own.filter(~usable).groupBy(F.size("tokens").alias("size")).agg(F.sort_array(F.collect_set("h")).alias("h")).collect():
+        whole[r.size] = np.array(r.h, np.int64)
+    named = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    hits = docs.select(named.alias("key"), F.col(text_col).alias("text")).mapInArrow(_hits(few, whole), f"key struct<id:{kind},th:bigint>, {shape}")
     item_windows = own.select(F.col("key").alias("item"), F.col("at").alias("pos"), "h", F.col("tokens").alias("its"), F.col("vals").alias("was"))
-    pairs = hits.join(F.broadcast(item_windows) if few is not None else item_windows, "h").filter("tokens = its")
-    slots = F.expr(f"transform(sequence(0, {WIDTH - 1}), k -> struct(pos + k as p, tokens[k] as t, was[k] as a, vals[k] as b))")
-    cells = pairs.withColumn("shift", F.col("at") - F.col("pos")).select("key", "item", "shift", F.explode(slots).alias("s")).select("key", "item", "shift", "s.*").distinct()
-    per = cells.groupBy("key", "item", "shift").agg(
-        F.count_distinct("p").alias("n_words"),
-        F.count_distinct(F.when(F.col("t").startswith("\x01"), F.struct("t", "a"))).alias("na"),
-        F.count_distinct(F.when(F.col("t").startswith("\x01"), F.struct("t", "b"))).alias("nb"),
-        F.count_distinct(F.when(F.col("t").startswith("\x01"), F.struct("t", "a", "b"))).alias("nab"),
-        F.count_distinct(F.when(F.col("a") != F.col("b"), F.struct("t", "a"))).alias("n_changed"),
-    )
-    words = item.mapInArrow(_lengths, f"key {item_kind}, total int").select(F.col("key").alias("item"), "total")
-    per = per.filter("na = nab and nb = nab").join(words, "item").withColumn("share", F.col("n_words") / F.col("total"))
-    per = per.filter((F.col("n_words") >= min_words) | (F.col("share") >= share))
+    pairs = hits.join(F.broadcast(item_windows) if few is not None else item_windows, "h").filter((F.col("tokens") == F.col("its")) & ((literals >= LITERAL) | (F.col("vals") == F.col("was"))))
+    slots = F.expr("transform(filter(sequence(0, size(tokens) - 1), k -> startswith(tokens[k], '\x01')), k -> struct(xxhash64(tokens[k], was[k]) as was, xxhash64(vals[k]) as now, vals[k] != was[k] as changed))")
+    met = pairs.groupBy("key", "item").agg(F.collect_set(F.struct("at", "pos", F.size("tokens").alias("size"), slots.alias("slots"))).alias("windows"))
+    words = item.mapInArrow(_lengths, f"key {item_kind}, total int").groupBy(F.col("key").alias("item")).agg(F.max("total").alias("total"))
+    per = met.join(words, "item").select("key", "item", "total", "windows").mapInArrow(_judged, f"key struct<id:{kind},th:bigint>, item {item_kind}, total int, n_words long, n_changed long")
+    per = per.select(F.col("key.id").alias("key"), "item", "n_words", (F.col("n_words") / F.col("total")).alias("share"), "n_changed").filter((F.col("n_words") >= min_words) | (F.col("share") >= share))
     best = per.groupBy("key", "item").agg(F.max(F.struct("n_words", "share", -F.col("n_changed"))).alias("m"))
     return best.select(F.col("key").alias(id_col), F.col("item").alias(item_col), F.col("m.n_words").alias("n_words"), F.round("m.share", 6).alias("share"), (-F.col("m.col3")).alias("n_changed"))
 
