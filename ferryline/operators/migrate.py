@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def _cut(df: DataFrame) -> DataFrame:
     return s.read.schema(df.schema).parquet(path)
 
 
-def dependency_waves(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+def dependency_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes``: node; ``edges``: src needs dst. node and wave, from 0; null for nodes in or behind a cycle.
 
     Self-edges and unknown names are ignored. One round for each wave.
@@ -29,7 +30,7 @@ def dependency_waves(nodes: DataFrame, edges: DataFrame, most: int = 10_000) ->
     n = nodes.select("node").distinct()
     e = edges.filter("src != dst").join(n.withColumnRenamed("node", "src"), "src").join(n.withColumnRenamed("node", "dst"), "dst").distinct()
     left, e, done = _cut(n), _cut(e), []
-    for wave in range(most):
+    for wave in count():
         ready = left.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
         ready = _cut(ready.withColumn("wave", F.lit(wave)))
         if ready.isEmpty():
