@@ -14,11 +14,12 @@ have equal anchors, so Spark groups and joins by anchor:
    words are read again at the source coordinates of the copy.
 
 Last, the verdicts go back to the source coordinates of every path, and
-touching edges make the maximal repeated spans. Paths are compared by 64-bit
-hashes of their words within groups of equal 64-bit anchors.
+touching edges make the maximal repeated spans. Paths and edges are verified by
+their words: 128-bit hashes of the very words that stand at the coordinates,
+within groups of equal 64-bit anchors.
 
 Hot texts are safe: whatever is grouped is counted map-side first, no group is
-collected, and joins back to the occurrences can be split.
+collected, and verdicts on hot anchors and hot paths travel to the rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from ferryline.llm.common import stage
 ANCHOR = 8
 #: Words hashed together in one go inside a task.
 SLICE = 250_000
+#: A key that more than one in so many rows have is hot.
+HOT = 1000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -80,22 +83,31 @@ def first_minima(v: np.ndarray, width: int) -> np.ndarray:
     return pos
 
 
-def paths(h: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Of concatenated texts (``ends``: last word of its text, for each word): start, edges, anchor and hash of each path."""
+def word_ends(words: list[bytes]) -> np.ndarray:
+    """Where each word begins in the words joined by one space, and where one more would."""
+    return np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+
+
+def digests(words: list[bytes], start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+    """128-bit hash of the exact words of each range [start, stop)."""
+    text, at = b" ".join(words), word_ends(words)
+    return [xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(at[start].tolist(), (at[stop] - 1).tolist())]
+
+
+def paths(h: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated texts (``ends``: last word of its text, for each word): start, edges and anchor of each path."""
     anchor = min(ANCHOR, window)
-    edge = gram_hashes(h, window)
-    if not len(edge):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    n = len(h) - window + 1
+    if n <= 0:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
     grams = gram_hashes(h, anchor)
     at = first_minima(grams, window - anchor + 1)
-    ok = np.arange(len(edge)) + (window - 1) <= ends[: len(edge)]
+    ok = np.arange(n) + (window - 1) <= ends[:n]
     new = ok.copy()
     new[1:] &= ~(ok[:-1] & (at[1:] == at[:-1]))
     start = np.flatnonzero(new)
-    after = ok & ~np.append(ok[1:] & ~new[1:], False)
-    stop = np.flatnonzero(after)
-    key = _mix(_mix(edge[start], edge[stop]), (stop - start).astype(np.uint64))
-    return start, stop - start + 1, grams[at[start]].view(np.int64), key.view(np.int64)
+    stop = np.flatnonzero(ok & ~np.append(ok[1:] & ~new[1:], False))
+    return start, stop - start + 1, grams[at[start]].view(np.int64)
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -122,8 +134,20 @@ def _joined(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes([w for r in rows for w in r[-1]]), first, np.repeat(first[1:] - 1, n)
 
 
+def _met(rows: DataFrame, verdict: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``verdict``, whose column n says how many rows have its key.
+
+    A key of over a ``HOT``-th of all rows would meet in one task. There are at
+    most ``HOT`` such keys, so they travel to the rows instead.
+    """
+    hot = F.broadcast(verdict.filter(F.col("n") > total / HOT))
+    few = F.broadcast(verdict.filter(F.col("n") > total / HOT).select(*on))
+    rest = rows.join(few, on, "left_anti").join(verdict.filter(F.col("n") <= total / HOT), on)
+    return rest.unionByName(rows.join(hot, on)).drop("n")
+
+
 def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
-    """``docs``: id, did, th, text. Paths with a repeated edge, for each document: did, th, spans array of (start, n, mask).
+    """``docs``: id, did, th, text. Paths with a repeated edge, for each did and th: did, th, spans array of (start, edges, mask).
 
     ``mask`` has a bit for each repeated edge of the path, the first edge lowest.
     """
@@ -131,48 +155,55 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     def cut(batches):
         for rows in _sliced(batches):
             h, first, ends = _joined(rows)
-            start, n, anchor, key = paths(h, ends, window)
+            start, n, anchor = paths(h, ends, window)
+            path = digests([w for r in rows for w in r[-1]], start, start + n + window - 1)
             row = np.searchsorted(first, start, "right") - 1
             did, th = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[row], th[row], (start - first[row]).astype(np.int32), n.astype(np.int32), anchor, key)], ["did", "th", "start", "n", "anchor", "path"])
+            cols = [pa.array(x) for x in (did[row], th[row], (start - first[row]).astype(np.int32), n.astype(np.int32), anchor)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(path, pa.binary())], ["did", "th", "start", "edges", "anchor", "path"])
 
-    found = stage(docs.select("did", "th", "text").mapInArrow(cut, "did long, th long, start int, n int, anchor long, path long"), "paths")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    found = stage(found.join(twice, "anchor"), "paths-met")
+    found = stage(docs.select("did", "th", "text").mapInArrow(cut, "did long, th long, start int, edges int, anchor long, path binary"), "paths")
+    total = found.count()
+    twice = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
+    found = stage(_met(found, twice, ["anchor"], total), "paths-met")
 
-    kinds = found.groupBy("anchor", "path").agg(F.count("*").alias("copies"), F.min(F.struct("did", "th", "start", "n")).alias("at"))
-    branch = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    open_ = kinds.join(branch, "anchor").select("anchor", "path", "copies", "at.*")
+    kinds = stage(found.groupBy("anchor", "path").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "start", "edges")).alias("at")), "kinds")
+    branch = stage(kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "branches")
+    open_ = _met(kinds.withColumnRenamed("n", "copies"), branch, ["anchor"], total).select("anchor", "path", "copies", "at.*")
 
     def edges(batches):
         for batch in batches:
             for text, items in zip(batch.column("text"), batch.column("items")):
-                items = items.as_py()
-                edge = gram_hashes(word_hashes(text.as_py().encode().split()), window).view(np.int64)
-                n = np.array([x["n"] for x in items])
+                items, words = items.as_py(), text.as_py().encode().split()
+                n = np.array([x["edges"] for x in items])
                 which = np.repeat(np.arange(len(items)), n)
                 off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 at = np.array([x["start"] for x in items])[which] + off
-                cols = [np.array([x[k] for x in items], np.int64)[which] for k in ("anchor", "path")]
+                # paths of one text seldom overlap, but equal rows repeat them
+                place, back = np.unique(at, return_inverse=True)
+                edge = np.array(digests(words, place, place + window), object)[back]
+                cols = [pa.array([items[k]["anchor"] for k in which.tolist()], pa.int64()), pa.array([items[k]["path"] for k in which.tolist()], pa.binary())]
                 once = np.array([x["copies"] == 1 for x in items])[which]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, once, off.astype(np.int32), edge[at])], ["anchor", "path", "once", "off", "edge"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(once), pa.array(off.astype(np.int32)), pa.array(edge, pa.binary())], ["anchor", "path", "once", "off", "edge"])
 
-    per_doc = open_.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "path", "copies", "start", "n")).alias("items"))
+    per_doc = open_.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "path", "copies", "start", "edges")).alias("items"))
     # the id goes along so that this exchange of the texts is the one that strip reads again
-    apart = docs.join(per_doc, ["did", "th"]).select("id", "text", "items").mapInArrow(edges, "anchor long, path long, once boolean, off int, edge long")
+    apart = docs.join(per_doc, ["did", "th"]).select("id", "text", "items").mapInArrow(edges, "anchor long, path binary, once boolean, off int, edge binary")
     # equal rows give the same copy more than once: a path counts once for each edge
     shared = apart.groupBy("anchor", "edge").agg(F.min("path").alias("lo"), F.max("path").alias("hi")).filter("lo != hi").select("anchor", "edge")
     partly = apart.filter("once").join(shared, ["anchor", "edge"]).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
-    whole = kinds.filter("copies > 1").select("anchor", "path", F.lit(-1).cast("long").alias("mask"))
-    verdict = whole.unionByName(partly)
-    return found.join(verdict, ["anchor", "path"]).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
+    # a path that occurs once has its own mask, others are repeated as a whole
+    verdict = partly.select("anchor", "path", "mask", F.lit(1).cast("long").alias("n")).unionByName(kinds.filter("n > 1").select("anchor", "path", F.lit(-1).cast("long").alias("mask"), "n"))
+    spans = _met(found, verdict, ["anchor", "path"], total).select("did", "th", "start", "edges", "mask")
+    # rows with one id and text, however many, have the same spans: they are listed once
+    return spans.distinct().groupBy("did", "th").agg(F.collect_list(F.struct("start", "edges", "mask")).alias("spans"))
 
 
 def covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
     """Flags of the words that repeated edges cover."""
     step = np.zeros(n_words + 1, np.int64)
     for s in spans:
-        edges = s["start"] + np.flatnonzero((s["mask"] >> np.arange(s["n"])) & 1)
+        edges = s["start"] + np.flatnonzero((s["mask"] >> np.arange(s["edges"])) & 1)
         np.add.at(step, edges, 1)
         np.add.at(step, edges + window, -1)
     return np.cumsum(step[:-1]) > 0
@@ -192,7 +223,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     if not 2 <= window <= 64 + ANCHOR - 1:
         raise ValueError("window must be 2 to 71 words")
     names = [id_col, *(carry or [])]
-    slim = docs.select(F.struct(*names).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    slim = docs.select(F.struct(*names).alias("id"), F.xxhash64(id_col).alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     def strip(batches):
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
