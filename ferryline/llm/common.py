@@ -15,11 +15,12 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-ferryline-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-ferryline-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -35,6 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key that more than one in so many rows have is hot.
+HOT = 1000
+
+
+def met_by_count(rows: DataFrame, facts: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``facts``, whose column n says how many rows have its key.
+
+    A key of over a ``HOT``-th of all rows would meet in one task. There are at
+    most ``HOT`` such keys, so they travel to the rows instead. Keys aren't null.
+    """
+    hot = facts.filter(F.col("n") > total / HOT)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.filter(F.col("n") <= total / HOT), on)
+    return rest.unionByName(rows.join(F.broadcast(hot), on)).drop("n")
+
+
 def words_of(text: Column) -> Column:
     """All words of a text, in order; null and blank texts have none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"))

@@ -14,9 +14,9 @@ have equal anchors, so Spark groups and joins by anchor:
    words are read again at the source coordinates of the copy.
 
 Last, the verdicts go back to the source coordinates of every path, and
-touching edges make the maximal repeated spans. Paths and edges are verified by
-their words: 128-bit hashes of the very words that stand at the coordinates,
-within groups of equal 64-bit anchors.
+touching edges make the maximal repeated spans. Paths and edges are compared by
+64-bit hashes of the very words that stand at their coordinates, and only where
+the 64-bit hashes of their anchors agree too.
 
 Hot texts are safe: whatever is grouped is counted map-side first, no group is
 collected, and verdicts on hot anchors and hot paths travel to the rows.
@@ -32,14 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import stage
+from ferryline.llm.common import met_by_count, stage
 
 #: Words of an anchor gram.
 ANCHOR = 8
 #: Words hashed together in one go inside a task.
 SLICE = 250_000
-#: A key that more than one in so many rows have is hot.
-HOT = 1000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -88,10 +86,11 @@ def word_ends(words: list[bytes]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
 
 
-def digests(words: list[bytes], start: np.ndarray, stop: np.ndarray) -> list[bytes]:
-    """128-bit hash of the exact words of each range [start, stop)."""
+def digests(words: list[bytes], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hash of the exact words of each range [start, stop)."""
     text, at = b" ".join(words), word_ends(words)
-    return [xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(at[start].tolist(), (at[stop] - 1).tolist())]
+    found = [xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(at[start].tolist(), (at[stop] - 1).tolist())]
+    return np.array(found, np.uint64).view(np.int64)
 
 
 def paths(h: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,18 +133,6 @@ def _joined(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes([w for r in rows for w in r[-1]]), first, np.repeat(first[1:] - 1, n)
 
 
-def _met(rows: DataFrame, verdict: DataFrame, on: list[str], total: int) -> DataFrame:
-    """``rows`` joined with ``verdict``, whose column n says how many rows have its key.
-
-    A key of over a ``HOT``-th of all rows would meet in one task. There are at
-    most ``HOT`` such keys, so they travel to the rows instead.
-    """
-    hot = F.broadcast(verdict.filter(F.col("n") > total / HOT))
-    few = F.broadcast(verdict.filter(F.col("n") > total / HOT).select(*on))
-    rest = rows.join(few, on, "left_anti").join(verdict.filter(F.col("n") <= total / HOT), on)
-    return rest.unionByName(rows.join(hot, on)).drop("n")
-
-
 def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     """``docs``: id, did, th, text. Paths with a repeated edge, for each did and th: did, th, spans array of (start, edges, mask).
 
@@ -159,17 +146,16 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
             path = digests([w for r in rows for w in r[-1]], start, start + n + window - 1)
             row = np.searchsorted(first, start, "right") - 1
             did, th = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-            cols = [pa.array(x) for x in (did[row], th[row], (start - first[row]).astype(np.int32), n.astype(np.int32), anchor)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(path, pa.binary())], ["did", "th", "start", "edges", "anchor", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[row], th[row], (start - first[row]).astype(np.int32), n.astype(np.int32), anchor, path)], ["did", "th", "start", "edges", "anchor", "path"])
 
-    found = stage(docs.select("did", "th", "text").mapInArrow(cut, "did long, th long, start int, edges int, anchor long, path binary"), "paths")
+    found = stage(docs.select("did", "th", "text").mapInArrow(cut, "did long, th long, start int, edges int, anchor long, path long"), "paths")
     total = found.count()
     twice = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
-    found = stage(_met(found, twice, ["anchor"], total), "paths-met")
+    found = stage(met_by_count(found, twice, ["anchor"], total), "paths-met")
 
     kinds = stage(found.groupBy("anchor", "path").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "start", "edges")).alias("at")), "kinds")
     branch = stage(kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "branches")
-    open_ = _met(kinds.withColumnRenamed("n", "copies"), branch, ["anchor"], total).select("anchor", "path", "copies", "at.*")
+    open_ = met_by_count(kinds.withColumnRenamed("n", "copies"), branch, ["anchor"], total).select("anchor", "path", "copies", "at.*")
 
     def edges(batches):
         for batch in batches:
@@ -181,20 +167,20 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
                 at = np.array([x["start"] for x in items])[which] + off
                 # paths of one text seldom overlap, but equal rows repeat them
                 place, back = np.unique(at, return_inverse=True)
-                edge = np.array(digests(words, place, place + window), object)[back]
-                cols = [pa.array([items[k]["anchor"] for k in which.tolist()], pa.int64()), pa.array([items[k]["path"] for k in which.tolist()], pa.binary())]
+                edge = digests(words, place, place + window)[back]
+                cols = [np.array([x[k] for x in items], np.int64)[which] for k in ("anchor", "path")]
                 once = np.array([x["copies"] == 1 for x in items])[which]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(once), pa.array(off.astype(np.int32)), pa.array(edge, pa.binary())], ["anchor", "path", "once", "off", "edge"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, once, off.astype(np.int32), edge)], ["anchor", "path", "once", "off", "edge"])
 
     per_doc = open_.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "path", "copies", "start", "edges")).alias("items"))
     # the id goes along so that this exchange of the texts is the one that strip reads again
-    apart = docs.join(per_doc, ["did", "th"]).select("id", "text", "items").mapInArrow(edges, "anchor long, path binary, once boolean, off int, edge binary")
+    apart = docs.join(per_doc, ["did", "th"]).select("id", "text", "items").mapInArrow(edges, "anchor long, path long, once boolean, off int, edge long")
     # equal rows give the same copy more than once: a path counts once for each edge
     shared = apart.groupBy("anchor", "edge").agg(F.min("path").alias("lo"), F.max("path").alias("hi")).filter("lo != hi").select("anchor", "edge")
     partly = apart.filter("once").join(shared, ["anchor", "edge"]).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
     # a path that occurs once has its own mask, others are repeated as a whole
     verdict = partly.select("anchor", "path", "mask", F.lit(1).cast("long").alias("n")).unionByName(kinds.filter("n > 1").select("anchor", "path", F.lit(-1).cast("long").alias("mask"), "n"))
-    spans = _met(found, verdict, ["anchor", "path"], total).select("did", "th", "start", "edges", "mask")
+    spans = met_by_count(found, verdict, ["anchor", "path"], total).select("did", "th", "start", "edges", "mask")
     # rows with one id and text, however many, have the same spans: they are listed once
     return spans.distinct().groupBy("did", "th").agg(F.collect_list(F.struct("start", "edges", "mask")).alias("spans"))
 
