@@ -2,8 +2,7 @@
 
 Two words are alike by the three-letter subsequences they share, gaps allowed
 and paid for, so insults with letters put in or left out stay near the
-original. The fourth power of that (a kernel again) tells near words from
-chance. A text and a landmark are alike by the sum over the text's different
+original. The square of that tells near words from chance. A text and a landmark are alike by the sum over the text's different
 words, taken as log(1 + sum). A text's map is its likeness to all landmarks,
 whitened by the landmarks' own likenesses (Nyström), and a linear machine with
 squared hinge loss is trained on it; margins of folds it hasn't seen choose its
@@ -29,9 +28,11 @@ from ferryline.llm.common import SPACES, stage
 #: Letters that a subsequence of three may span, and its places after the first.
 SPAN = 7
 SHAPES = list(combinations(range(1, SPAN), 2))
-DECAY, TABLE, POWER = 0.85, 1 << 20, 4
-#: Likeness of words up to this (0.008 after the power) is taken as 0.
-FLOOR = 0.3
+DECAY, TABLE, POWER = 0.85, 1 << 20, 2
+#: How much of a word's own size counts against it: less than 1, so that letters put in dilute a match less.
+LOOSE = 0.85
+#: Likeness of words up to this is taken as 0: that much comes about by chance.
+FLOOR = 0.42
 #: Words compared with the landmarks in one go, and words that a task remembers.
 BLOCK, REMEMBERED = 512, 150_000
 #: Texts mapped in one go.
@@ -88,7 +89,8 @@ class Kernel:
         codes, row = np.unique(code, return_inverse=True)
         matrix = np.zeros((len(codes) + 1, m), np.float32)
         np.add.at(matrix, (row, who), weight)
-        matrix /= np.maximum(np.sqrt((matrix**2).sum(axis=0)), 1e-9)
+        self.size = np.maximum(np.sqrt((matrix**2).sum(axis=0)), 1e-9)
+        matrix /= self.size
         self.landmarks = m
         self.place = np.full(TABLE, len(codes), np.int32)
         self.place[codes] = np.arange(len(codes))
@@ -104,7 +106,7 @@ class Kernel:
             return none
         size = np.sqrt(np.maximum(np.bincount(who, weight**2, len(words)), 1e-12))
         at = self.place[code]
-        near = np.flatnonzero(np.bincount(who, weight * self.most[at], len(words)) > FLOOR * size)
+        near = np.flatnonzero(np.bincount(who, weight * self.most[at], len(words)) > FLOOR * LOOSE * size)
         chosen = np.zeros(len(words), bool)
         chosen[near] = True
         take = chosen[who] & (at < len(self.start) - 2)
@@ -114,7 +116,7 @@ class Kernel:
         row = np.repeat(np.arange(len(at)), n)
         cell = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.start[at][row]
         value = np.bincount(who[row] * m + self.column[cell], self.cell[cell] * weight[row], len(near) * m).reshape(len(near), m)
-        value = np.minimum(value / size[near, None], 1)
+        value = np.minimum(value / np.maximum(LOOSE * size[near, None], self.size), 1)
         some = np.flatnonzero(value.max(axis=1, initial=0) > FLOOR)
         value = value[some]
         return near[some], np.where(value > FLOOR, value, 0).astype(np.float32) ** POWER
