@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, so a question asked again
+Numbers, names and units become typed placeholders (a run of numbers or of
+names is one; a unit is one only behind a number), so a question asked again
 with other values has the same template. Windows of the template are hashed
 and joined; for documents that share windows with an item, what stood in the
 placeholders is compared: each benchmark value must always have become the
@@ -22,30 +23,40 @@ from pyspark.sql import functions as F
 
 from ferryline.llm.common import stage
 
-#: Words of a template window, and how many of them must be no placeholders.
+#: Tokens of a template window, and how many of them must be no placeholders.
 WIDTH, LITERAL = 8, 4
-#: Benchmark windows up to this number travel to all tasks; more are joined by shuffle.
+#: Hashes of benchmark windows up to this number (8 bytes each) travel to all tasks; more are joined by shuffle.
 FEW_WINDOWS = 1_000_000
+#: Characters of the texts that a task takes apart in one go (one text at least).
+SLICE = 3_000_000
+#: Words that are units, where a number stands before them.
 UNITS = frozenset("mm cm m km in ft yd mi miles mile metres meters metre meter inches inch feet foot g kg mg lb lbs oz pounds pound grams gram tons tonnes ml l litres liters litre liter gallons gallon s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent % $ € £ usd eur gbp dollars dollar euros euro cents cent mph kmh km/h kb mb gb tb hz khz mhz ghz w kw v a j kj cal kcal °c °f k pa bar".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice dozen".split())
 _EDGE = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$")
-_NUMBER = re.compile(r"^[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?$")
+_NUMBER = re.compile(r"^([$€£]?)([+-]?\d[\d.,:/]*)(st|nd|rd|th)?([^\d.,:]*)$")
 NUM, NAME, UNIT = "\x01n", "\x01p", "\x01u"
+#: Kinds of template tokens. A word that may be a unit is one after a number, and literal elsewhere.
+_NONE, _LITERAL, _NUM, _NAME, _MAYBE, _UNIT = range(6)
 
 
-def canonical(word: str, starts: bool) -> tuple[str, str]:
-    """(template token, value) of a word; punctuation around it doesn't count; ("", "") if nothing is left."""
+def canonical(word: str, starts: bool) -> list[tuple[int, str, str]]:
+    """(kind, token, value) of a word, two where a number and its unit are written together, none where nothing but punctuation is left."""
     core = word if word.isalpha() else _EDGE.sub("", word)
     low = core.lower()
     if not core:
-        return "", ""
-    if low in NUMBERS or (not core.isalpha() and _NUMBER.match(core)):
-        return NUM, low
+        return []
+    if low in NUMBERS or "-" in low and all(x in NUMBERS for x in low.split("-")):
+        return [(_NUM, NUM, low)]
+    if not core.isalpha():
+        m = _NUMBER.match(low)
+        if m and (not m[4] or m[4] in UNITS):
+            unit = m[1] or m[4]
+            return [(_NUM, NUM, m[2] + (m[3] or "")), *([(_UNIT, UNIT, unit)] if unit else [])]
     if low in UNITS:
-        return UNIT, low
+        return [(_MAYBE, low, low)]
     if not starts and core[0].isupper() and core[1:].islower():
-        return NAME, low
-    return low, low
+        return [(_NAME, NAME, low)]
+    return [(_LITERAL, low, low)]
 
 
 class _Known(dict):
@@ -55,92 +66,139 @@ class _Known(dict):
         self.words, self.starts = words, starts
 
     def __missing__(self, word: str) -> int:
-        token, value = canonical(word, self.starts)
         w = self.words
-        n = self[word] = len(w.tokens)
-        w.tokens.append(token)
-        w.values.append(value)
-        w.hashes.append(xxhash.xxh3_64_digest(token))
-        w.flags.append((token != "") + 2 * (token[:1] not in ("", "\x01")) + 4 * (word[-1] in ".!?:|"))
+        n = self[word] = len(w.kinds)
+        entries = canonical(word, self.starts) or [(_NONE, "", "")]
+        for k, (kind, token, value) in enumerate(entries):
+            w.kinds.append(kind)
+            w.tokens.append(token)
+            w.values.append(value)
+            w.hashes.append(xxhash.xxh3_64_digest(token))
+            w.twice.append(k == 0 and len(entries) == 2)
+            w.ends.append(word[-1] in ".!?:|")
         return n
 
 
 class _Words:
-    """Entries (template token, value, hash; flags: 1 counts, 2 literal, 4 ends a sentence) of words seen so far, up to a bound."""
+    """Entries of words seen so far, up to a bound."""
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.tokens, self.values, self.hashes, self.flags = [], [], [], []
+        self.kinds, self.tokens, self.values, self.hashes, self.twice, self.ends = [], [], [], [], [], []
         self.inside, self.first = _Known(self, False), _Known(self, True)
 
-    def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text the numbers of its words that count, their hashes and whether they are literal."""
-        if len(self.tokens) > 300_000:
+    def templates(self, texts: list[str]) -> _Templates:
+        """The texts' templates, one after the other."""
+        if len(self.kinds) > 300_000:
             self.clear()
         split = [t.split() for t in texts]
-        inside, first = self.inside, self.first
-        numbers = [np.array([inside[w] for w in words], np.int64) for words in split]
-        flags = np.array(self.flags, np.int64)
-        for words, n in zip(split, numbers):  # a sentence's first word is read as such
-            for i in np.flatnonzero(np.append(4, flags[n[:-1]])[: len(n)] & 4).tolist():
-                n[i] = first[words[i]]
-        flags, hashes = np.array(self.flags, np.int64), np.frombuffer(b"".join(self.hashes), ">u8").astype(np.uint64)
-        for n in numbers:
-            n = n[flags[n] & 1 == 1]
-            yield n, hashes[n], flags[n] & 2 == 2
-
-
-def _windows(h: np.ndarray, literal: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it has enough literal words."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    x = np.zeros(n, np.uint64)
-    for k in range(width):
-        x = (x ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(31)
-    sums = np.concatenate([[0], np.cumsum(literal)])
-    return x.view(np.int64), sums[width:] - sums[:-width] >= LITERAL
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        flat = [w for words in split for w in words]
+        n = np.fromiter(map(self.inside.__getitem__, flat), np.int64, len(flat))
+        start = np.append(True, np.array(self.ends, bool)[n[:-1]])[: len(n)]
+        start[(np.cumsum(size) - size)[size > 0]] = True
+        first = self.first  # a sentence's first word is read as such
+        at = np.flatnonzero(start)
+        n[at] = [first[flat[i]] for i in at.tolist()]
+        owner = np.repeat(np.arange(len(split)), size)
+        again = np.array(self.twice, bool)[n]
+        if again.any():
+            owner, n, second = np.repeat(owner, 1 + again), np.repeat(n, 1 + again), np.cumsum(1 + again)[again] - 1
+            n[second] += 1
+        kind = np.array(self.kinds, np.int8)[n]
+        some = kind != _NONE
+        return _Templates(self, n[some], kind[some], owner[some])
+
+
+class _Templates:
+    """Tokens of several texts: text, hash, kind, and the words that each stands for."""
+
+    def __init__(self, words: _Words, n: np.ndarray, kind: np.ndarray, owner: np.ndarray):
+        before = np.append(np.int8(_NONE), kind[:-1])[: len(kind)]
+        same = np.append(False, owner[1:] == owner[:-1])[: len(owner)]
+        kind = np.where(kind == _MAYBE, np.where(same & (before == _NUM), _UNIT, _LITERAL), kind)
+        # neighbouring numbers are one number, neighbouring names one name
+        go_on = same & (kind == before) & ((kind == _NUM) | (kind == _NAME))
+        at = np.flatnonzero(~go_on)
+        self.words, self.n, self.at = words, n, np.append(at, len(n))
+        self.kind, self.owner = kind[at], owner[at]
+        self.h = np.frombuffer(b"".join(words.hashes), ">u8").astype(np.uint64)[n[at]]
+        self.h[self.kind == _UNIT] = _HASHED[UNIT]
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run of ``size`` tokens: its hash, whether it lies in one text, and its literal tokens."""
+        n = len(self.h) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+        x = np.zeros(n, np.uint64)
+        for k in range(size):
+            x = (x ^ self.h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(31)
+        sums = np.concatenate([[0], np.cumsum(self.kind == _LITERAL)])
+        return x.view(np.int64), self.owner[:n] == self.owner[size - 1 :], sums[size:] - sums[:-size]
+
+    def tokens(self, i: int, size: int) -> list[str]:
+        w = self.words
+        return [UNIT if self.kind[k] == _UNIT else w.tokens[self.n[self.at[k]]] for k in range(i, i + size)]
+
+    def values(self, i: int, size: int) -> list[str]:
+        w = self.words
+        return [" ".join([w.values[x] for x in self.n[self.at[k] : self.at[k + 1]].tolist()]) for k in range(i, i + size)]
+
+
+_HASHED = {t: np.uint64(xxhash.xxh3_64_intdigest(t)) for t in (NUM, NAME, UNIT)}
 
 
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
 
-def _hits(few: np.ndarray | None, whole: dict[int, np.ndarray] | None = None):
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of a batch of (key, text), about SLICE characters at a time."""
+    texts, lo, chars = batch.column(1).to_pylist(), 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if chars >= SLICE or i + 1 == len(texts):
+            yield batch.column(0).slice(lo, i + 1 - lo), [t or "" for t in texts[lo : i + 1]]
+            lo, chars = i + 1, 0
+
+
+def _hits(few: np.ndarray | None, whole: dict[int, np.ndarray] | None = None, bare: bool = False):
     """Windows of (key, text): those of ``few`` (all if None), and those with the lengths and hashes of ``whole``.
 
-    Without ``whole`` the texts are items: one without a usable window is a single window of its own length.
+    Without ``whole`` the texts are items: one without a usable window is a
+    single window of its own length. ``bare`` leaves out tokens and values.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                keys, at, hs, tokens, values = [], [], [], [], []
-                part = batch.slice(lo, 500)
-                names = part.column(0).to_pylist()
-                for key, (n, hashes, literal) in zip(names, words.of([t or "" for t in part.column(1).to_pylist()])):
-                    h, ok = _windows(hashes, literal)
-                    if few is not None:
-                        ok = ok & _among(h, few)
-                    found = [(i, WIDTH, int(h[i])) for i in np.flatnonzero(ok).tolist()]
-                    if whole is None:
-                        if not found and len(n):
-                            found = [(0, len(n), int(_windows(hashes, literal, len(n))[0][0]))]
-                    else:
-                        for size, known in whole.items():
-                            h, _ = _windows(hashes, literal, size)
-                            found += [(i, size, int(h[i])) for i in np.flatnonzero(_among(h, known)).tolist()]
-                    for i, size, x in found:
-                        keys.append(key)
-                        at.append(i)
-                        hs.append(x)
-                        tokens.append([words.tokens[k] for k in n[i : i + size]])
-                        values.append([words.values[k] for k in n[i : i + size]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(at, pa.int32()), pa.array(hs, pa.int64()), *(pa.array(x, pa.list_(pa.string())) for x in (tokens, values))], ["key", "at", "h", "tokens", "vals"])
+            for names, texts in _slices(batch):
+                t = words.templates(texts)
+                h, ok, literal = t.windows(WIDTH)
+                ok &= literal >= LITERAL
+                if few is not None:
+                    ok &= _among(h, few)
+                found = [(i, WIDTH, x) for i, x in zip(np.flatnonzero(ok).tolist(), h[ok].tolist())]
+                begin = np.searchsorted(t.owner, np.arange(len(texts) + 1))
+                if whole is None:
+                    some = {int(x) for x in t.owner[[i for i, _, _ in found]]} if found else set()
+                    for k, (i, j) in enumerate(zip(begin.tolist(), begin[1:].tolist())):
+                        if j > i and k not in some:
+                            found.append((i, j - i, int(t.windows(j - i)[0][i])))
+                else:
+                    for size, known in whole.items():
+                        h, ok, _ = t.windows(size)
+                        ok &= _among(h, known)
+                        found += [(i, size, x) for i, x in zip(np.flatnonzero(ok).tolist(), h[ok].tolist())]
+                at = np.array([f[0] for f in found], np.int64)
+                own = t.owner[at]
+                cols = [names.take(pa.array(own)), pa.array((at - begin[own]).astype(np.int32)), pa.array([f[2] for f in found], pa.int64())]
+                if not bare:
+                    cols += [pa.array([f(i, size) for i, size, _ in found], pa.list_(pa.string())) for f in (t.tokens, t.values)]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "at", "h", "tokens", "vals"][: len(cols)])
 
     return run
 
@@ -206,8 +264,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents that hold a benchmark item or a long part of it, with whatever values.
 
-    Returns one row for each document and item: id_col, item_col, n_words (words
-    of the item that matched windows cover), share (of the item's words) and
+    Returns one row for each document and item: id_col, item_col, n_words (template
+    tokens of the item that matched windows cover), share (of the item's words) and
     n_changed (placeholder values that differ). A pair counts if the cover has
     at least ``min_words`` words or ``share`` of the item. Windows near each
     other in a document are added up; of those with changed values only the
@@ -215,8 +273,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sha
     without a usable window (too short, or mostly placeholders) must be there
     as a whole, with unchanged values if it has under ``LITERAL`` other words.
     Null and empty texts match nothing; rows that share an id are judged text
-    by text and give the best of them. Other columns don't pass; empty tables
-    give an empty result.
+    by text and give the best of them (of ties that with fewer changed values).
+    Other columns don't pass, whatever their names; empty tables give an empty
+    result.
     """
     item = benchmark.select(F.col(item_col).alias("key"), F.col(item_text_col).alias("text"))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -224,19 +283,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sha
     own = stage(item.mapInArrow(_hits(None), f"key {item_kind}, {shape}"), "windows")
     literals = F.size(F.filter("tokens", lambda t: ~t.startswith("\x01")))
     usable = (F.size("tokens") == WIDTH) & (literals >= LITERAL)
-    few, whole = None, {}
-    if own.count() <= FEW_WINDOWS:
-        few = np.unique(np.array([r.h for r in own.filter(usable).select("h").distinct().collect()], np.int64))
-    for r in own.filter(~usable).groupBy(F.size("tokens").alias("size")).agg(F.sort_array(F.collect_set("h")).alias("h")).collect():
-        whole[r.size] = np.array(r.h, np.int64)
+    whole = {r.size: np.array(r.h, np.int64) for r in own.filter(~usable).groupBy(F.size("tokens").alias("size")).agg(F.sort_array(F.collect_set("h")).alias("h")).collect()}
     named = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
-    hits = docs.select(named.alias("key"), F.col(text_col).alias("text")).mapInArrow(_hits(few, whole), f"key struct<id:{kind},th:bigint>, {shape}")
+    key_kind = f"struct<id:{kind},th:bigint>"
+    texts, few = docs.select(named.alias("key"), F.col(text_col).alias("text")), None
+    usable_h = own.filter(usable).select("h").distinct()
+    if usable_h.count() <= FEW_WINDOWS:
+        few = np.unique(np.array([r.h for r in usable_h.collect()], np.int64))
+    else:
+        # hashes and keys alone are joined first; only texts with a hit are read again with their words
+        hit = stage(texts.mapInArrow(_hits(None, whole, bare=True), f"key {key_kind}, at int, h long").join(own.select("h").distinct(), "h", "left_semi").select("key").distinct(), "hit")
+        same = texts["key.id"].eqNullSafe(hit["key.id"]) & texts["key.th"].eqNullSafe(hit["key.th"])
+        texts = texts.join(hit, same, "left_semi")
+    hits = texts.mapInArrow(_hits(few, whole), f"key {key_kind}, {shape}")
     item_windows = own.select(F.col("key").alias("item"), F.col("at").alias("pos"), "h", F.col("tokens").alias("its"), F.col("vals").alias("was"))
-    pairs = hits.join(F.broadcast(item_windows) if few is not None else item_windows, "h").filter((F.col("tokens") == F.col("its")) & ((literals >= LITERAL) | (F.col("vals") == F.col("was"))))
+    pairs = hits.join(item_windows, "h").filter((F.col("tokens") == F.col("its")) & ((literals >= LITERAL) | (F.col("vals") == F.col("was"))))
     slots = F.expr("transform(filter(sequence(0, size(tokens) - 1), k -> startswith(tokens[k], '\x01')), k -> struct(xxhash64(tokens[k], was[k]) as was, xxhash64(vals[k]) as now, vals[k] != was[k] as changed))")
     met = pairs.groupBy("key", "item").agg(F.collect_set(F.struct("at", "pos", F.size("tokens").alias("size"), slots.alias("slots"))).alias("windows"))
     words = item.mapInArrow(_lengths, f"key {item_kind}, total int").groupBy(F.col("key").alias("item")).agg(F.max("total").alias("total"))
-    per = met.join(words, "item").select("key", "item", "total", "windows").mapInArrow(_judged, f"key struct<id:{kind},th:bigint>, item {item_kind}, total int, n_words long, n_changed long")
+    per = met.join(words, "item").select("key", "item", "total", "windows").mapInArrow(_judged, f"key {key_kind}, item {item_kind}, total int, n_words long, n_changed long")
     per = per.select(F.col("key.id").alias("key"), "item", "n_words", (F.col("n_words") / F.col("total")).alias("share"), "n_changed").filter((F.col("n_words") >= min_words) | (F.col("share") >= share))
     best = per.groupBy("key", "item").agg(F.max(F.struct("n_words", "share", -F.col("n_changed"))).alias("m"))
     return best.select(F.col("key").alias(id_col), F.col("item").alias(item_col), F.col("m.n_words").alias("n_words"), F.round("m.share", 6).alias("share"), (-F.col("m.col3")).alias("n_changed"))
@@ -245,4 +310,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sha
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(n) for n, _, _ in words.of([t or "" for t in batch.column(1).to_pylist()])], pa.int32())], ["key", "total"])
+        for names, texts in _slices(batch):
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(words.templates(texts).owner, minlength=len(texts)).astype(np.int32))], ["key", "total"])
