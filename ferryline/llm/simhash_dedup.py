@@ -8,12 +8,13 @@ another fifth of the word: if two fingerprints differ in at most b bits, then
 in one of five turnings every prefix of j fifths differs in at most j * b / 5
 bits. So the first fifth must agree, and the pairs of nodes stay few.
 
-A node with at most ``leaf`` fingerprints is a leaf: its pairs with other
-leaves are compared in one task, leaf by leaf. Larger nodes are split by the
-next ``STEP`` bits, so no task gets more than two leaves however many texts
-look alike. Within a task linked fingerprints are reduced to a spanning
-forest; the components over all tasks come from min-label rounds in Spark.
-Equal fingerprints are one node from the start.
+The walk starts at the roots. In Spark it goes down to nodes of at most ``leaf``
+fingerprints, so no task gets more than two leaves of a pair however many texts
+look alike; inside a task it goes on bit by bit over all pairs of leaves
+together, until nodes are so small that their keys are compared. Linked
+fingerprints are reduced to a spanning forest there; the components over all
+tasks come from min-label rounds in Spark. Equal fingerprints are one node from
+the start.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import stage
+from ferryline.llm.common import met_by_count, stage
 
 BITS, TURNS, STEP = 64, 5, 4
 #: First bit of each turning. A prefix up to bound j of REACH lies within j fifths in every turning.
 STARTS = [0, 13, 26, 39, 52]
 REACH = [0, 12, 25, 38, 51, 64]
+#: Pairs of keys up to which two nodes are compared key by key, and packs of keys that a task walks together.
+FEW, PACKS = 16, 256
 
 
 def _bits(words: list[bytes], shingle: int) -> bytes:
@@ -60,6 +63,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
 
 
 def _prefix(column: str, depth: int):
+    if not depth:
+        return F.lit(0).cast("long")
     return F.shiftrightunsigned(column, BITS - depth) if depth < BITS else F.col(column)
 
 
@@ -70,12 +75,12 @@ def turnings(fps: DataFrame) -> DataFrame:
 
 
 def trie_leaves(fps: DataFrame, budget: int, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Walk the five tries by node pairs, as deep as nodes hold more than ``leaf`` keys.
+    """Walk the five tries by node pairs, from the roots as deep as nodes hold more than ``leaf`` keys.
 
     Returns the leaves' keys (turn, depth, node, key) and the pairs of
     different leaves that are left to compare (turn, da, a, db, b).
     """
-    rows, depth = turnings(fps), REACH[1]
+    rows, depth = turnings(fps), 0
     nodes = stage(rows.groupBy("turn", _prefix("key", depth).alias("node")).agg(F.count("*").alias("n")).withColumn("big", F.col("n") > leaf), "nodes")
     pairs = nodes.select("turn", *[c for s in "ab" for c in (F.lit(depth).alias(f"d{s}"), F.col("node").alias(s), F.col("big").alias(f"big_{s}"))])
     keys, met = [], []
@@ -85,7 +90,7 @@ def trie_leaves(fps: DataFrame, budget: int, leaf: int) -> tuple[DataFrame, Data
         met.append(pairs.filter("not big_a and not big_b and (da != db or a != b)").drop("big_a", "big_b"))
         if nodes.filter("big").isEmpty():
             break
-        rows, deeper = stage(here.filter("big").select("turn", "key"), "keys"), min(depth + STEP, BITS)
+        rows, deeper = stage(here.filter("big").select("turn", "key"), "keys"), min(depth + STEP, BITS) if depth else REACH[1]
         nodes = stage(rows.groupBy("turn", _prefix("key", deeper).alias("node")).agg(F.count("*").alias("n")).withColumn("big", (F.col("n") > leaf) & F.lit(deeper < BITS)), "nodes")
         walk = pairs.filter("big_a or big_b")
         for s in "ab":
@@ -101,30 +106,60 @@ def trie_leaves(fps: DataFrame, budget: int, leaf: int) -> tuple[DataFrame, Data
     return every, left
 
 
-def _forest(keys: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over the keys that are within the budget of each other."""
-    left = np.ones(len(keys), bool)
-    us, vs = [], []
-    while left.any():
-        root = int(np.argmax(left))
-        left[root] = False
-        front = [root]
-        while front:
-            u = front.pop()
-            rest = np.flatnonzero(left)
-            if not len(rest):
-                break
-            near = rest[np.bitwise_count(keys[rest] ^ keys[u]) <= budget]
-            left[near] = False
-            us.append(np.full(len(near), root))
-            vs.append(near)
-            front.extend(near.tolist())
-    if not us:
-        return np.zeros(0, int), np.zeros(0, int)
+def _spend(depth: int, budget: int) -> int:
+    """Bits that two prefixes of this depth may differ in."""
+    return budget * next(j for j, d in enumerate(REACH) if depth <= d) // TURNS
+
+
+def trie_pairs(keys: np.ndarray, start: np.ndarray, stop: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs that differ in at most ``budget`` bits and whose prefixes spend no more than they may.
+
+    ``keys``: ascending in each range [start, stop), a trie of its own. Node
+    pairs of all tries go down together, one bit in a round.
+    """
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # a pair: keys [a0, a1) and [b0, b1), bits that differ so far
+    a0, a1, b0, b1, diff = start, stop, start, stop, np.zeros(len(start), np.int64)
+    for depth in range(BITS + 1):
+        few = ((a1 - a0) * (b1 - b0) <= FEW) | (depth == BITS)
+        if few.any():
+            x0, y0, ny = a0[few], b0[few], (b1 - b0)[few]
+            n = (a1 - a0)[few] * ny
+            row = np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            u, v = x0[row] + k // ny[row], y0[row] + k % ny[row]
+            near = (u < v) & (np.bitwise_count(keys[u] ^ keys[v]) <= budget)
+            us.append(u[near])
+            vs.append(v[near])
+            a0, a1, b0, b1, diff = (x[~few] for x in (a0, a1, b0, b1, diff))
+        if not len(a0):
+            break
+        ones = np.concatenate([[0], np.cumsum((keys >> np.uint64(BITS - 1 - depth)) & np.uint64(1), dtype=np.int64)])
+        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+        other = a0 != b0  # a node with itself has its mixed child pair once
+        c = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1), tuple(x[other] for x in (am, a1, b0, bm, diff + 1))]
+        a0, a1, b0, b1, diff = (np.concatenate(x) for x in zip(*c))
+        on = (a1 > a0) & (b1 > b0) & (diff <= _spend(depth + 1, budget))
+        a0, a1, b0, b1, diff = (x[on] for x in (a0, a1, b0, b1, diff))
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(fps: DataFrame, budget: int = 4, leaf: int = 4096) -> DataFrame:
+def _least(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest of the n places that links (u, v) reach from each."""
+    label = np.arange(n)
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        label = label[label]
+        on = label[u] != label[v]
+        u, v = u[on], v[on]
+    while (label[label] != label).any():
+        label = label[label]
+    return label
+
+
+def links(fps: DataFrame, budget: int = 4, leaf: int = 1024) -> DataFrame:
     """``fps``: distinct fp. Links (u, v) that connect whatever pairs within the budget connect."""
     keys, pairs = trie_leaves(fps, budget, leaf)
     packs = keys.groupBy("turn", "depth", "node").agg(F.collect_list("key").alias("keys"))  # at most leaf keys
@@ -134,17 +169,20 @@ def links(fps: DataFrame, budget: int = 4, leaf: int = 4096) -> DataFrame:
     todo = packs.filter(F.size("keys") > 1).select("turn", "keys").unionByName(cross)
 
     def compare(batches):
-        for batch in batches:
-            us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            flat, offs = batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column("keys").offsets.to_numpy()
-            offs = offs - offs[0]
-            for turn, a, b in zip(batch.column("turn").to_pylist(), offs, offs[1:]):
-                own, back = flat[a:b], np.uint64(STARTS[turn])
-                u, v = _forest(own, budget)
-                own = (own >> back) | (own << (np.uint64(BITS) - back)) if back else own
-                us.append(own[u])
-                vs.append(own[v])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], ["u", "v"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, PACKS):
+                batch = whole.slice(lo, PACKS)
+                lists = batch.column("keys")
+                own = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                size = np.diff(lists.offsets.to_numpy())
+                pack = np.repeat(np.arange(len(size)), size)
+                own = own[np.lexsort((own, pack))]
+                stop = np.cumsum(size)
+                label = _least(len(own), *trie_pairs(own, stop - size, stop, budget))
+                back = np.array(STARTS, np.uint64)[batch.column("turn").to_numpy()][pack]
+                own = np.where(back > 0, (own >> back) | (own << ((np.uint64(BITS) - back) % np.uint64(BITS))), own)
+                v = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (own[label[v]], own[v])], ["u", "v"])
 
     return todo.mapInArrow(compare, "u long, v long")
 
@@ -171,17 +209,19 @@ def components(edges: DataFrame) -> DataFrame:
         edges, last = nxt, state
 
 
-def simhash_dedup(docs: DataFrame, budget: int = 4, shingle: int = 4, leaf: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_dedup(docs: DataFrame, budget: int = 4, shingle: int = 4, leaf: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and near-duplicate group of every row.
 
     Returns id_col, fp (long) and component_id (the smallest id that links
     reach; null ids never are). Texts without words, null ones too, have
     fingerprint 0 and link like others; texts shorter than a shingle are one
-    shingle. Repeated rows get equal rows. Other columns don't pass. An empty
-    table gives an empty result.
+    shingle. Repeated rows get equal rows. Other columns don't pass, whatever
+    their names. An empty table gives an empty result.
     """
-    rows = stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    roots = components(links(rows.select("fp").distinct(), budget, leaf))
-    rows = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = rows.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    return rows.join(groups, "root").select(id_col, "fp", "component_id")
+    rows = stage(fingerprints(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
+    each = stage(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")), "distinct")
+    roots = components(links(each.select("fp"), budget, leaf))
+    each = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stage(each.join(groups, "root").select("fp", "n", "component_id"), "groups")
+    return met_by_count(rows, named, ["fp"], rows.count()).select(F.col("id").alias(id_col), "fp", "component_id")
