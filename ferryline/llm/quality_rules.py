@@ -48,17 +48,23 @@ def _posterior(prior: float, accuracy: dict[str, tuple[float, float]]) -> Column
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, rounds: int = 12) -> tuple[float, dict[str, tuple[float, float]]]:
+#: What is believed at the start: share of good texts; of votes on good texts the good ones, of votes on bad texts the bad ones.
+START = (0.85, 0.98, 0.5)
+
+
+def estimate(patterns: DataFrame, belief: float = 0.02, tolerance: float = 1e-4) -> tuple[float, dict[str, tuple[float, float]]]:
     """``patterns``: votes and their count n (at most 3 ** rules rows). Prior and accuracies by expectation-maximisation.
 
-    Bad texts are bad in different ways, so a rule may miss most of them: it votes bad on half
-    of them at the start, then on 0.1 to 0.6. Rules are written to spare good texts: of these they
-    vote good on 0.985 at least. The prior stays within 0.5 and 0.9. So the classes can't change
-    places, and rules that many texts pass can't outvote those that a text breaks.
+    Rounds go on until no estimate moves by over ``tolerance``. Each estimate is
+    that of the votes and of the start, which counts like the share ``belief``
+    of all rows: enough to keep the two classes from changing places, too
+    little to hold an estimate anywhere. So a rule that hardly votes stays near
+    its start, and results are alike at every size.
     """
-    prior, accuracy = 0.85, {k: (0.98, 0.5) for k in RULES}
-    hold = lambda x, lo, hi: min(hi, max(lo, x))
-    for _ in range(rounds):
+    prior, good, bad = START
+    accuracy = {k: (good, bad) for k in RULES}
+    held = lambda x: min(1 - 1e-6, max(1e-6, x))  # noqa: E731  odds stay finite
+    while True:
         w, n = F.col("p") * F.col("n"), F.col("n")
         sums = [F.sum(w).alias("good"), F.sum(n).alias("all")]
         for k in RULES:
@@ -66,14 +72,14 @@ def estimate(patterns: DataFrame, rounds: int = 12) -> tuple[float, dict[str, tu
             sums += [F.sum(F.when(v == 1, w)).alias(f"gg_{k}"), F.sum(F.when(v.isNotNull(), w)).alias(f"g_{k}"), F.sum(F.when(v == 0, n - w)).alias(f"bb_{k}"), F.sum(F.when(v.isNotNull(), n - w)).alias(f"b_{k}")]
         s = patterns.withColumn("p", _posterior(prior, accuracy)).agg(*sums).first()
         if not s["all"]:
-            break
-        prior = hold(s["good"] / s["all"], 0.5, 0.9)
-        # one vote of each kind is added, so rules that hardly vote keep near their start
-        share = lambda x, k, start: ((s[f"{x}{x}_{k}"] or 0) + start) / ((s[f"{x}_{k}"] or 0) + 1)  # noqa: B023, E731
-        for k in RULES:
-            a = hold(share("g", k, 0.98), 0.985, 0.9999)
-            accuracy[k] = a, hold(share("b", k, 0.5), 0.1, 0.6)
-    return prior, accuracy
+            return prior, accuracy
+        more = 1 + belief * s["all"]
+        share = lambda part, whole, start: held(((s[part] or 0) + start * more) / ((s[whole] or 0) + more))  # noqa: B023, E731
+        last = [prior, *(x for ab in accuracy.values() for x in ab)]
+        prior = share("good", "all", START[0])
+        accuracy = {k: (share(f"gg_{k}", f"g_{k}", good), share(f"bb_{k}", f"b_{k}", bad)) for k in RULES}
+        if max(abs(x - y) for x, y in zip(last, [prior, *(x for ab in accuracy.values() for x in ab)])) <= tolerance:
+            return prior, accuracy
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,8 +89,8 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id
     fewer than ten words (null and empty ones too), or with over a fifth of
     their words in repeated five-word windows, fail the base rules and are not
     kept; all others are kept if p_good >= ``threshold``. Repeated rows get
-    equal verdicts. Other columns don't pass; an empty table gives an empty
-    result.
+    equal verdicts. Other columns don't pass, whatever their names; an empty
+    table gives an empty result.
     """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
