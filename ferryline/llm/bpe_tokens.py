@@ -20,6 +20,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK, OVERLAP = 32_768, 512
+#: SHA-256 of a text.
+_KEY = "string"
 
 
 def _encoding(path: str, pattern: str):
@@ -43,19 +45,21 @@ def encode_pieces(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [enc.encode_to_numpy(t.as_py(), disallowed_special=()).astype("<u4") for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["key", "no", "n", "ids"])
 
-    return pieces.mapInArrow(run, "key long, no int, n long, ids binary")
+    return pieces.mapInArrow(run, f"key {_KEY}, no int, n long, ids binary")
 
 
-def decode_ids(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """The rows and ``decoded`` (binary): the ids' bytes, one after the other."""
-    schema = StructType([*rows.schema.fields, StructField("decoded", BinaryType())])
+def joined(rows: DataFrame, path: str, pattern: str, pieces_col: str = "pieces") -> DataFrame:
+    """``rows``: ..., pieces (array of (no, ids), in order). The other columns, ids (all pieces' ids), and decoded (binary): their bytes, one after the other."""
+    schema = StructType([f for f in rows.schema.fields if f.name != pieces_col] + [StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
 
     def run(batches):
         words = _vocabulary(_encoding(path, pattern))
         for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            out = [b"".join([words[i] for i in np.frombuffer(x.as_py() or b"", "<u4").tolist()]) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            at = batch.schema.get_field_index(pieces_col)
+            ids = [b"".join([x["ids"] for x in p.as_py()]) for p in batch.column(at)]
+            out = [b"".join([words[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
+            rest = [c for k, c in enumerate(batch.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.binary()), pa.array(out, pa.binary())], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -79,7 +83,7 @@ def pieces_of(texts: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int =
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), *(pa.array(x, pa.list_(pa.int32())) for x in (head, tail))], ["key", "no", "head", "tail"])
 
     long_ = chunks.filter("n > 1")
-    marks = long_.mapInArrow(bounds, "key long, no int, head array<int>, tail array<int>")
+    marks = long_.mapInArrow(bounds, f"key {_KEY}, no int, head array<int>, tail array<int>")
     w = Window.partitionBy("key").orderBy("no")
     # the overlap's last 64 characters are left out: a match there may have been cut by the chunk's end
     seam = F.expr(f"try_element_at(filter(array_intersect(head, before), x -> x < {overlap - 64}), 1)")
@@ -99,8 +103,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     Returns id_col, n_tokens, ids (binary, little-endian unsigned 32-bit) and
     decoded (binary). Null texts are encoded like empty ones: no ids. Texts of
     any length are cut; the ids are those of the whole text. Repeated rows get
-    rows of their own. Other columns don't pass; an empty table gives an empty
-    result.
+    rows of their own. Other columns don't pass, whatever their names; an empty
+    table gives an empty result.
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     is_long = F.length("text") > chunk
@@ -116,11 +120,10 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     short = slim.filter(~is_long).mapInArrow(direct, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
     long_ = slim.filter(is_long)
-    # equal texts have equal ids, so a text's hash and length are key enough; copies are encoded once
-    key = F.xxhash64("text", F.length("text"))
+    # equal texts have equal ids: a text is named by its SHA-256 and encoded once, however many copies it has
+    key = F.sha2(F.col("text").cast("binary"), 256)
     texts = long_.select(key.alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     ids = encode_pieces(pieces_of(texts, pattern, chunk, overlap), path, pattern)
-    whole = ids.groupBy("key").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("p"))
-    whole = whole.select("key", "n_tokens", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
-    out = decode_ids(long_.select("_id", key.alias("key")).join(whole, "key").select(F.col("_id").alias(id_col), "n_tokens", "ids"), path, pattern)
+    whole = ids.groupBy("key").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("pieces"))
+    out = joined(long_.select(F.col("_id").alias(id_col), key.alias("key")).join(whole, "key").select(F.col(id_col), "n_tokens", "pieces"), path, pattern)
     return short.unionByName(out)
