@@ -18,7 +18,7 @@ from ferryline.llm.simhash_dedup import simhash_dedup
 from ferryline.llm.substring_dedup import substring_dedup
 from ferryline.llm.textstats import with_counts
 from ferryline.llm.toxicity import Toxicity
-from ferryline.llm.url_filters import url_filter
+from ferryline.llm.url_filters import path_of, url_filter
 
 #: verdict, host, path: fixed values of the contract.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -67,10 +67,11 @@ def op5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages have no labels of their own: page n is taken to have the labels of document n."""
+    """A page shows the document whose id is the first number of its path, so it has that document's labels."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    known = pages.select(F.col("page_id").alias("doc_id"), "url").join(labels.select("doc_id", bad.alias("bad")).filter("bad is not null"), "doc_id").select("url", "bad")
+    shown = F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})", 1).try_cast("long")
+    known = pages.select(shown.alias("doc_id"), "url").join(labels.select("doc_id", bad.alias("bad")).filter("bad is not null"), "doc_id").select("url", "bad")
     return url_filter(pages, known, URL_RULES)
 
 
@@ -112,8 +113,10 @@ ORACLE = {
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
         p AS (SELECT conv_id, turn, string_agg(turn || chr(31) || role || chr(31) || text, chr(30)) OVER w AS prefix, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS last
               FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
-        m AS (SELECT min(conv_id) AS conv_id FROM p WHERE last AND prefix NOT IN (SELECT prefix FROM p WHERE NOT last) GROUP BY prefix)
-        SELECT conv_id, CAST(turn // 512 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_turns,
-               string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
-        FROM t SEMI JOIN m USING (conv_id) GROUP BY conv_id, turn // 512""",
+        m AS (SELECT min(conv_id) AS conv_id FROM p WHERE last AND prefix NOT IN (SELECT prefix FROM p WHERE NOT last) GROUP BY prefix),
+        k AS (SELECT *, row_number() OVER w - 1 AS rank, coalesce(sum(strlen(role) + strlen(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+              FROM t SEMI JOIN m USING (conv_id) WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, CAST(rank // 512 + before // 16777216 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_turns,
+               string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered
+        FROM k GROUP BY 1, 2""",
 }
