@@ -132,16 +132,17 @@ def test_decontamination(odd, spark, empty):
     got = contaminated(docs, bench).collect()
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)] and got[0].n_changed == 3
     assert contaminated(odd, bench).count() == 0 and contaminated(empty, bench).count() == 0 and contaminated(docs, bench.filter("false")).count() == 0
-    assert canonical("42,", False)[0] == canonical("seven", False)[0] and canonical("...", False) == ("", "")
+    token = lambda w: [x[1] for x in canonical(w, False)]
+    assert token("42,") == token("seven") == token("twenty-one") and token("100kg") == token("$5") == token("5%") and len(token("100kg")) == 2 and token("...") == []
 
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/1?x=1", "https://a.example.org/en/12", "https://a.com/fr/x", "http://com/de/", "http://x.net", "ftp://b.spam.biz/buy?ref=1", "http://e.net/" + "/".join("abcdefghijklmnop") + "/buy"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(f"ftp://b{i}.spam.biz/buy", True) for i in range(20)] + [(f"http://c{i}.good.net/", False) for i in range(20)], "url string, bad boolean")
+    labels = spark.createDataFrame([(f"ftp://b{i}.spam.biz/buy", True) for i in range(60)] + [(f"http://c{i}.good.net/", False) for i in range(60)], "url string, bad boolean")
     got = {r.page_id: r for r in url_filter(pages, labels, Q.URL_RULES).collect()}
     assert [got[i].rule for i in range(10)] == [None, None, None, "example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None]
-    assert got[3].host == "www.example.org" and got[3].path == "/es/1" and got[8].verdict == "block" and got[7].verdict == "allow"
+    assert got[3].host == "www.example.org" and got[3].path == "/es/1" and got[8].verdict == "block" and got[7].verdict == "allow" and got[2].verdict == "allow"
     assert got[9].verdict == "block"  # by its last token
     assert url_filter(pages, labels.filter("false"), Q.URL_RULES).count() == 10
 
@@ -150,7 +151,7 @@ def test_chats(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (3, 0, "user", "hi"), (3, 1, "assistant", "hello"), (4, 0, None, None), (None, 0, "user", "lost"), (5, None, "user", "x"), (5, 600, "user", "far")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat_format(turns).collect()
-    assert sorted((r.conv_id if r.conv_id is not None else -1, r.part) for r in got) == [(-1, 0), (2, 0), (4, 0), (5, -1), (5, 1)]
+    assert sorted((r.conv_id if r.conv_id is not None else -1, r.part) for r in got) == [(-1, 0), (2, 0), (4, 0), (5, 0)]
     assert [r.rendered for r in got if r.conv_id == 2] == ["<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n"]
     assert chat_format(turns.filter("false")).count() == 0
 
