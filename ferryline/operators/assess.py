@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Risk of each feature; a feature that isn't named has risk 1.
+from ferryline.operators.rationale import SENTENCES, STANDARD
+from ferryline.operators.relational import numbered
+
+#: Features of each risk; a feature that isn't named has risk 1.
 RISK = {
-    2: "TOP ISNULL GETDATE LEN CHARINDEX PATINDEX STUFF DATEADD DATEDIFF DATEPART OFFSET_FETCH STRING_CONCAT STRING_CONCAT_PLUS TOP_WITHOUT_ORDER PRINT_STATEMENT THROW IMPLICIT_CONVERSION STRING_SPLIT",
-    3: "TRY_CATCH DYNAMIC_SQL EXPLICIT_TRANSACTION SAVEPOINT TEMP_TABLE OUTPUT CROSS_APPLY OUTER_APPLY JSON_METHOD IDENTITY CTE RAISERROR",
-    4: "MERGE TABLE_VALUED_PARAMETER TABLE_VARIABLE GLOBAL_TEMP_TABLE NOLOCK ROWLOCK UPDLOCK PIVOT UNPIVOT OPENJSON FOR_XML",
-    5: "OPENQUERY OPENROWSET XML_METHOD SQL_CLR SERVICE_BROKER LINKED_SERVER REPLICATION FILESTREAM MEMORY_OPTIMIZED",
+    2: ["TOP", "ISNULL", "GETDATE", "LEN", "CHARINDEX", "PATINDEX", "STUFF", "DATEADD", "DATEDIFF", "DATEPART", "OFFSET_FETCH", "STRING_CONCAT", "STRING_CONCAT_PLUS", "TOP_WITHOUT_ORDER", "PRINT_STATEMENT", "THROW", "IMPLICIT_CONVERSION", "STRING_SPLIT"],
+    3: ["TRY_CATCH", "DYNAMIC_SQL", "EXPLICIT_TRANSACTION", "SAVEPOINT", "TEMP_TABLE", "OUTPUT", "CROSS_APPLY", "OUTER_APPLY", "JSON_METHOD", "IDENTITY", "CTE", "RAISERROR"],
+    4: ["MERGE", "TABLE_VALUED_PARAMETER", "TABLE_VARIABLE", "GLOBAL_TEMP_TABLE", "NOLOCK", "ROWLOCK", "UPDLOCK", "PIVOT", "UNPIVOT", "OPENJSON", "FOR_XML"],
+    5: ["OPENQUERY", "OPENROWSET", "XML_METHOD", "SQL_CLR", "SERVICE_BROKER", "LINKED_SERVER", "REPLICATION", "FILESTREAM", "MEMORY_OPTIMIZED"],
 }
 #: Hours (least, most) for one statement of each risk.
 BASE_HOURS = {1: (0.08, 0.17), 2: (0.25, 0.75), 3: (1.0, 3.0), 4: (4.0, 12.0), 5: (12.0, 32.0)}
@@ -63,43 +66,67 @@ FEATURES = [
     ("RAISERROR", "transaction", r"\bRAISERROR\b", None),
     ("THROW", "transaction", r"\bTHROW\b", None),
 ]
-#: First words of each statement class, in the order of testing.
-CLASSES = [("Select", r"^SELECT\b"), ("Insert", r"^INSERT\b"), ("Update", r"^UPDATE\b"), ("Delete", r"^DELETE\b"), ("Merge", r"^MERGE\b"), ("Procedural", r"^(CREATE|ALTER)\s+(PROC|PROCEDURE|FUNCTION)\b|^(BEGIN\s*$|BEGIN\s+[^T]|WHILE|IF|DECLARE)\b"), ("Dcl", r"^(GRANT|DENY|REVOKE)\b"), ("Tcl", r"^(BEGIN\s+TRAN|COMMIT|ROLLBACK|SAVE\s+TRAN)"), ("Ddl", r"^(CREATE|ALTER|DROP|TRUNCATE)\b")]
+#: First words of each statement class, in the order of testing; a statement that begins with WITH is classed by what its common tables serve.
+CLASSES = [
+    ("Select", r"^SELECT\b"),
+    ("Insert", r"^INSERT\b"),
+    ("Update", r"^UPDATE\b"),
+    ("Delete", r"^DELETE\b"),
+    ("Merge", r"^MERGE\b"),
+    ("Tcl", r"^(BEGIN\s+TRAN|COMMIT|ROLLBACK|SAVE\s+TRAN)"),
+    ("Procedural", r"^(CREATE|ALTER)\s+(PROC|PROCEDURE|FUNCTION)\b|^BEGIN\b(?!\s+(TRY|DIALOG|CONVERSATION|DISTRIBUTED)\b)|^(WHILE|IF)\b|^DECLARE\b(?!\s+@\S+\s+(AS\s+)?TABLE\b)(?!\s+\S+\s+(\S+\s+)*CURSOR\b)"),
+    ("Dcl", r"^(GRANT|DENY|REVOKE)\b"),
+    ("Ddl", r"^(CREATE|ALTER|DROP)\s+(UNIQUE\s+)?((NON)?CLUSTERED\s+)?(TABLE|VIEW|INDEX|SCHEMA|SEQUENCE|TRIGGER|TYPE|DATABASE|STATISTICS)\b|^TRUNCATE\s+TABLE\b"),
+]
+#: What isn't code, whichever begins first: a literal (its quotes are kept), a comment, or a quoted name (kept).
+_NO_CODE = r"(')(?:[^']|'')*(')|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|(\[[^\]]*\]|\"[^\"]*\")"
+#: Nesting of parentheses inside common tables that classes look through.
+_DEPTH = 12
 
 
 def strip_params(sql: Column) -> Column:
-    """Without the parameter list that stands before a parameterised statement."""
-    return F.regexp_replace(sql, r"^\s*\(@[^)]*\)\s*", "")
+    """Without the parameter list (types may have sizes) that stands before a parameterised statement."""
+    return F.regexp_replace(sql, r"^\s*\(@(?:[^()]|\([^()]*\))*\)\s*", "")
 
 
 def bare(sql: Column) -> Column:
     """Upper-cased, string literals emptied, comments gone."""
-    s = F.regexp_replace(sql, r"'[^']*'", "''")
-    s = F.regexp_replace(s, r"--[^\n]*", "")
-    return F.upper(F.regexp_replace(s, r"/\*[^*]*\*+([^/*][^*]*\*+)*/", ""))
+    return F.upper(F.regexp_replace(sql, _NO_CODE, "$1$2$3"))
 
 
 def fingerprint(sql: Column) -> Column:
-    """Literals become ?, white space one blank, upper case."""
-    s = F.regexp_replace(strip_params(sql), r"'[^']*'", "?")
+    """Literals become ?, comments go, white space one blank, upper case."""
+    s = F.replace(F.regexp_replace(strip_params(sql), _NO_CODE, "$1$2$3"), F.lit("''"), F.lit("?"))
     s = F.regexp_replace(s, r"\b[0-9]+(\.[0-9]+)?\b", "?")
     return F.upper(F.trim(F.regexp_replace(s, r"\s+", " ")))
 
 
 def classify(sql: Column) -> Column:
-    text = F.trim(bare(strip_params(sql)))
+    text = F.regexp_replace(bare(strip_params(sql)), r"^[\s;]+", "")
+    flat = text
+    for _ in range(_DEPTH):
+        flat = F.regexp_replace(flat, r"\([^()]*\)", " ")
+    served = F.regexp_extract(flat, r"(?s)^WITH\b.*?\b((?:SELECT|INSERT|UPDATE|DELETE|MERGE)\b.*)", 1)
+    text = F.when(text.rlike(r"^WITH\b"), served).otherwise(text)
     return F.coalesce(*[F.when(text.rlike(p), F.lit(c)) for c, p in CLASSES], F.lit("Unknown"))
 
 
-def features(sql: Column) -> Column:
-    """Array of (tag, category), in the order of FEATURES."""
-    text = bare(sql)
+def features_of(text: Column) -> Column:
+    """Array of (tag, category) of bare text, in the order of FEATURES."""
     hit = [F.when(text.rlike(p) & (~text.rlike(n) if n else F.lit(True)), F.struct(F.lit(t).alias("tag"), F.lit(c).alias("category"))) for t, c, p, n in FEATURES]
     return F.array_compact(F.array(*hit))
 
 
 def risk_of(tag: Column) -> Column:
-    return F.coalesce(*[F.when(tag.isin(names.split()), F.lit(r)) for r, names in RISK.items()], F.lit(1))
+    return F.coalesce(*[F.when(tag.isin(names), F.lit(r)) for r, names in RISK.items()], F.lit(1))
+
+
+def tagged(statements: DataFrame, sql_col: str = "sql_text") -> DataFrame:
+    """Adds features. Each different text is taken apart once, however often it was run; null texts have none."""
+    texts = statements.select(F.col(sql_col).alias("_sql")).distinct().withColumn("_bare", bare(strip_params(F.col("_sql"))))
+    texts = texts.select("_sql", features_of(F.col("_bare")).alias("features"))
+    out = statements.join(texts, F.col(sql_col).eqNullSafe(F.col("_sql"))).drop("_sql")
+    return out.withColumn("features", F.coalesce("features", F.array().cast("array<struct<tag:string,category:string>>")))
 
 
 def analyzed(statements: DataFrame, sql_col: str = "sql_text", failed: Column | None = None) -> DataFrame:
@@ -107,7 +134,7 @@ def analyzed(statements: DataFrame, sql_col: str = "sql_text", failed: Column |
 
     Needs execution_count and importance.
     """
-    s = statements.withColumn("features", features(strip_params(F.col(sql_col))))
+    s = tagged(statements, sql_col)
     risk = F.coalesce(F.array_max(F.transform("features", lambda f: risk_of(f.tag))), F.lit(1))
     if failed is not None:
         risk = F.when(failed, 3).otherwise(risk)
@@ -115,6 +142,19 @@ def analyzed(statements: DataFrame, sql_col: str = "sql_text", failed: Column |
     return s.withColumn("weighted_risk", weighted_risk(F.col("risk"), F.col("execution_count"), F.col("importance")))
 
 
+def top_feature(features: Column) -> Column:
+    """The feature that decides: of the highest risk, the first by name; null without features."""
+    return F.array_min(F.transform(features, lambda f: F.struct((-risk_of(f.tag)).alias("r"), f.tag.alias("tag")))).getField("tag")
+
+
+def rationale(features: Column, risk: Column) -> Column:
+    """Sentence of the feature that decides."""
+    top = top_feature(features)
+    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    other = F.when(risk >= 4, F.concat(top, F.lit(" requires manual conversion; no direct PostgreSQL equivalent available."))).when(risk == 3, F.concat(top, F.lit(" requires procedural restructuring for PostgreSQL compatibility."))).when(risk == 2, F.concat(top, F.lit(" requires simple function substitution with no behavioral change."))).otherwise(STANDARD)
+    return F.when(F.size(features) == 0, STANDARD).otherwise(F.coalesce(F.element_at(known, top), other))
+
+
 def weighted_risk(risk: Column, count: Column, importance: Column) -> Column:
     return risk * F.greatest(count, F.lit(1)) * F.greatest(F.least(importance, F.lit(5)), F.lit(1))
 
@@ -129,6 +169,7 @@ def readiness(analyzed_: DataFrame) -> DataFrame:
 
 
 def band(score: Column) -> Column:
+    """Bands of the score and their names."""
     return F.when(score >= 90, "Excellent Candidate").when(score >= 76, "Good Candidate").when(score >= 51, "Moderate Candidate - Significant Work Required").when(score >= 26, "High Risk").otherwise("Not Recommended for Migration")
 
 
@@ -152,6 +193,7 @@ def effort(analyzed_: DataFrame, tables: int, schema_objects: int) -> DataFrame:
 
 
 def recommendation(score: Column, critical: Column) -> Column:
+    """Advice by score and number of statements of risk 5."""
     return F.when((score >= 76) & (critical == 0), "Direct PostgreSQL Migration").when((score >= 51) & (critical <= 5), "PostgreSQL Migration with Compatibility Middleware").when(score >= 26, "Partial Migration").otherwise("Remain on SQL Server")
 
 
@@ -159,18 +201,17 @@ def conversion(risk: Column) -> Column:
     return F.when(risk <= 2, "automatic").when(risk == 3, "semi-automatic").otherwise("manual")
 
 
-def statement_groups(analyzed_: DataFrame, least_risk: int = 1, sql_col: str = "sql_text", object_col: str = "database_name") -> DataFrame:
-    """Groups by (text hash, object): statements, feature union, primary feature (highest risk, then by name).
+def statement_groups(analyzed_: DataFrame, least_risk: int = 1, sql_col: str = "sql_text", object_col: str = "database_name", id_col: str = "event_id") -> DataFrame:
+    """Groups by (text, object): text_hash, statements, executions, weighted, risk, tags, primary_feature (highest risk, then by name), primary_id (heaviest statement, of equal ones the first) and pattern (its first 500 characters).
 
-    Groups without features are left out. Distinct tags are counted map-side
-    before they are listed: a group lists at most the known features.
+    Statements without features are left out. All of a group have one text and
+    so the same features: one aggregation, and tags are sorted once for each group.
     """
-    g = analyzed_.filter((F.col("risk") >= least_risk) & (F.size("features") > 0)).withColumn("text_hash", F.sha2(sql_col, 256))
-    keys = ["text_hash", object_col]
-    sums = g.groupBy(*keys).agg(F.count("*").alias("statements"), F.sum("execution_count").alias("executions"), F.sum("weighted_risk").alias("weighted"), F.max("risk").alias("risk"))
-    tags = g.select(*keys, F.explode("features").alias("f")).select(*keys, F.col("f.tag").alias("tag")).distinct()
-    tags = tags.groupBy(*keys).agg(F.array_sort(F.collect_list("tag")).alias("tags"), F.min(F.struct(-risk_of(F.col("tag")), "tag")).alias("first"))
-    return sums.join(tags, keys).withColumn("primary_feature", F.col("first.tag")).drop("first")
+    g = analyzed_.filter((F.col("risk") >= least_risk) & (F.size("features") > 0))
+    heaviest = F.max(F.struct(F.col("weighted_risk"), -F.col(id_col))).getField("col2")
+    g = g.groupBy(sql_col, object_col).agg(F.count("*").alias("statements"), F.sum("execution_count").alias("executions"), F.sum("weighted_risk").alias("weighted"), F.max("risk").alias("risk"), F.first("features").alias("features"), (-heaviest).alias("primary_id"))
+    tags = F.array_sort(F.array_distinct(F.transform("features", lambda f: f.tag)))
+    return g.select(F.sha2(sql_col, 256).alias("text_hash"), object_col, "statements", "executions", "weighted", "risk", tags.alias("tags"), top_feature(F.col("features")).alias("primary_feature"), "primary_id", F.left(sql_col, F.lit(500)).alias("pattern"))
 
 
 def item_effort(tags: Column, n: Column) -> tuple[Column, Column]:
@@ -189,21 +230,17 @@ def priority_labels(items: DataFrame, order: list[Column]) -> DataFrame:
 
     Items are groups, far fewer than statements; they are numbered by ranges.
     """
-    from ferryline.operators.relational import numbered
-
-    n = F.broadcast(items.agg(F.count("*").alias("_n")))  # one row
-    place = numbered(items, order).crossJoin(n)
+    place = numbered(items, order, "place", "_n")
     upto = lambda share: F.ceil(F.round(F.col("_n") * share, 6))
-    label = F.when(F.col("_place") <= upto(0.1), "Critical").when(F.col("_place") <= upto(0.3), "High").when(F.col("_place") <= upto(0.7), "Medium").otherwise("Low")
-    return place.withColumn("priority", label).withColumnRenamed("_place", "place").drop("_n")
-
+    label = F.when(F.col("place") <= upto(0.1), "Critical").when(F.col("place") <= upto(0.3), "High").when(F.col("place") <= upto(0.7), "Medium").otherwise("Low")
+    return place.withColumn("priority", label).drop("_n")
 
-def work_items(groups: DataFrame, text_col: str = "sql_text") -> DataFrame:
-    """Ids WI-001, WI-002 ... by weighted risk."""
-    from ferryline.operators.relational import numbered
 
+def work_items(groups: DataFrame) -> DataFrame:
+    """Ids WI-001, WI-002 ... by weighted risk; a group's priority is the sum of its statements' weighted risks."""
     out = numbered(groups, [F.desc("weighted"), F.asc("text_hash"), F.asc("database_name")])
-    return out.withColumn("item", F.concat(F.lit("WI-"), F.when(F.col("_place") < 1000, F.lpad(F.col("_place").cast("string"), 3, "0")).otherwise(F.col("_place").cast("string")))).drop("_place")
+    number = F.col("_place").cast("string")
+    return out.withColumns({"item": F.concat(F.lit("WI-"), F.when(F.col("_place") < 1000, F.lpad(number, 3, "0")).otherwise(number)), "priority": F.col("weighted")}).drop("_place")
 
 
 def tags_of(risk: Column, category: Column, research: Column) -> Column:
@@ -214,7 +251,47 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+#: Ids in one row of cross-references.
+REFERENCES = 1000
+
+
 def related_items(items: DataFrame, item_col: str, object_col: str) -> DataFrame:
-    """Pairs of items that share an object, as ring neighbours in the object's order (prev and next), so that hot objects make no squares."""
-    w = Window.partitionBy(object_col).orderBy(item_col)
-    return items.select(item_col, object_col, F.lag(item_col).over(w).alias("before"), F.lead(item_col).over(w).alias("after"))
+    """Other items of the same object: item_col, object_col, block and related (sorted ids).
+
+    Items without an object, or alone in theirs, have none. A row has about
+    ``REFERENCES`` ids: the items of an object are dealt into blocks by the
+    hash of their id, one where they are few, so no list grows with an object.
+    """
+    known = items.filter(F.col(object_col).isNotNull()).select(item_col, object_col)
+    size = known.groupBy(object_col).agg(F.count("*").alias("_n")).filter("_n > 1")
+    block = F.when(F.col("_n") <= REFERENCES, 0).otherwise(F.pmod(F.xxhash64(item_col), F.ceil(F.col("_n") / REFERENCES)))
+    blocks = known.join(size, object_col).groupBy(object_col, block.cast("long").alias("block")).agg(F.sort_array(F.collect_list(item_col)).alias("_ids"))
+    out = known.join(blocks, object_col).withColumn("related", F.array_except("_ids", F.array(item_col)))
+    return out.filter(F.size("related") > 0).select(item_col, object_col, "block", "related")
+
+
+def attribute_by_features(statements: DataFrame, objects: DataFrame, ad_hoc: list[str], id_col: str = "event_id", sql_col: str = "sql_text") -> DataFrame:
+    """Objects of statements whose bodies can't be read: id_col, object_name; other statements are absent.
+
+    ``statements``: id_col, sql_col, features, risk; ``objects``: ordinal,
+    object_name, tags, statements (how many it runs). A statement goes to the
+    object with the fewest tags that has all of its features (of equal ones
+    the first). Where features of an object's statements also occur ad hoc,
+    it takes no more than it runs: texts with few copies first, then of higher
+    risk, then by text; of a text that doesn't fit whole the first statements.
+    """
+    s = statements.filter(F.size("features") > 0).select(id_col, sql_col, "risk", F.array_sort(F.array_distinct(F.transform("features", lambda f: f.tag))).alias("_set"))
+    sets = s.select("_set").distinct().withColumn("_key", F.try_element_at("_set", F.lit(1)))
+    own = objects.filter(F.size("tags") > 0).select("ordinal", "object_name", "tags", F.col("statements").alias("_cap"), F.explode(F.array_distinct("tags")).alias("_key"))
+    fits = sets.join(own, "_key").filter(F.size(F.array_except("_set", "tags")) == 0)
+    best = fits.groupBy("_set").agg(F.min(F.struct(F.size(F.array_distinct("tags")), "ordinal", "object_name", "_cap")).alias("m")).select("_set", "m.object_name", "m._cap")
+    found = s.join(best, "_set")
+    texts = found.groupBy("object_name", sql_col).agg(F.count("*").alias("_copies"), F.size(F.first("_set")).alias("_overlap"), F.max("risk").alias("_risk"), F.first("_cap").alias("_cap"), F.max(F.arrays_overlap("_set", F.array(*[F.lit(x) for x in ad_hoc]).cast("array<string>"))).alias("_shared"))
+    w = Window.partitionBy("object_name").orderBy("_copies", F.desc("_overlap"), F.desc("_risk"), sql_col)
+    texts = texts.withColumn("_before", F.coalesce(F.sum("_copies").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_capped", F.max("_shared").over(Window.partitionBy("object_name")))
+    room = F.when(F.col("_capped"), F.least("_copies", F.greatest(F.col("_cap") - F.col("_before"), F.lit(0)))).otherwise(F.col("_copies"))
+    texts = texts.withColumn("_room", room).filter("_room > 0").select("object_name", sql_col, "_room", "_copies")
+    found = found.select(id_col, sql_col, "object_name").join(texts, ["object_name", sql_col])
+    whole = found.filter("_room = _copies").select(id_col, "object_name")
+    part = found.filter("_room < _copies").withColumn("_place", F.row_number().over(Window.partitionBy("object_name", sql_col).orderBy(id_col))).filter("_place <= _room")
+    return whole.unionByName(part.select(id_col, "object_name"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferryline.operators.assess import RANGE_RATIO, conversion, strip_params
+from ferryline.operators.rationale import NO_NOTE, NOTES
 
 #: Target type and risk of the types that need a finding.
 TYPE_FINDINGS = {"UNIQUEIDENTIFIER": ("UUID", 2), "DATETIME": ("TIMESTAMPTZ", 2), "SMALLDATETIME": ("TIMESTAMPTZ", 2), "DATETIME2": ("TIMESTAMPTZ", 1), "BIT": ("BOOLEAN", 1), "IMAGE": ("BYTEA", 2), "MONEY": ("NUMERIC(19,4)", 2), "SMALLMONEY": ("NUMERIC(10,4)", 2), "TINYINT": ("SMALLINT", 1)}
 #: Hours (least, most) of a finding by risk, 5 as well for what is above.
 FINDING_HOURS = {1: (0.1, 0.25), 2: (0.1, 0.25), 3: (0.25, 0.75), 4: (0.5, 2.0), 5: (1.0, 4.0)}
-#: Statements shorter than this, and of fewer words, aren't attributed.
-LEAST_CHARS, LEAST_WORDS = 20, 3
+#: Fixed value: statements shorter than this aren't attributed.
+LEAST_CHARS = 20
+#: Runs of a text that are tried as a way to bodies.
+RUNS = 40
 
 
 def column_findings(data_type: Column, max_length: Column, identity: Column, computed: Column) -> Column:
@@ -50,18 +53,23 @@ def resolve_objects(statements: DataFrame, objects: DataFrame, sql_col: str = "s
     """The statements and object_name: the first object (by ordinal) whose body contains the text, else null.
 
     ``objects``: ordinal, object_name, body. Each different text is looked up
-    once. Its second to fourth word (the second alone if it has under five)
-    stand whole in every body that contains it, so texts and bodies are joined
-    by these words and compared afterwards. Texts of under ``LEAST_CHARS``
-    characters or ``LEAST_WORDS`` words, and null ones, get none.
+    once. Where a text stands in a body, so does each run of ``LEAST_CHARS`` of
+    its characters: the rarest of a text's first runs leads it to the bodies to
+    compare. Texts of fewer characters, and null ones, get none.
     """
     s = statements.withColumn("_text", one_line(F.col(sql_col)))
-    texts = s.select("_text").distinct().filter(F.length("_text") >= LEAST_CHARS).withColumn("w", F.split("_text", " ")).filter(F.size("w") >= LEAST_WORDS)
-    texts = texts.select("_text", F.when(F.size("w") >= 5, F.array_join(F.slice("w", 2, 3), " ")).otherwise(F.try_element_at("w", F.lit(2))).alias("key"))
-    bodies = objects.filter("body is not null").select("ordinal", "object_name", one_line(F.col("body")).alias("_body")).withColumn("w", F.split("_body", " "))
-    threes = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))).otherwise(F.array().cast("array<string>"))
-    keys = bodies.select("ordinal", "object_name", "_body", F.explode(F.array_union("w", threes)).alias("key"))
-    first = texts.join(keys, "key").filter(F.col("_body").contains(F.col("_text"))).groupBy("_text").agg(F.min(F.struct("ordinal", "object_name")).alias("m"))
+    texts = s.select("_text").distinct().filter(F.length("_text") >= LEAST_CHARS)
+    runs = lambda text, last: F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(LEAST_CHARS)))
+    bodies = objects.filter("body is not null").select("ordinal", "object_name", one_line(F.col("body")).alias("_body")).filter(F.length("_body") >= LEAST_CHARS)
+    every = F.length("_body") - LEAST_CHARS + 1
+    keys = bodies.select("ordinal", "object_name", "_body", F.explode(F.array_distinct(F.transform(runs(F.col("_body"), every), lambda x: F.xxhash64(x)))).alias("key"))
+    few = F.least(F.length("_text") - LEAST_CHARS + 1, F.lit(RUNS))
+    ways = texts.select("_text", F.explode(F.array_distinct(F.transform(runs(F.col("_text"), few), lambda x: F.xxhash64(x)))).alias("key"))
+    often = keys.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = ways.join(often, "key").groupBy("_text").agg(F.count("*").alias("met"), F.min(F.struct("n", "key")).getField("key").alias("key"))
+    # a text with a run that no body has is in none
+    whole = ways.groupBy("_text").agg(F.count("*").alias("all")).join(rarest, "_text").filter("met = all").select("_text", "key")
+    first = whole.join(keys, "key").filter(F.col("_body").contains(F.col("_text"))).groupBy("_text").agg(F.min(F.struct("ordinal", "object_name")).alias("m"))
     return s.join(first.select("_text", F.col("m.object_name").alias("object_name")), "_text", "left").drop("_text")
 
 
@@ -82,9 +90,13 @@ def confidence(risk: Column) -> Column:
 
 
 def confidence_summary(items: DataFrame) -> DataFrame:
-    """Items and hours by confidence. Needs risk, min_hours and max_hours."""
+    """Items and hours by confidence, and the notes that all items' tags call for. Needs risk, tags, min_hours and max_hours."""
     hours = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double").alias(c)
-    return items.groupBy(confidence(F.col("risk")).alias("confidence")).agg(F.count("*").alias("items"), hours("min_hours"), hours("max_hours"))
+    has = lambda names: F.arrays_overlap("tags", F.array(*[F.lit(x) for x in names]))
+    c = items.groupBy(confidence(F.col("risk")).alias("confidence")).agg(F.count("*").alias("items"), hours("min_hours"), hours("max_hours"), *[F.max(has(names)).alias(f"_{i}") for i, (names, _) in enumerate(NOTES)])
+    every = Window.partitionBy(F.lit(0))  # three rows at most
+    notes = F.concat_ws(" ", *[F.when(F.max(f"_{i}").over(every), note) for i, (_, note) in enumerate(NOTES)])
+    return c.select("confidence", "items", "min_hours", "max_hours", F.when(notes == "", NO_NOTE).otherwise(notes).alias("notes"))
 
 
 def item_warnings(items: DataFrame, inventory: DataFrame, item_col: str = "item") -> DataFrame:

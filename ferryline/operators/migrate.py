@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read again, so that lineage doesn't grow with the rounds."""
-    s = df.sparkSession
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if not base:
-        s.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-ferryline-"))
-        base = s.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/ferryline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return s.read.schema(df.schema).parquet(path)
+from ferryline.operators.staging import written
 
 
 def dependency_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -29,49 +18,70 @@ def dependency_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     n = nodes.select("node").distinct()
     e = edges.filter("src != dst").join(n.withColumnRenamed("node", "src"), "src").join(n.withColumnRenamed("node", "dst"), "dst").distinct()
-    left, e, done = _cut(n), _cut(e), []
+    left, e, done = written(n), written(e), []
     for wave in count():
         ready = left.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-        ready = _cut(ready.withColumn("wave", F.lit(wave)))
+        ready = written(ready.withColumn("wave", F.lit(wave)))
         if ready.isEmpty():
             break
         done.append(ready)
-        left = _cut(left.join(ready, "node", "left_anti"))
-        e = _cut(e.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        left = written(left.join(ready, "node", "left_anti"))
+        e = written(e.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
     out = left.withColumn("wave", F.lit(None).cast("int"))
     for r in done:
         out = out.unionByName(r)
     return out
 
 
+def _reach(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """``start``: part, node; ``edges``: part, src, dst. Whatever the start of its part leads to, itself included; one round for each step."""
+    seen = front = written(start.distinct())
+    while not front.isEmpty():
+        step = front.join(edges, (front["part"] == edges["part"]) & (front["node"] == edges["src"])).select(edges["part"], F.col("dst").alias("node")).distinct()
+        front = written(step.join(seen, ["part", "node"], "left_anti"))
+        seen = written(seen.unionByName(front))
+    return seen
+
+
 def cycle_members(edges: DataFrame) -> DataFrame:
     """node and self_loop of every node on a cycle.
 
-    Nodes without way in or out are trimmed; of the rest, pairs (from, to) are
-    closed by joins that double the length of the paths each round, and nodes
-    that reach themselves remain. Trimming comes first because closures are
-    quadratic in what is left.
+    Nodes without way in or out are trimmed. What is left is parted again and
+    again: in each part the smallest node is the pivot; what it reaches and what
+    reaches it is a strongly connected part, and the other nodes go on in up to
+    three parts (reached, reaching, neither), which share no cycle. Each round
+    costs a few joins in proportion to the edges left, not to their pairs.
     """
     loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    e = _cut(edges.filter("src != dst").select("src", "dst").distinct())
-    size = e.count()
-    while size:
-        e2 = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        n = e2.count()
-        e, before, size = e2, size, n
-        if n == before:
+    left = written(edges.filter("src != dst").select(F.lit(0).cast("long").alias("part"), "src", "dst").distinct())
+    found = []
+    while True:
+        while True:  # trim
+            ends = lambda a, b: left.select("part", F.col(a).alias(b)).distinct()  # noqa: E731, B023
+            less = written(left.join(ends("dst", "src"), ["part", "src"], "left_semi").join(ends("src", "dst"), ["part", "dst"], "left_semi"))
+            same = less.count() == left.count()
+            left = less
+            if same:
+                break
+        if left.isEmpty():
             break
-    reach = e.select("src", "dst")
-    count = size
-    while count:
-        two = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        reach = _cut(reach.union(two).distinct())
-        now = reach.count()
-        if now == count:
-            break
-        count = now
-    on = reach.filter("src = dst").select(F.col("src").alias("node"))
-    return on.union(loops).distinct().join(loops.withColumn("self_loop", F.lit(True)), "node", "left").fillna(False, ["self_loop"])
+        back = left.select("part", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        pivot = written(left.groupBy("part").agg(F.min("src").alias("node")))
+        to, fro = _reach(pivot, left).withColumn("to", F.lit(True)), _reach(pivot, back).withColumn("fro", F.lit(True))
+        nodes = left.select("part", F.col("src").alias("node")).union(left.select("part", F.col("dst").alias("node"))).distinct()
+        state = nodes.join(to, ["part", "node"], "left").join(fro, ["part", "node"], "left").fillna(False, ["to", "fro"])
+        state = written(state)
+        core = state.filter("to and fro")
+        one = core.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
+        found.append(core.join(one, "part").select("node"))
+        kind = F.when(F.col("to"), 1).when(F.col("fro"), 2).otherwise(0)
+        rest = state.filter("not (to and fro)").select("part", "node", F.xxhash64("part", kind).alias("next"))
+        src, dst = (rest.select("part", F.col("node").alias(k), F.col("next").alias(f"n_{k}")) for k in ("src", "dst"))
+        left = written(left.join(src, ["part", "src"]).join(dst, ["part", "dst"]).filter("n_src = n_dst").select(F.col("n_src").alias("part"), "src", "dst"))
+    on = loops
+    for f in found:
+        on = on.union(f)
+    return on.distinct().join(loops.withColumn("self_loop", F.lit(True)), "node", "left").fillna(False, ["self_loop"])
 
 
 def select_tables(tables: DataFrame, wanted: list[str], schema_col: str = "schema_name", name_col: str = "table_name") -> DataFrame:
@@ -126,13 +136,27 @@ def reconcile_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     return j.select("table_name", n("n_source").alias("n_source"), n("n_target").alias("n_target"), (n("n_target") - n("n_source")).alias("delta"), (n("n_source") == n("n_target")).alias("equal"))
 
 
+def content_hash(columns: list[str]) -> Column:
+    """Hash of a row's values; nulls count by their place."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))]) if columns else F.lit(0).cast("long")
+
+
 def reconcile_content(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that are missing, extra or changed in the target; only keys and hashes are shuffled."""
+    """Keys that are missing, extra or changed in the target; only keys and hashes are shuffled.
+
+    A null is a value like any, in keys too. Rows that share a key are compared
+    as a whole, in any order: by their number and the sum of their hashes.
+    """
     rest = [c for c in source.columns if c not in keys]
-    a = source.select(*keys, F.xxhash64(*rest).alias("a"))
-    b = target.select(*keys, F.xxhash64(*rest).alias("b"))
-    j = a.join(b, keys, "full").filter(~F.col("a").eqNullSafe(F.col("b")))
-    return j.select(*keys, F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed").alias("difference"))
+
+    def summed(df, n):
+        own = [F.col(k).alias(f"{n}_{i}") for i, k in enumerate(keys)]
+        return df.groupBy(*own).agg(F.struct(F.count("*"), F.sum(content_hash(rest).cast("decimal(38,0)"))).alias(n))
+
+    same = reduce(lambda x, y: x & y, [F.col(f"a_{i}").eqNullSafe(F.col(f"b_{i}")) for i in range(len(keys))])
+    j = summed(source, "a").join(summed(target, "b"), same, "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+    own = [F.when(F.col("a").isNull(), F.col(f"b_{i}")).otherwise(F.col(f"a_{i}")).alias(k) for i, k in enumerate(keys)]
+    return j.select(*own, F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed").alias("difference"))
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFrame:

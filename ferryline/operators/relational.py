@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferryline.operators.staging import written
+
 
 def cross_apply_top(left: DataFrame, right: DataFrame, key: str, right_key: str, order: list[Column], n: int = 1) -> DataFrame:
     """CROSS APPLY (SELECT TOP n ... ORDER BY ...): ranked once by key, then joined."""
@@ -27,25 +29,28 @@ def not_in(left: DataFrame, column: str, right: DataFrame, right_column: str) ->
     return some.filter((F.col("n") == 0) | ((F.col("nulls") == 0) & F.col(column).isNotNull())).drop("n", "nulls")
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "_place", parts: int = 64) -> DataFrame:
-    """Row numbers from 1 over a global order, without one task for all rows.
+def numbered(df: DataFrame, order: list[Column], name: str = "_place", total: str | None = None) -> DataFrame:
+    """Row numbers from 1 over a global order (and the number of all rows as ``total``), without one task for all rows.
 
-    Rows are ranged by the order; numbers inside each range continue after the
-    ranges before it. ``order`` must be unique for the numbers to be stable.
+    Rows are ranged by the order into as many parts as shuffles have, and
+    written with their part's number: a second ranging would draw other bounds.
+    Numbers inside each part continue after the parts before it. ``order`` must
+    be unique for the numbers to be stable.
     """
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each part
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("_all"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    starts = sizes.select("_part", before.alias("_before"))  # one row for each range
-    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before")
+    out = ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + inside)
+    return (out.withColumn(total, F.col("_all")) if total else out).drop("_part", "_before", "_all")
 
 
 def top_percent(df: DataFrame, percent: float, order: list[Column]) -> DataFrame:
-    """TOP n PERCENT, rounded up to whole rows."""
-    import math
-
-    return df.orderBy(*order).limit(math.ceil(df.count() * percent / 100))
+    """TOP n PERCENT, rounded up to whole rows; the rows stay spread over all parts."""
+    place = numbered(df, order, "_place", "_total")
+    return place.filter(F.col("_place") <= F.ceil(F.round(F.col("_total") * percent / 100, 6))).drop("_place", "_total")
 
 
 def top_with_ties(df: DataFrame, n: int, order: list[str], descending: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferryline.operators import assess as A
+from ferryline.operators.rationale import SENTENCES
 from ferryline.plans.common import sql_values, t, values
 from ferryline.registry import query
 
@@ -42,6 +43,13 @@ TEMPLATES = list(enumerate([
     "RAISERROR('bad', 16, 1)",
     "SELECT a, b FROM t WHERE k = {n} ORDER BY a OFFSET {n} ROWS FETCH NEXT 5 ROWS ONLY",
     "PRINT 'done {n}'",
+    "WITH c AS (SELECT a, max(k) AS m FROM t GROUP BY a) SELECT a FROM c WHERE m = {n}",
+    "-- it's a comment\nSELECT a FROM t /* don't; select top 1 */ WHERE k = {n}",
+    "UPDATE t SET a = 'it''s top; exec' WHERE k = {n}",
+    "WITH c (k) AS (SELECT k FROM (SELECT 1 AS k) s) DELETE FROM c WHERE k = {n}",
+    "DROP PROCEDURE p",
+    "SELECT [it's], \"a--b\" FROM t WHERE s = '/* no comment */' AND k = {n}",
+    "TRUNCATE TABLE t",
 ]))
 
 
@@ -54,11 +62,59 @@ def statement_log(s, d):
 
 _LOG = f"""log AS (SELECT event_id, i, replace(tpl, '{{n}}', CAST(event_id % 10 AS VARCHAR)) AS sql_text, 1 + event_id % 7 AS execution_count, event_id % 6 AS importance, 'db' || (user_id % 5) AS database_name, event_id % 101 = 0 AS failed
           FROM events JOIN {sql_values(TEMPLATES, 'i, tpl')} ON i = event_id % {len(TEMPLATES)})"""
-_STRIP = r"regexp_replace(sql_text, '^\s*\(@[^)]*\)\s*', '')"
-_BARE = rf"upper(regexp_replace(regexp_replace(regexp_replace({_STRIP}, '''[^'']*''', '''''', 'g'), '--[^\n]*', '', 'g'), '/\*[^*]*\*+([^/*][^*]*\*+)*/', '', 'g'))"
-_RISKS = [(name, r) for r, names in A.RISK.items() for name in names.split()]
-_TAGS = f"""{_LOG}, f AS (SELECT * FROM {sql_values([(i, *x) for i, x in enumerate(A.FEATURES)], 'o, tag, category, pat, no')}), r AS (SELECT * FROM {sql_values(_RISKS, 'name, risk')}),
-          tags AS (SELECT log.*, tag, category, o, coalesce(r.risk, 1) AS tag_risk FROM log JOIN f ON regexp_matches({_BARE}, pat) AND (no IS NULL OR NOT regexp_matches({_BARE}, no)) LEFT JOIN r ON name = tag),
+_STRIP = r"regexp_replace(sql_text, '^\s*\(@(?:[^()]|\([^()]*\))*\)\s*', '')"
+#: What each template is, read off by hand: class and tags. The SQL rests on this list, not on the operators' patterns.
+EXPECTED = [
+    ("Select", "TOP TOP_WITHOUT_ORDER"),
+    ("Select", "TOP"),
+    ("Select", "GETDATE ISNULL"),
+    ("Merge", "MERGE OUTPUT"),
+    ("Select", "TOP CROSS_APPLY"),
+    ("Select", "OUTER_APPLY"),
+    ("Select", "PIVOT"),
+    ("Select", "UNPIVOT"),
+    ("Unknown", "DYNAMIC_SQL"),
+    ("Select", "NOLOCK"),
+    ("Update", "ROWLOCK UPDLOCK"),
+    ("Select", "FOR_XML"),
+    ("Select", "STRING_CONCAT_PLUS IMPLICIT_CONVERSION"),
+    ("Select", "DATEADD DATEDIFF DATEPART"),
+    ("Select", "CHARINDEX PATINDEX STUFF"),
+    ("Select", "STRING_SPLIT"),
+    ("Select", "OPENJSON JSON_METHOD"),
+    ("Select", "OPENQUERY"),
+    ("Select", "XML_METHOD"),
+    ("Select", "TEMP_TABLE"),
+    ("Insert", "GLOBAL_TEMP_TABLE"),
+    ("Unknown", "TABLE_VARIABLE"),
+    ("Unknown", "TRY_CATCH THROW"),
+    ("Tcl", "EXPLICIT_TRANSACTION SAVEPOINT"),
+    ("Insert", ""),
+    ("Delete", ""),
+    ("Ddl", ""),
+    ("Procedural", ""),
+    ("Dcl", ""),
+    ("Tcl", ""),
+    ("Unknown", "RAISERROR"),
+    ("Select", "OFFSET_FETCH"),
+    ("Unknown", "PRINT_STATEMENT"),
+    ("Select", ""),
+    ("Select", ""),
+    ("Update", ""),
+    ("Delete", ""),
+    ("Unknown", ""),
+    ("Select", ""),
+    ("Ddl", ""),
+]
+#: Tag, category and risk of the tags above, for the SQL, in the order in which statements list them.
+TAGS = [
+    ("TOP", "query", 2), ("TOP_WITHOUT_ORDER", "query", 2), ("OFFSET_FETCH", "query", 2), ("MERGE", "query", 4), ("OUTPUT", "query", 3), ("CROSS_APPLY", "query", 3), ("OUTER_APPLY", "query", 3), ("PIVOT", "query", 4), ("UNPIVOT", "query", 4), ("DYNAMIC_SQL", "query", 3),
+    ("NOLOCK", "query", 4), ("ROWLOCK", "query", 4), ("UPDLOCK", "query", 4), ("FOR_XML", "query", 4), ("PRINT_STATEMENT", "query", 2), ("STRING_CONCAT_PLUS", "query", 2), ("IMPLICIT_CONVERSION", "query", 2),
+    ("GETDATE", "function", 2), ("DATEADD", "function", 2), ("DATEDIFF", "function", 2), ("DATEPART", "function", 2), ("ISNULL", "function", 2), ("CHARINDEX", "function", 2), ("PATINDEX", "function", 2), ("STUFF", "function", 2), ("STRING_SPLIT", "function", 2), ("OPENJSON", "function", 4), ("JSON_METHOD", "function", 3), ("OPENQUERY", "function", 5), ("XML_METHOD", "function", 5),
+    ("TEMP_TABLE", "temporary", 3), ("GLOBAL_TEMP_TABLE", "temporary", 4), ("TABLE_VARIABLE", "temporary", 4), ("TRY_CATCH", "transaction", 3), ("EXPLICIT_TRANSACTION", "transaction", 3), ("SAVEPOINT", "transaction", 3), ("RAISERROR", "transaction", 3), ("THROW", "transaction", 2),
+]
+_TEMPLATE_TAGS = [(i, o, *t) for i, (_, tags) in enumerate(EXPECTED) for o, t in enumerate(TAGS) if t[0] in tags.split()]
+_TAGS = f"""{_LOG}, tags AS (SELECT log.*, tag, category, o, tag_risk FROM log JOIN {sql_values(_TEMPLATE_TAGS, 'ti, o, tag, category, tag_risk')} ON ti = i),
           an AS (SELECT log.*, CASE WHEN log.failed THEN 3 ELSE coalesce(m, 1) END AS risk, CASE WHEN log.failed THEN 3 ELSE coalesce(m, 1) END * log.execution_count * greatest(least(log.importance, 5), 1) AS weighted_risk
                  FROM log LEFT JOIN (SELECT event_id, max(tag_risk) AS m FROM tags GROUP BY 1) x ON x.event_id = log.event_id)"""
 
@@ -72,22 +128,22 @@ def normalize_sql(s, d):
     return statement_log(s, d).select("event_id", A.strip_params(F.col("sql_text")).alias("body"))
 
 
-@query(rf"WITH {_LOG} SELECT upper(trim(regexp_replace(regexp_replace(regexp_replace({_STRIP}, '''[^'']*''', '?', 'g'), '\b[0-9]+(\.[0-9]+)?\b', '?', 'g'), '\s+', ' ', 'g'))) AS fp, count(*) AS n, CAST(sum(execution_count) AS BIGINT) AS executions FROM log GROUP BY 1")
-def fingerprint_counts(s, d):
-    return statement_log(s, d).groupBy(A.fingerprint(F.col("sql_text")).alias("fp")).agg(F.count("*").alias("n"), F.sum("execution_count").alias("executions"))
+_NO_CODE = r"""'('')(?:[^'']|'''')*('')|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|(\[[^\]]*\]|"[^"]*")'"""
 
 
-_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(trim({_BARE}), '{p}') THEN '{c}'" for c, p in A.CLASSES) + " ELSE 'Unknown' END"
+@query(rf"WITH {_LOG} SELECT upper(trim(regexp_replace(regexp_replace(replace(regexp_replace({_STRIP}, {_NO_CODE}, '\1\2\3', 'g'), chr(39) || chr(39), '?'), '\b[0-9]+(\.[0-9]+)?\b', '?', 'g'), '\s+', ' ', 'g'))) AS fp, count(*) AS n, CAST(sum(execution_count) AS BIGINT) AS executions FROM log GROUP BY 1")
+def fingerprint_counts(s, d):
+    return statement_log(s, d).groupBy(A.fingerprint(F.col("sql_text")).alias("fp")).agg(F.count("*").alias("n"), F.sum("execution_count").alias("executions"))
 
 
-@query(f"WITH {_LOG} SELECT event_id, {_CLASS} AS class FROM log")
+@query(f"WITH {_LOG} SELECT event_id, class FROM log JOIN {sql_values([(i, c) for i, (c, _) in enumerate(EXPECTED)], 'ti, class')} ON ti = i")
 def classify_statements(s, d):
     return statement_log(s, d).select("event_id", A.classify(F.col("sql_text")).alias("class"))
 
 
 @query(f"WITH {_TAGS} SELECT event_id, tag, category FROM tags")
 def feature_tags(s, d):
-    return statement_log(s, d).select("event_id", F.explode(A.features(A.strip_params(F.col("sql_text")))).alias("f")).select("event_id", "f.*")
+    return A.tagged(statement_log(s, d)).select("event_id", F.explode("features").alias("f")).select("event_id", "f.*")
 
 
 @query(f"WITH {_TAGS} SELECT event_id, CAST(risk AS INTEGER) AS risk FROM an")
@@ -127,29 +183,32 @@ def effort_estimate(s, d):
     return A.effort(analyzed(s, d), tables=20, schema_objects=50)
 
 
-@query(f"""WITH {_TAGS}, p AS (SELECT database_name, {_SCORE} AS score, count(*) FILTER (WHERE risk = 5 AND event_id % 50 = 0) AS critical FROM an GROUP BY 1)
+@query(f"""WITH {_TAGS}, p AS (SELECT database_name, {_SCORE} AS score, count(*) FILTER (WHERE risk = 5) AS critical FROM an GROUP BY 1)
           SELECT database_name, score, critical, CASE WHEN score >= 76 AND critical = 0 THEN 'Direct PostgreSQL Migration' WHEN score >= 51 AND critical <= 5 THEN 'PostgreSQL Migration with Compatibility Middleware' WHEN score >= 26 THEN 'Partial Migration' ELSE 'Remain on SQL Server' END AS advice FROM p""")
 def recommendation(s, d):
     most = F.sum(F.col("weighted_risk") / F.col("risk") * 5)
-    p = analyzed(s, d).groupBy("database_name").agg(F.bround(F.greatest(F.least(100 * (1 - F.sum("weighted_risk") / most), F.lit(100.0)), F.lit(0.0)), 0).cast("int").alias("score"), F.count_if((F.col("risk") == 5) & (F.col("event_id") % 50 == 0)).alias("critical"))
+    p = analyzed(s, d).groupBy("database_name").agg(F.bround(F.greatest(F.least(100 * (1 - F.sum("weighted_risk") / most), F.lit(100.0)), F.lit(0.0)), 0).cast("int").alias("score"), F.count_if(F.col("risk") == 5).alias("critical"))
     return p.withColumn("advice", A.recommendation(F.col("score"), F.col("critical")))
 
 
-@query(f"WITH {_TAGS} SELECT event_id, arg_min(tag, lpad(CAST(9 - tag_risk AS VARCHAR), 2, '0') || tag) AS feature FROM tags GROUP BY 1")
+_WHY = f"""{_TAGS}, top AS (SELECT event_id, arg_min(tag, lpad(CAST(9 - tag_risk AS VARCHAR), 2, '0') || tag) AS feature FROM tags GROUP BY 1),
+          why AS (SELECT an.*, feature, coalesce(sentence, 'Standard DML with no SQL Server-specific features detected.') AS rationale FROM an LEFT JOIN top USING (event_id) LEFT JOIN {sql_values(list(SENTENCES.items()), 'name, sentence')} ON name = feature)"""
+
+
+@query(f"WITH {_WHY} SELECT event_id, feature, rationale FROM why")
 def risk_rationale(s, d):
-    """The feature that decides: highest risk, ties by name."""
-    a = analyzed(s, d).filter(F.size("features") > 0)
-    ranked = F.array_sort(F.transform("features", lambda f: F.struct((-A.risk_of(f.tag)).alias("r"), f.tag.alias("tag"))))
-    return a.select("event_id", F.element_at(ranked, 1).getField("tag").alias("feature"))
+    """The feature that decides (highest risk, ties by name), and its sentence."""
+    a = analyzed(s, d)
+    return a.select("event_id", A.top_feature(F.col("features")).alias("feature"), A.rationale(F.col("features"), F.col("risk")).alias("rationale"))
 
 
-@query(f"WITH {_TAGS} SELECT event_id, CAST(risk AS INTEGER) AS risk, CAST(weighted_risk AS BIGINT) AS weighted_risk, CASE WHEN risk <= 2 THEN 'automatic' WHEN risk = 3 THEN 'semi-automatic' ELSE 'manual' END AS conversion, coalesce((SELECT string_agg(tag, ',' ORDER BY o) FROM tags WHERE tags.event_id = an.event_id), '') AS tags FROM an")
+@query(f"WITH {_WHY} SELECT event_id, CAST(risk AS INTEGER) AS risk, CAST(weighted_risk AS BIGINT) AS weighted_risk, CASE WHEN risk <= 2 THEN 'automatic' WHEN risk = 3 THEN 'semi-automatic' ELSE 'manual' END AS conversion, coalesce((SELECT string_agg(tag, ',' ORDER BY o) FROM tags WHERE tags.event_id = why.event_id), '') AS tags, rationale FROM why")
 def statement_detail(s, d):
-    return analyzed(s, d).select("event_id", "risk", F.col("weighted_risk").cast("long").alias("weighted_risk"), A.conversion(F.col("risk")).alias("conversion"), F.array_join(F.transform("features", lambda f: f.tag), ",").alias("tags"))
+    return analyzed(s, d).select("event_id", "risk", F.col("weighted_risk").cast("long").alias("weighted_risk"), A.conversion(F.col("risk")).alias("conversion"), F.array_join(F.transform("features", lambda f: f.tag), ",").alias("tags"), A.rationale(F.col("features"), F.col("risk")).alias("rationale"))
 
 
-_GROUPS = f"""{_TAGS}, g AS (SELECT sha256(sql_text) AS text_hash, database_name, count(*) AS statements, CAST(sum(execution_count) AS BIGINT) AS executions, CAST(sum(weighted_risk) AS BIGINT) AS weighted, CAST(max(risk) AS INTEGER) AS risk
-          FROM an WHERE event_id IN (SELECT event_id FROM tags) GROUP BY 1, 2), gt AS (SELECT sha256(sql_text) AS text_hash, database_name, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, arg_min(tag, lpad(CAST(9 - tag_risk AS VARCHAR), 2, '0') || tag) AS primary_feature FROM tags GROUP BY 1, 2),
+_GROUPS = f"""{_TAGS}, g AS (SELECT sha256(sql_text) AS text_hash, database_name, count(*) AS statements, CAST(sum(execution_count) AS BIGINT) AS executions, CAST(sum(weighted_risk) AS BIGINT) AS weighted, CAST(max(risk) AS INTEGER) AS risk,
+          arg_max(event_id, weighted_risk * 1e12 - event_id) AS primary_id, left(min(sql_text), 500) AS pattern FROM an WHERE event_id IN (SELECT event_id FROM tags) GROUP BY 1, 2), gt AS (SELECT sha256(sql_text) AS text_hash, database_name, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, arg_min(tag, lpad(CAST(9 - tag_risk AS VARCHAR), 2, '0') || tag) AS primary_feature FROM tags GROUP BY 1, 2),
           grp AS (SELECT * FROM g JOIN gt USING (text_hash, database_name))"""
 
 
@@ -162,9 +221,9 @@ def statement_groups(s, d):
     return _groups(s, d).withColumn("tags", F.array_join("tags", ","))
 
 
-@query(f"WITH {_GROUPS}, o AS (SELECT *, row_number() OVER (ORDER BY weighted DESC, text_hash, database_name) AS n FROM grp) SELECT text_hash, database_name, 'WI-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS item FROM o")
+@query(f"WITH {_GROUPS}, o AS (SELECT *, row_number() OVER (ORDER BY weighted DESC, text_hash, database_name) AS n FROM grp) SELECT text_hash, database_name, 'WI-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS item, primary_id, pattern, weighted AS priority FROM o")
 def work_items(s, d):
-    return A.work_items(_groups(s, d)).select("text_hash", "database_name", "item")
+    return A.work_items(_groups(s, d)).select("text_hash", "database_name", "item", "primary_id", "pattern", "priority")
 
 
 @query(f"""WITH {_GROUPS}, o AS (SELECT *, row_number() OVER (ORDER BY weighted DESC, risk DESC, statements DESC, text_hash, database_name) AS p, count(*) OVER () AS n FROM grp)
@@ -174,7 +233,8 @@ def priority_labels(s, d):
     return A.priority_labels(_groups(s, d), order).select("text_hash", "database_name", "priority")
 
 
-_HOURS = [(r, *A.BASE_HOURS[r], A.RANGE_RATIO[r]) for r in range(1, 6)]
+#: Risk, least and most hours, ratio; for the SQL.
+_HOURS = [(1, 0.08, 0.17, 1.5), (2, 0.25, 0.75, 1.5), (3, 1.0, 3.0, 2.0), (4, 4.0, 12.0, 3.0), (5, 12.0, 32.0, 3.0)]
 
 
 @query(f"""WITH {_GROUPS}, h AS (SELECT * FROM {sql_values(_HOURS, 'risk, lo, hi, ratio')}), u AS (SELECT text_hash, database_name, sum(lo) AS lo, sum(hi) AS hi, max(tag_risk) AS top FROM (SELECT DISTINCT sha256(sql_text) AS text_hash, database_name, tag, tag_risk FROM tags) x JOIN h ON h.risk = tag_risk GROUP BY 1, 2)
@@ -188,3 +248,31 @@ def item_effort(s, d):
 def item_tags(s, d):
     category = F.concat(F.lit("c"), F.col("event_id") % 2)
     return analyzed(s, d).select("event_id", F.array_join(A.tags_of(F.col("risk"), category, F.col("risk") == 5), ",").alias("tags"))
+
+
+def _own_tags(d_templates, k):
+    return sorted({x for i in (k % d_templates, k * 7 % d_templates) for x in EXPECTED[i][1].split()})
+
+
+_AD_HOC = ["TOP", "NOLOCK", "STUFF"]
+_OBJECT_TAGS = [(k, tag) for k in range(len(TEMPLATES)) for tag in _own_tags(len(TEMPLATES), k)]
+
+
+def readable_objects(s, d):
+    """For each supplier an object that has the tags of two templates and runs up to 60 statements."""
+    k = F.col("s_suppkey")
+    m = values(s, [(i, _own_tags(len(TEMPLATES), i)) for i in range(len(TEMPLATES))], "i int, tags array<string>")  # a fixed list of some dozen rows
+    o = t(s, d, "supplier", "s_suppkey").select(k.alias("ordinal"), F.concat(F.lit("o"), k).alias("object_name"), (k % 4 * 20).cast("long").alias("statements"), (k % len(TEMPLATES)).cast("int").alias("i"))
+    return o.join(F.broadcast(m), "i").drop("i")
+
+
+@query(f"""WITH {_TAGS}, x AS (SELECT event_id, sql_text, list_sort(list(DISTINCT tag)) AS tags FROM tags GROUP BY 1, 2),
+          ob AS (SELECT s_suppkey AS ordinal, 'o' || s_suppkey AS object_name, s_suppkey % 4 * 20 AS cap, list(DISTINCT tag) AS own FROM supplier JOIN {sql_values(_OBJECT_TAGS, 'k, tag')} ON k = s_suppkey % {len(TEMPLATES)} GROUP BY 1, 2, 3),
+          best AS (SELECT tags, arg_min(ordinal, len(own) * 1e9 + ordinal) AS ordinal FROM (SELECT DISTINCT tags FROM x) y JOIN ob ON list_has_all(own, tags) GROUP BY 1),
+          c AS (SELECT x.event_id, x.sql_text, x.tags, object_name, cap, risk FROM x JOIN best USING (tags) JOIN ob USING (ordinal) JOIN an ON an.event_id = x.event_id),
+          tx AS (SELECT object_name, sql_text, count(*) AS copies, max(len(tags)) AS overlap, max(risk) AS risk, max(CASE WHEN list_has_any(tags, {_AD_HOC}) THEN 1 ELSE 0 END) AS shared, max(cap) AS cap FROM c GROUP BY 1, 2),
+          r AS (SELECT *, coalesce(sum(copies) OVER (PARTITION BY object_name ORDER BY copies, overlap DESC, risk DESC, sql_text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, max(shared) OVER (PARTITION BY object_name) AS capped FROM tx),
+          p AS (SELECT event_id, c.object_name, row_number() OVER (PARTITION BY c.object_name, c.sql_text ORDER BY event_id) AS place, before, r.cap, capped FROM c JOIN r ON r.object_name = c.object_name AND r.sql_text = c.sql_text)
+          SELECT event_id, object_name FROM p WHERE capped = 0 OR before + place <= cap""")
+def attribute_by_features(s, d):
+    return A.attribute_by_features(analyzed(s, d), readable_objects(s, d), _AD_HOC)

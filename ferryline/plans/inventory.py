@@ -8,7 +8,7 @@ from ferryline.operators import assess as A
 from ferryline.operators import inventory as I
 from ferryline.operators import validate as V
 from ferryline.plans import tracking as K
-from ferryline.plans.assessment import _GROUPS, _STRIP, _TAGS, TEMPLATES, _groups, analyzed
+from ferryline.plans.assessment import _GROUPS, _HOURS, _STRIP, _TAGS, TEMPLATES, _groups, analyzed
 from ferryline.plans.common import sql_values, t, values
 from ferryline.registry import query
 
@@ -25,7 +25,7 @@ def objects(s, d):
 
 _LINE = lambda x: rf"upper(trim(regexp_replace({x}, '\s+', ' ', 'g')))"
 _RESOLVED = f"""{_TAGS}, ob AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 17 <> 0 THEN {_LINE("'CREATE PROCEDURE p AS BEGIN ' || replace(tpl, '{n}', CAST(p_partkey % 10 AS VARCHAR)) || '; END'")} END AS body FROM part JOIN {sql_values(TEMPLATES, 'i, tpl')} ON i = p_partkey % {_N}),
-          st AS (SELECT DISTINCT {_LINE(_STRIP)} AS line FROM log), hit AS (SELECT line, min(k) AS k FROM st JOIN ob ON contains(body, line) WHERE length(line) >= 20 AND len(string_split(line, ' ')) >= 3 GROUP BY 1),
+          st AS (SELECT DISTINCT {_LINE(_STRIP)} AS line FROM log), hit AS (SELECT line, min(k) AS k FROM st JOIN ob ON contains(body, line) WHERE length(line) >= 20 GROUP BY 1),
           res AS (SELECT event_id, 'o' || k AS object_name FROM log LEFT JOIN hit ON hit.line = {_LINE(_STRIP)})"""
 
 
@@ -68,14 +68,15 @@ def schema_effort(s, d):
     return I.schema_effort(findings(s, d))
 
 
-_EFFORT = f"""{_GROUPS}, h AS (SELECT * FROM {sql_values([(r, *A.BASE_HOURS[r], A.RANGE_RATIO[r]) for r in range(1, 6)], 'risk, lo, hi, ratio')}), u AS (SELECT text_hash, database_name, sum(lo) AS lo, sum(hi) AS hi, max(tag_risk) AS top FROM (SELECT DISTINCT sha256(sql_text) AS text_hash, database_name, tag, tag_risk FROM tags) x JOIN h ON h.risk = tag_risk GROUP BY 1, 2),
+_EFFORT = f"""{_GROUPS}, h AS (SELECT * FROM {sql_values(_HOURS, 'risk, lo, hi, ratio')}), u AS (SELECT text_hash, database_name, sum(lo) AS lo, sum(hi) AS hi, max(tag_risk) AS top FROM (SELECT DISTINCT sha256(sql_text) AS text_hash, database_name, tag, tag_risk FROM tags) x JOIN h ON h.risk = tag_risk GROUP BY 1, 2),
           eff AS (SELECT grp.risk, round(greatest(u.lo, u.hi / h.ratio) * (1 - power(0.7, statements)) / 0.3 + 1e-9, 4) AS min_hours, round(u.hi * (1 - power(0.7, statements)) / 0.3 + 1e-9, 4) AS max_hours FROM grp JOIN u USING (text_hash, database_name) JOIN h ON h.risk = u.top)"""
 
 
-@query(f"WITH {_EFFORT} SELECT CASE WHEN risk <= 2 THEN 'High' WHEN risk = 3 THEN 'Medium' ELSE 'Low' END AS confidence, count(*) AS items, CAST(sum(CAST(min_hours AS DECIMAL(18,4))) AS DOUBLE) AS min_hours, CAST(sum(CAST(max_hours AS DECIMAL(18,4))) AS DOUBLE) AS max_hours FROM eff GROUP BY 1")
+@query(f"""WITH {_EFFORT} SELECT CASE WHEN risk <= 2 THEN 'High' WHEN risk = 3 THEN 'Medium' ELSE 'Low' END AS confidence, count(*) AS items, CAST(sum(CAST(min_hours AS DECIMAL(18,4))) AS DOUBLE) AS min_hours, CAST(sum(CAST(max_hours AS DECIMAL(18,4))) AS DOUBLE) AS max_hours,
+          'Global temp table usage requires architectural review before effort can be scoped. XML/CLR features require replacement strategy selection (e.g., native PostgreSQL XML or application-layer migration) before estimates can be narrowed. Linked server / OPENQUERY usage requires target connectivity architecture decisions (e.g., foreign data wrappers, ETL, or API integration).' AS notes FROM eff GROUP BY 1""")
 def confidence_summary(s, d):
     lo, hi = A.item_effort(F.col("tags"), F.col("statements"))
-    return I.confidence_summary(_groups(s, d).select("risk", F.round(lo + 1e-9, 4).alias("min_hours"), F.round(hi + 1e-9, 4).alias("max_hours")))
+    return I.confidence_summary(_groups(s, d).select("risk", "tags", F.round(lo + 1e-9, 4).alias("min_hours"), F.round(hi + 1e-9, 4).alias("max_hours")))
 
 
 @query(f"WITH {_GROUPS} SELECT text_hash, database_name, risk FROM grp WHERE risk >= 3 ORDER BY weighted DESC, text_hash, database_name LIMIT 20")
@@ -83,9 +84,9 @@ def limited_items(s, d):
     return I.limited_items(_groups(s, d), [F.desc("weighted"), F.asc("text_hash"), F.asc("database_name")], 20, 3).select("text_hash", "database_name", "risk")
 
 
-@query(f"WITH {_GROUPS} SELECT text_hash, database_name, lag(text_hash) OVER w AS before, lead(text_hash) OVER w AS after FROM grp WINDOW w AS (PARTITION BY database_name ORDER BY text_hash)")
+@query(f"WITH {_GROUPS} SELECT a.text_hash, a.database_name, CAST(0 AS BIGINT) AS block, string_agg(b.text_hash, ',' ORDER BY b.text_hash) AS related FROM grp a JOIN grp b ON a.database_name = b.database_name AND a.text_hash <> b.text_hash GROUP BY 1, 2")
 def related_items(s, d):
-    return A.related_items(_groups(s, d), "text_hash", "database_name")
+    return A.related_items(_groups(s, d), "text_hash", "database_name").withColumn("related", F.array_join("related", ","))
 
 
 @query("""WITH i AS (SELECT p_partkey AS item, p_partkey % 5 AS e, p_partkey % 50 AS ob, p_partkey % 2 AS tg, p_partkey % 5 + 1 AS risk, p_partkey % 4 - 1 AS lo, p_partkey % 3 * 2 AS hi FROM part)

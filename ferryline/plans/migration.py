@@ -94,7 +94,7 @@ def check_breaches(s, d):
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def copy_roundtrip(s, d):
     """Written out and read back."""
-    return M._cut(t(s, d, "supplier"))
+    return M.written(t(s, d, "supplier"))
 
 
 @query("SELECT p_partkey, CAST(i - 1 AS INTEGER) AS no, 'select ' || i || ' from ' || p_brand AS batch FROM part, (VALUES (1), (2), (3)) v(i) WHERE i <> 2")
