@@ -140,6 +140,104 @@ def datepart(part: str, d: Column) -> Column:
     return {"year": F.year, "quarter": F.quarter, "month": F.month, "day": F.dayofmonth, "dayofyear": F.dayofyear, "hour": F.hour, "minute": F.minute, "second": F.second}[part](d)
 
 
+def now(utc: bool = False) -> Column:
+    """GETDATE and SYSDATETIME; with ``utc`` GETUTCDATE and SYSUTCDATETIME. One value for a whole query."""
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()) if utc else F.current_timestamp()
+
+
+#: One-letter date formats, and the letters that the source dialect writes otherwise.
+DATE_FORMATS = {"d": "M/d/yyyy", "D": "EEEE, MMMM d, yyyy", "t": "h:mm a", "T": "h:mm:ss a", "g": "M/d/yyyy h:mm a", "G": "M/d/yyyy h:mm:ss a", "s": "yyyy-MM-dd'T'HH:mm:ss", "u": "yyyy-MM-dd HH:mm:ss'Z'", "Y": "MMMM yyyy", "M": "MMMM d"}
+DATE_LETTERS = {"dddd": "EEEE", "ddd": "EEE", "fffffff": "SSSSSSS", "fff": "SSS", "ff": "SS", "f": "S", "tt": "a"}
+
+
+def format_date(d: Column, fmt: str) -> Column:
+    """FORMAT of a date or time."""
+    words = re.compile("'[^']*'|" + "|".join(sorted(DATE_LETTERS, key=len, reverse=True)))
+    return F.date_format(d, DATE_FORMATS.get(fmt) or words.sub(lambda m: DATE_LETTERS.get(m[0], m[0]), fmt))
+
+
+def format_number(x: Column, fmt: str) -> Column:
+    """FORMAT of a number: N, F, C, P and D with digits, 0-padded 000, or a pattern such as #,##0.00."""
+    m = re.fullmatch(r"([NFCPDnfcpd])(\d*)", fmt)
+    if not m:
+        return F.lpad(x.cast("long").cast("string"), len(fmt), "0") if re.fullmatch("0+", fmt) else F.format_number(x, fmt)
+    kind, digits = m[1].upper(), int(m[2] or 2)
+    if kind == "D":
+        size = int(m[2] or 1)
+        text = F.abs(x).cast("long").cast("string")
+        return F.concat(F.when(x < 0, "-").otherwise(""), F.lpad(text, F.greatest(F.lit(size), F.length(text)), F.lit("0")))
+    if kind == "F":
+        return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+    if kind == "P":
+        return F.concat(F.format_number(x * 100, digits), F.lit("%"))
+    if kind == "C":
+        return F.concat(F.when(x < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(x), digits))
+    return F.format_number(x, digits)
+
+
+def newid() -> Column:
+    """NEWID: another random identifier for each row."""
+    return F.upper(F.uuid())
+
+
+def rand() -> Column:
+    return F.rand()
+
+
+# --- JSON and XML ---
+
+
+def json_query(doc: Column, path: str) -> Column:
+    """JSON_QUERY: the object or array at a path; null for a single value or nothing."""
+    v = F.try_variant_get(F.try_parse_json(doc), path, "variant")
+    return F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.to_json(v))
+
+
+def json_modify(doc: Column, key: str, value: Column) -> Column:
+    """JSON_MODIFY of a key of the outermost object: its new value (text or number), or without it where the value is null."""
+    had = F.try_parse_json(doc).cast("map<string,variant>")
+    rest = F.map_filter(had, lambda k, v: k != key)
+    return F.to_json(F.when(value.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.to_json(F.struct(value.alias("v")))).cast("map<string,variant>")["v"]))))
+
+
+#: Type numbers of OPENJSON.
+JSON_TYPES = [("^VOID", 0), ("^STRING", 1), ("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)", 2), ("^BOOLEAN", 3), ("^ARRAY", 4), ("^OBJECT", 5)]
+
+
+def openjson(doc: Column) -> Column:
+    """OPENJSON of an object: array of (key, value, type), for explode; strings without quotes."""
+    entries = F.map_entries(F.try_parse_json(doc).cast("map<string,variant>"))
+
+    def row(e):
+        kind = F.schema_of_variant(e.value)
+        number = F.coalesce(*[F.when(kind.rlike(p), F.lit(n)) for p, n in JSON_TYPES])
+        text = F.when(number == 0, F.lit(None)).when(number == 1, e.value.cast("string")).otherwise(F.to_json(e.value))
+        return F.struct(e.key.alias("key"), text.alias("value"), number.alias("type"))
+
+    return F.transform(entries, row)
+
+
+def openjson_with(doc: Column, schema: str) -> Column:
+    """OPENJSON WITH (schema) of an array of objects: array of structs, for explode."""
+    return F.from_json(doc, f"array<struct<{schema}>>")
+
+
+def xml_nodes(doc: Column, schema: str, *path: str) -> Column:
+    """.nodes(): the repeated element at a path under the root as array of structs (attributes begin with _), for explode."""
+    out = F.from_xml(doc, schema)
+    for p in path:
+        out = out.getField(p)
+    return out
+
+
+def for_xml(row: str, columns: list[str]) -> Column:
+    """FOR XML PATH(row): one element for each row of a group, in the order of its columns; nulls leave theirs out."""
+    clean = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    part = lambda x, c: F.coalesce(F.concat(F.lit(f"<{c}>"), clean(x[c]), F.lit(f"</{c}>")), F.lit(""))
+    rows = F.array_sort(F.collect_list(F.struct(*columns)))
+    return F.array_join(F.transform(rows, lambda x: F.concat(F.lit(f"<{row}>"), *[part(x, c) for c in columns], F.lit(f"</{row}>"))), "")
+
+
 def datename(part: str, d: Column) -> Column:
     return F.date_format(d, {"month": "MMMM", "weekday": "EEEE"}[part]) if part in ("month", "weekday") else datepart(part, d).cast("string")
 

@@ -99,8 +99,48 @@ def batch_insert(target: DataFrame, batch: DataFrame, checks: dict[str, Column])
     return target.unionByName(batch.crossJoin(ok).filter("_ok").select(*target.columns))
 
 
-def queue_drain(queue: DataFrame, known: DataFrame, key: str, n: int, order: list[Column]) -> DataFrame:
-    """The first n pending entries with what becomes of them: done, or failed where the key is unknown."""
-    first = queue.orderBy(*order).limit(n)
+def capped_adjustment(rows: DataFrame, groups: DataFrame, key: str, group: str, amount: str, budget: str, percent: float) -> tuple[DataFrame, DataFrame]:
+    """A cursor's updates as one set: ``amount`` raised by ``percent``, to the group's budget by head at most.
+
+    ``groups``: group, budget. Returns the rows as they are afterwards, and
+    history (key, old_amount, new_amount, reason) of all that were looked at:
+    those with an amount above 0. Heads are counted over all rows of a group;
+    rows of unknown groups have no cap.
+    """
+    heads = rows.groupBy(group).agg(F.count("*").alias("_heads"))
+    cap = groups.join(heads, group).select(group, (F.col(budget) / F.col("_heads")).alias("_cap"))
+    j = rows.join(cap, group, "left")
+    money = rows.schema[amount].dataType
+    raised = F.col(amount) * (1 + F.lit(percent) / 100)
+    new = F.when(F.col(amount) > 0, F.least(raised, F.coalesce("_cap", raised))).otherwise(F.col(amount)).cast(money)
+    j = j.withColumn("_new", new)
+    history = j.filter(F.col(amount) > 0).select(key, F.col(amount).alias("old_amount"), F.col("_new").alias("new_amount"), F.lit(f"Annual adjustment {percent:.2f}%").alias("reason"))
+    return j.withColumn(amount, F.col("_new")).select(*rows.columns), history
+
+
+def queue_drain(queue: DataFrame, known: DataFrame, id_col: str, key: str, n: int, order: list[Column], status: str = "status") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first n pending entries are worked off: done, or failed where the key is unknown.
+
+    Returns the entries with their result, the queue as it is afterwards, and
+    the error log (id_col, message). ``order`` must be unique. n is the
+    feature's limit; the rest of the queue stays as it is.
+    """
+    first = queue.filter(F.col(status) == "Pending").orderBy(*order).limit(n)
     hit = known.select(F.col(key)).distinct().withColumn("_hit", F.lit(True))
-    return first.join(hit, key, "left").withColumn("result", F.when(F.col("_hit"), "done").otherwise("failed")).drop("_hit")
+    done = first.join(hit, key, "left").withColumn("result", F.when(F.col("_hit"), "Completed").otherwise("Failed")).drop("_hit")
+    after = queue.join(F.broadcast(done.select(id_col, "result")), id_col, "left").withColumn(status, F.coalesce("result", status)).select(*queue.columns)  # n rows at most
+    errors = done.filter("result = 'Failed'").select(id_col, F.concat(F.lit("Queue item "), F.col(id_col), F.lit(": Employee not found for queue item")).alias("message"))
+    return done, after, errors
+
+
+def write_partitioned(df: DataFrame, path: str, c: str, boundaries: list[Column]) -> None:
+    """Files by range of a column (``range_part``), so that readers that filter by it read those alone."""
+    part = range_partition(F.col(c), boundaries)
+    df.withColumn("range_part", part).repartition("range_part", F.pmod(F.xxhash64(c), F.lit(8))).write.mode("overwrite").partitionBy("range_part").parquet(path)
+
+
+def read_between(df: DataFrame, c: str, low, high, boundaries: list) -> DataFrame:
+    """Rows with low <= column < high of a table that ``write_partitioned`` wrote (boundaries as values): only partitions that can hold such rows are read."""
+    first = 1 + sum(low >= b for b in boundaries)
+    last = 1 + sum(high > b for b in boundaries)
+    return df.filter(F.col("range_part").between(first, last) & (F.col(c) >= F.lit(low)) & (F.col(c) < F.lit(high)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
@@ -176,13 +177,21 @@ def check_breaches(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("rule", F.explode(broken))
 
 
-def copy_tables(copies: list[tuple[str, object]]) -> list[tuple[str, str]]:
-    """Run (name, action) pairs in order; a failing table doesn't stop the others."""
+def copy_tables(spark, tables: DataFrame, edges: DataFrame, copy: Callable[[str], int], most: int = 100_000) -> DataFrame:
+    """Copy each of ``tables`` (table_name) after those it refers to (``edges``: src refers to dst); one row for each: table_name, wave, rows, status, message.
+
+    ``copy`` moves one table, as a Spark job, and returns its number of rows. A
+    failing table doesn't stop others. Tables in or behind a cycle come last.
+    Names alone come to the driver, ``most`` at most: more is an error.
+    """
+    waves = dependency_waves(tables.select(F.col("table_name").alias("node")), edges)
+    names = waves.orderBy(F.asc_nulls_last("wave"), "node").limit(most + 1).collect()
+    if len(names) > most:
+        raise ValueError(f"over {most} tables")
     out = []
-    for name, action in copies:
+    for r in names:
         try:
-            action()
-            out.append((name, "ok"))
+            out.append((r.node, r.wave, copy(r.node), "ok", None))
         except Exception as e:  # noqa: BLE001  reported, by table
-            out.append((name, f"failed: {str(e)[:200]}"))
-    return out
+            out.append((r.node, r.wave, None, "failed", str(e)[:200]))
+    return spark.createDataFrame(out, "table_name string, wave int, rows long, status string, message string")

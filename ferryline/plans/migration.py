@@ -127,13 +127,42 @@ def workload_store(s, d):
     return S.workload_store(texts, queries, plans, stats).select("query_id", "sql_text", "query_hash", "plan_id", "executions", "avg_duration_ms")
 
 
-@query("SELECT 'rpc_completed' AS event_name, 'select ' || event_id AS sql_text, event_id * 3 AS duration_us, 'db' || user_id AS database_name FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
+@query("""SELECT 'rpc_completed' AS event_name, 'select ' || event_id AS sql_text, event_id * 3 AS duration_us, 'db' || user_id AS database_name, CASE WHEN event_id % 4 = 0 THEN '@a:int=' || event_id || ';@p1:unknown=' || repeat('x', 4000) ELSE '' END AS params FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0""")
 def events_xml_shred(s, d):
+    """Events of other kinds or without text go; of two durations the later counts; the second parameter has no name, no type and too long a value."""
     k = F.col("event_id")
     name = F.when(k % 3 == 0, "wait_info").otherwise("rpc_completed")
     text = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("<data name='statement'><value>select "), k, F.lit("</value></data>")))
-    doc = F.concat(F.lit("<event name='"), name, F.lit("' timestamp='2024-01-01T00:00:00Z'>"), text, F.lit("<data name='duration'><value>"), k * 3, F.lit("</value></data><action name='database_name'><value>db"), F.col("user_id"), F.lit("</value></action></event>"))
-    return S.shred_events(t(s, d, "events").select(doc.alias("event_xml"))).select("event_name", "sql_text", "duration_us", "database_name")
+    call = F.when(k % 4 == 0, F.concat(F.lit("<data name='parameters'><value><parameter name='@a' type='int'>"), k, F.lit(f"</parameter><parameter>{'x' * 4010}</parameter></value></data>"))).otherwise("")
+    doc = F.concat(F.lit("<event name='"), name, F.lit("' timestamp='2024-01-01T00:00:00Z'>"), text, F.lit("<data name='duration'><value>1</value></data><data name='duration'><value>"), k * 3, F.lit("</value></data>"), call, F.lit("<action name='database_name'><value>db"), F.col("user_id"), F.lit("</value></action></event>"))
+    shown = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit(":"), p["type"], F.lit("="), p["value"])), ";")
+    return S.shred_events(t(s, d, "events").select(doc.alias("event_xml"))).select("event_name", "sql_text", "duration_us", "database_name", shown.alias("params"))
+
+
+def _catalog(s, d):
+    """A catalog of parts: a table for each, system ones too, with features by their number."""
+    k = F.col("p_partkey")
+    p = t(s, d, "part", "p_partkey")
+    schema = F.when(k % 10 == 0, "sys").otherwise("dbo")
+    tables = p.select(schema.alias("schema_name"), F.concat(F.lit("t"), k).alias("table_name"), (k % 7 == 0).cast("int").alias("is_tracked_by_cdc"), (k % 3).alias("filestream_data_space_id"), (k % 2).alias("temporal_type"), (k % 11 == 0).cast("int").alias("is_memory_optimized"))
+    columns = p.select(schema.alias("schema_name"), F.concat(F.lit("t"), k).alias("table_name"), F.explode(F.array(F.lit(2), F.lit(1))).alias("ordinal")).select("*", F.concat(F.lit("c"), "ordinal").alias("column_name"), F.lit("int").alias("data_type"), (F.col("ordinal") == 2).alias("is_nullable"))
+    modules = p.select(schema.alias("schema_name"), F.concat(F.lit("p"), k).alias("object_name"), F.lit("procedure").alias("object_type"), F.lit("body").alias("body"), (k % 13 == 0).cast("int").alias("uses_native_compilation"))
+    assemblies = p.select((k % 5 == 0).cast("int").alias("is_user_defined"))
+    services = p.select(F.concat(F.when(k % 2 == 0, "http://").otherwise("s"), k).alias("name"))
+    return {"tables": tables, "columns": columns, "modules": modules, "assemblies": assemblies, "services": services, "change_tracking_tables": p.filter("p_partkey % 9 = 0"), "xml_indexes": p.filter("false")}
+
+
+@query("""SELECT * FROM (SELECT 0 AS ordinal, 'SQL CLR' AS category, count(*) FILTER (WHERE p_partkey % 5 = 0) AS n, true AS accessible FROM part UNION ALL SELECT 1, 'Service Broker', count(*) FILTER (WHERE p_partkey % 2 = 1), false FROM part UNION ALL SELECT 2, 'Agent Jobs', 0, false UNION ALL SELECT 3, 'CDC', count(*) FILTER (WHERE p_partkey % 7 = 0), true FROM part
+          UNION ALL SELECT 4, 'Change Tracking', count(*) FILTER (WHERE p_partkey % 9 = 0), true FROM part UNION ALL SELECT 5, 'Replication', 0, false UNION ALL SELECT 6, 'Linked Servers', 0, false UNION ALL SELECT 7, 'Full Text Search', 0, false UNION ALL SELECT 8, 'FileStream', count(*) FILTER (WHERE p_partkey % 3 <> 0), false FROM part
+          UNION ALL SELECT 9, 'XML Indexes', 0, true UNION ALL SELECT 10, 'Temporal Tables', count(*) FILTER (WHERE p_partkey % 2 <> 0), true FROM part UNION ALL SELECT 11, 'Memory Optimized', count(*) FILTER (WHERE p_partkey % 11 = 0) + count(*) FILTER (WHERE p_partkey % 13 = 0), true FROM part UNION ALL SELECT 12, 'Partitioning', 0, false)""")
+def server_feature_counts(s, d):
+    return S.feature_counts(s, _catalog(s, d))
+
+
+@query("SELECT 't' || p_partkey AS table_name, 'c1:false,c2:true' AS columns FROM part WHERE p_partkey % 10 <> 0")
+def catalog_tables(s, d):
+    shown = F.array_join(F.transform("columns", lambda c: F.concat(c["column_name"], F.lit(":"), c["is_nullable"].cast("string"))), ",")
+    return S.read_catalog(_catalog(s, d))["tables"].select("table_name", shown.alias("columns"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'EXEC p @a = ''' || user_id || ''', @b = ''' || event_type || '''' ELSE 'exec p long statement text that says more than its parameters do' END AS sql_text, CAST(1 AS BIGINT) AS execution_count FROM events")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ferryline.operators import validate as V
-from ferryline.plans.common import t
+from ferryline.plans.common import sql_values, t, values
 from ferryline.registry import query
 from ferryline.streaming import telemetry as X
 
@@ -58,13 +58,13 @@ def top_failing_types(s, d):
     return bad.crossJoin(overall).filter("score < 70").drop("score").orderBy(F.desc("n"), "object_type").limit(5)
 
 
-_CAUSE = "CASE " + " ".join(f"WHEN regexp_matches(error_message, '{p}') THEN '{c}'" for c, p in V.CAUSES) + " ELSE 'procedural pattern not handled' END"
+_CAUSE = "CASE error_message WHEN 'empty body' THEN 'prompt deficiency' WHEN 'type \"money2\" does not exist' THEN 'type mapping gap' WHEN 'function f(int) does not exist' THEN 'function mapping gap' WHEN 'relation \"t\" does not exist' THEN 'dependency resolution failure' ELSE 'procedural pattern not handled' END"
 
 
-@query(f"SELECT {_CAUSE} AS category, count(*) AS n, min(object_name) AS first_object FROM {_sql(1)} WHERE status LIKE 'fail%' GROUP BY 1")
+@query(f"""WITH f AS (SELECT object_name, {_CAUSE} AS category FROM {_sql(1)} WHERE status LIKE 'fail%'), c AS (SELECT category, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, category) AS INTEGER) AS rank FROM f GROUP BY 1)
+          SELECT object_name, category, n, rank FROM f JOIN c USING (category)""")
 def root_cause(s, d):
-    r = results(s, d, 1).filter(F.col("status").startswith("fail"))
-    return r.groupBy(V.root_cause(F.col("error_message")).alias("category")).agg(F.count("*").alias("n"), F.min("object_name").alias("first_object"))
+    return V.ranked_causes(results(s, d, 1).filter(F.col("status").startswith("fail")))
 
 
 @query(f"SELECT a.object_name, CASE WHEN a.status IN ('pass', 'skip') THEN a.status ELSE coalesce(b.status, 'fail-convert') END AS status FROM {_sql(1)} a LEFT JOIN (SELECT * FROM {_sql(3)} WHERE object_type <> 'view') b USING (object_name)")
@@ -79,11 +79,14 @@ def changed_objects(s, d):
     return V.changed_objects(results(s, d, 2), before).select("object_name", "reason")
 
 
-@query(f"SELECT database_name, count(*) AS objects, count(*) FILTER (WHERE status = 'pass') AS passed, CASE WHEN count(*) FILTER (WHERE status = 'skip') = count(*) THEN 'N/A' WHEN count(*) FILTER (WHERE status LIKE 'fail%') > 0 THEN 'WARN' ELSE 'OK' END AS state FROM {_sql(1)} GROUP BY 1")
+@query(f"""WITH r AS (SELECT 'db' || r AS database_name, r = 2 AS broken FROM range(8) x(r)), c AS ({_score(1, 'database_name')})
+          SELECT database_name, CASE WHEN broken OR passed IS NULL THEN 0 ELSE passed + failed + skipped END AS objects, CASE WHEN broken OR passed IS NULL THEN 0 ELSE passed END AS passed, CASE WHEN broken OR passed IS NULL THEN 0 ELSE failed END AS failed,
+          CASE WHEN NOT broken THEN score END AS score, CASE WHEN broken OR passed IS NULL THEN 'ERROR' WHEN passed + failed = 0 THEN 'N/A' WHEN failed > 0 THEN 'WARN' ELSE 'OK' END AS state FROM r LEFT JOIN c USING (database_name)""")
 def batch_summary(s, d):
-    c = V.compat_score(results(s, d, 1), "database_name")
-    objects = F.col("passed") + F.col("failed") + F.col("skipped")
-    return c.select("database_name", objects.alias("objects"), "passed", F.when(F.col("skipped") == objects, "N/A").when(F.col("failed") > 0, "WARN").otherwise("OK").alias("state"))
+    """Eight runs: db2 broke off, db6 and db7 left no results."""
+    k = F.col("p_partkey") % 8
+    runs = t(s, d, "part", "p_partkey").select(F.concat(F.lit("db"), k).alias("database_name"), F.when(k == 2, "connection lost").alias("error")).distinct()
+    return V.batch_summary(runs, results(s, d, 1))
 
 
 @query(f"""WITH r AS (SELECT database_name, count(*) FILTER (WHERE status = 'pass') / CAST(count(*) AS DOUBLE) AS ddl FROM {_sql(1)} GROUP BY 1)
@@ -94,9 +97,40 @@ def e2e_score(s, d):
     return r.select("database_name", V.e2e_score(F.col("ddl"), F.when(db != "db1", 0.9), F.when(db != "db2", 0.8)).alias("score"))
 
 
-@query(f"SELECT status, object_type, count(*) AS n FROM {_sql(1)} GROUP BY 1, 2")
+def entries(s, d):
+    """Conversion results of parts: every fifth is flagged, some have review flags and notes."""
+    k = F.col("p_partkey")
+    status = F.when(k % 5 == 0, "flagged").when(k % 7 == 0, "failed").when(k % 11 == 0, "reviewed").otherwise("converted")
+    note = lambda c, x: F.struct(F.lit(c).alias("category"), x.alias("description"))
+    notes = F.array_compact(F.array(F.when(k % 2 == 0, note("types", F.concat(F.lit("kind "), k % 3))), F.when(k % 4 == 0, note("types", F.lit("kind 0"))), F.when(k % 6 == 0, note("dates", F.lit("zone")))))
+    pick = F.element_at(F.array(*[F.lit(x) for x in _TYPES]), (k % 5 + 1).cast("int"))
+    return t(s, d, "part", "p_partkey").select(F.concat(F.lit("o"), k).alias("object_name"), status.alias("status"), F.when(k % 3 == 0, "rule").otherwise("assisted").alias("method"), pick.alias("object_type"), notes.alias("notes"), F.when(k % 13 == 0, F.array(F.lit("see loop"))).otherwise(F.array().cast("array<string>")).alias("flags"))
+
+
+_ENTRIES = "(SELECT 'o' || p_partkey AS object_name, p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 'flagged' WHEN p_partkey % 7 = 0 THEN 'failed' WHEN p_partkey % 11 = 0 THEN 'reviewed' ELSE 'converted' END AS status, CASE WHEN p_partkey % 3 = 0 THEN 'rule' ELSE 'assisted' END AS method, ['table', 'view', 'function', 'procedure', 'trigger'][p_partkey % 5 + 1] AS object_type FROM part)"
+
+
+@query(f"""SELECT 'status' AS section, status AS name, CAST(count(*) AS DOUBLE) AS value FROM {_ENTRIES} GROUP BY 2 UNION ALL SELECT 'method', method, count(*) FROM {_ENTRIES} GROUP BY 2 UNION ALL SELECT 'type', object_type, count(*) FROM {_ENTRIES} GROUP BY 2
+          UNION ALL SELECT 'summary', 'objects', count(*) FROM {_ENTRIES} UNION ALL SELECT 'summary', 'progress', round_even(100.0 * count(*) FILTER (WHERE status <> 'failed') / count(*), 1) FROM {_ENTRIES}""")
 def conversion_summary(s, d):
-    return results(s, d, 1).groupBy("status", "object_type").agg(F.count("*").alias("n"))
+    return V.conversion_report(entries(s, d))
+
+
+@query("""SELECT category, description, count(*) AS objects FROM (SELECT p_partkey, 'types' AS category, 'kind ' || (p_partkey % 3) AS description FROM part WHERE p_partkey % 2 = 0 UNION SELECT p_partkey, 'types', 'kind 0' FROM part WHERE p_partkey % 4 = 0 UNION SELECT p_partkey, 'dates', 'zone' FROM part WHERE p_partkey % 6 = 0) GROUP BY 1, 2""")
+def conversion_notes(s, d):
+    return V.conversion_notes(entries(s, d))
+
+
+@query(f"SELECT object_name, status FROM {_ENTRIES} WHERE status = 'flagged' OR k % 13 = 0")
+def flagged_objects(s, d):
+    return V.flagged_objects(entries(s, d)).select("object_name", "status")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 97 >= 70 AND p_partkey % 10 <> 3 THEN 'converted' ELSE 'flagged' END AS status, CASE WHEN p_partkey % 10 = 3 THEN 'AI confidence (unknown) is below threshold (0.70)' WHEN p_partkey % 97 < 70 THEN 'AI confidence (' || format('{:.2f}', (p_partkey % 97) / 100.0) || ') is below threshold (0.70)' END AS reason FROM part")
+def confidence_flags(s, d):
+    k = F.col("p_partkey")
+    f = V.confidence_flag(F.when(k % 10 != 3, (k % 97) / F.lit(100.0)))
+    return t(s, d, "part", "p_partkey").select("p_partkey", f.alias("f")).select("p_partkey", "f.*")
 
 
 @query("SELECT 'orders' AS name, CAST(count(*) AS DOUBLE) AS actual, count(*) >= 10 AS passed FROM orders UNION ALL SELECT 'keys', CAST(max(o_orderkey) AS DOUBLE), max(o_orderkey) < 0 FROM orders")
@@ -121,18 +155,48 @@ def residue_scan(s, d):
     return p.select("p_partkey", V.residue(F.col("x")).alias("residue"), V.unbalanced(F.col("x")).alias("unbalanced"))
 
 
-@query(f"SELECT object_name, CASE WHEN object_type IN ('procedure', 'function', 'trigger') THEN 'assisted' WHEN object_type = 'view' AND p_size % 2 = 0 THEN 'assisted' ELSE 'rule' END AS route FROM {_sql(1)} JOIN part ON object_name = 'o' || p_partkey")
+@query(f"SELECT object_name, CASE WHEN p_size % 10 = 3 THEN 'rule' WHEN object_type IN ('procedure', 'function', 'trigger') THEN 'assisted' WHEN object_type = 'view' AND p_size % 2 = 0 THEN 'assisted' ELSE 'rule' END AS route FROM {_sql(1)} JOIN part ON object_name = 'o' || p_partkey")
 def route_objects(s, d):
     r = results(s, d, 1).join(t(s, d, "part"), F.col("object_name") == F.concat(F.lit("o"), "p_partkey"))
     text = F.when(F.col("p_size") % 2 == 0, "select * from a cross apply f(b)").otherwise("select 1")
-    return r.select("object_name", V.route(F.col("object_type"), text).alias("route"))
-
-
-@query(f"SELECT object_name, row_number() OVER (ORDER BY CASE object_type WHEN 'table' THEN 0 WHEN 'view' THEN 1 WHEN 'function' THEN 2 WHEN 'procedure' THEN 3 ELSE 4 END, object_name) AS place FROM {_sql(1)}")
+    return r.select("object_name", V.route(F.col("object_type"), text, F.when(F.col("p_size") % 10 == 3, "rule")).alias("route"))
+
+
+#: Scripts and, read off by hand, what is wrong with them and where.
+SCRIPTS = [
+    ("CREATE TABLE t (a int, b text DEFAULT 'it''s (');", None, None),
+    ("create or replace view v as\nselect 1", None, None),
+    (" \n ", "DDL statement is empty or null", 1),
+    ("CREATE TABLE t (a int\n, b int", "Unbalanced parentheses detected", 2),
+    ("CREATE TABLE t (a int)\n)\n;", "Unbalanced parentheses detected", 2),
+    ("CREATE VIEW v AS SELECT 'a\nb' AS x,\n'open", "Unclosed string literal detected", 3),
+    ("SELECT 1", "DDL does not start with a valid PostgreSQL statement keyword", 1),
+    ("CREATE TABLE t (a int);\nGO", "T-SQL batch separator 'GO' detected", 2),
+    ("CREATE PROCEDURE p() AS\nSET NOCOUNT ON", "T-SQL 'SET NOCOUNT' detected", 2),
+    ("CREATE TABLE t (\na nvarchar(10),\nb datetime)", "T-SQL data type 'NVARCHAR' detected (use VARCHAR in PostgreSQL)", 2),
+    ("INSERT INTO t\nSELECT * FROM [a].[b]", "T-SQL bracket-quoted identifier detected", 2),
+    ("CREATE TABLE t (a int IDENTITY(1, 1))", "T-SQL IDENTITY column detected (use SERIAL or GENERATED in PostgreSQL)", 1),
+    ("DO $$\nDECLARE @x int", "T-SQL variable declaration with '@' prefix detected", 2),
+]
+
+
+@query(f"SELECT p_partkey, message, CAST(line AS INTEGER) AS line FROM part JOIN {sql_values([(i, m, n) for i, (_, m, n) in enumerate(SCRIPTS)], 'i, message, line')} ON i = p_partkey % {len(SCRIPTS)}")
+def script_findings(s, d):
+    m = F.broadcast(values(s, [(i, x) for i, (x, _, _) in enumerate(SCRIPTS)], "i int, script string"))  # a fixed list of some dozen rows
+    p = t(s, d, "part", "p_partkey").withColumn("i", F.col("p_partkey") % len(SCRIPTS)).join(m, "i")
+    return p.select("p_partkey", V.script_finding(F.col("script")).alias("f")).select("p_partkey", "f.*")
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT p_partkey AS k, object_name, CASE object_type WHEN 'table' THEN 0 WHEN 'view' THEN 1 WHEN 'function' THEN 2 WHEN 'procedure' THEN 3 ELSE 4 END AS r FROM {_sql(1)} JOIN part ON object_name = 'o' || p_partkey),
+          e AS (SELECT a.k AS src, b.k AS dst FROM o a JOIN o b ON b.k = a.k // 10 WHERE a.k % 3 = 0 AND a.k >= 30), w AS (SELECT k, 0 AS wave FROM o WHERE k NOT IN (SELECT src FROM e) UNION ALL SELECT src, wave + 1 FROM w JOIN e ON dst = k),
+          x AS (SELECT object_name, CASE WHEN o.k NOT IN (1, 2) THEN CAST(wave AS INTEGER) END AS wave, r FROM o JOIN w USING (k))
+          SELECT object_name, wave, row_number() OVER (ORDER BY wave NULLS LAST, r, object_name) AS place FROM x""")
 def apply_order(s, d):
-    from ferryline.operators.relational import numbered
-
-    return numbered(results(s, d, 1).withColumn("rank", V.type_rank(F.col("object_type"))), [F.asc("rank"), F.asc("object_name")], "place").select("object_name", F.col("place").cast("long").alias("place"))
+    """Every third part needs that of a tenth of its number; o1 and o2 need each other."""
+    k, o = F.col("p_partkey"), lambda c: F.concat(F.lit("o"), c)
+    p = t(s, d, "part", "p_partkey")
+    depends = p.filter("p_partkey % 3 = 0 and p_partkey >= 30").select(o(k).alias("src"), o(F.floor(k / 10)).alias("dst"))
+    return V.apply_order(results(s, d, 1).select("object_name", "object_type"), depends.union(p.filter("p_partkey in (1, 2)").select(o(k), o(3 - k))))
 
 
 # --- telemetry: the batch twins of the streaming queries ---

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ferryline.operators import dml
+from ferryline.operators.staging import shared_folder
 from ferryline.plans.common import money, t, total
 from ferryline.registry import query
 
@@ -134,15 +137,57 @@ def tvp_batch_insert(s, d):
     return dml.batch_insert(dml.batch_insert(c, good, checks), bad, checks)
 
 
-@query("""SELECT c_custkey, CAST(least(CAST(c_acctbal AS DECIMAL(18,2)) / 20, share) AS DECIMAL(18,2)) AS raise FROM (SELECT *, CAST(CAST(count(*) OVER (PARTITION BY c_nationkey) AS DECIMAL(18,2)) * 10 AS DECIMAL(18,2)) AS share FROM customer WHERE c_acctbal > 0)""".replace("CAST(least(CAST(c_acctbal AS DECIMAL(18,2)) / 20, share) AS DECIMAL(18,2)) AS raise", "CAST(least(floor(c_acctbal / 20), count(*) OVER (PARTITION BY c_nationkey) * 10) AS BIGINT) AS raise").replace("SELECT *, CAST(CAST(count(*) OVER (PARTITION BY c_nationkey) AS DECIMAL(18,2)) * 10 AS DECIMAL(18,2)) AS share FROM", "SELECT * FROM"))
+_RAISED = """(SELECT c_custkey, c_acctbal, c_nationkey, CASE WHEN c_acctbal > 0 THEN least(c_acctbal * 1.1, coalesce(budget / heads, c_acctbal * 1.1)) ELSE c_acctbal END AS raised
+          FROM customer JOIN (SELECT c_nationkey, count(*) AS heads FROM customer GROUP BY 1) h USING (c_nationkey) LEFT JOIN (SELECT n_nationkey AS c_nationkey, n_nationkey * 20000.0 AS budget FROM nation WHERE n_nationkey <> 3) b USING (c_nationkey))"""
+
+
+def _adjusted(s, d):
+    """A tenth more for each customer, capped by its nation's budget; nation 3 has none."""
+    c = t(s, d, "customer", "c_custkey", "c_acctbal", "c_nationkey").withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
+    n = t(s, d, "nation").filter("n_nationkey != 3").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_nationkey") * 20000.0).alias("budget"))
+    return dml.capped_adjustment(c, n, "c_custkey", "c_nationkey", "c_acctbal", "budget", 10.0)
+
+
+@query(f"SELECT c_custkey, round(CAST(raised AS DOUBLE), 4) AS c_acctbal FROM {_RAISED}")
 def capped_adjustment(s, d):
-    """A cursor's updates as one set: a twentieth of the balance, capped by the group's size."""
-    c = t(s, d, "customer").filter("c_acctbal > 0")
-    heads = c.groupBy("c_nationkey").agg((F.count("*") * 10).alias("cap"))
-    return c.join(heads, "c_nationkey").select("c_custkey", F.least(F.floor(F.col("c_acctbal") / 20), F.col("cap")).cast("long").alias("raise"))
+    return _adjusted(s, d)[0].select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"))
+
+
+@query(f"SELECT c_custkey, round(CAST(c_acctbal AS DOUBLE), 4) AS old_amount, round(CAST(raised AS DOUBLE), 4) AS new_amount, 'Annual adjustment 10.00%' AS reason FROM {_RAISED} WHERE c_acctbal > 0")
+def adjustment_history(s, d):
+    return _adjusted(s, d)[1].select("c_custkey", F.round("old_amount", 4).alias("old_amount"), F.round("new_amount", 4).alias("new_amount"), "reason")
+
+
+def _drained(s, d):
+    e = t(s, d, "events")
+    q = e.select("event_id", (F.col("user_id") * 7).alias("c_custkey"), "value", F.when(F.col("event_type") == "view", "Completed").otherwise("Pending").alias("status"))
+    return dml.queue_drain(q, t(s, d, "customer"), "event_id", "c_custkey", 200, [F.desc("value"), F.asc("event_id")])
 
 
-@query("SELECT e.event_id, CASE WHEN c_custkey IS NULL THEN 'failed' ELSE 'done' END AS result FROM (SELECT event_id, user_id * 7 AS k FROM events WHERE event_type <> 'view' ORDER BY value DESC, event_id LIMIT 200) e LEFT JOIN customer ON c_custkey = k")
+_FIRST = "(SELECT e.event_id, c_custkey FROM (SELECT event_id, user_id * 7 AS k FROM events WHERE event_type <> 'view' ORDER BY value DESC, event_id LIMIT 200) e LEFT JOIN customer ON c_custkey = k)"
+
+
+@query(f"SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'Failed' ELSE 'Completed' END AS result FROM {_FIRST}")
 def queue_drain(s, d):
-    q = t(s, d, "events").filter("event_type <> 'view'").select("event_id", (F.col("user_id") * 7).alias("c_custkey"), "value")
-    return dml.queue_drain(q, t(s, d, "customer"), "c_custkey", 200, [F.desc("value"), F.asc("event_id")]).select("event_id", "result")
+    return _drained(s, d)[0].select("event_id", "result")
+
+
+@query(f"SELECT e.event_id, CASE WHEN e.event_type = 'view' THEN 'Completed' WHEN f.event_id IS NULL THEN 'Pending' WHEN c_custkey IS NULL THEN 'Failed' ELSE 'Completed' END AS status FROM events e LEFT JOIN {_FIRST} f USING (event_id)")
+def queue_after(s, d):
+    return _drained(s, d)[1].select("event_id", "status")
+
+
+@query(f"SELECT event_id, 'Queue item ' || event_id || ': Employee not found for queue item' AS message FROM {_FIRST} WHERE c_custkey IS NULL")
+def queue_errors(s, d):
+    return _drained(s, d)[2]
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1994-06-01' AND o_orderdate < TIMESTAMP '1995-06-01'")
+def range_partition_read(s, d):
+    """Orders written by date range and read again: files of the one range that can hold such dates."""
+    from datetime import datetime
+
+    path = f"{shared_folder(s)}/ferryline/{uuid.uuid4().hex}"
+    years = [datetime(y, 1, 1) for y in (1994, 1996)]
+    dml.write_partitioned(t(s, d, "orders", "o_orderkey", "o_orderdate"), path, "o_orderdate", [F.lit(y) for y in years])
+    return dml.read_between(s.read.parquet(path), "o_orderdate", datetime(1994, 6, 1), datetime(1995, 6, 1), years).select("o_orderkey", "o_orderdate")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferryline.sources.tables import captured, shred_events
+
 
 def _windowed(events: DataFrame, size: str, late: str) -> DataFrame:
     e = events.withWatermark("ts", late) if events.isStreaming else events
@@ -32,9 +34,25 @@ def hit_ratio(events: DataFrame, size: str = "1 hour", late: str = "10 minutes")
 
 
 def without_repeats(statements: DataFrame, key: str = "fingerprint", late: str = "10 minutes") -> DataFrame:
-    """One of several equal statements within the watermark."""
+    """One of several equal statements within the watermark; of a batch frame one of all."""
+    if not statements.isStreaming:
+        return statements.dropDuplicates([key])
     return statements.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def active_sessions(events: DataFrame, key: str = "user_id", late: str = "10 minutes") -> DataFrame:
+    """``events``: key, ts, step (+1 opens, -1 closes). key and active: open sessions so far.
+
+    A batch frame gives the last state of each key; a stream an update for each
+    key and trigger, from a running sum in the state store.
+    """
+    return events.groupBy(key).agg(F.sum("step").alias("active"))
+
+
+def ingest(events: DataFrame) -> DataFrame:
+    """Event XML (batch or stream) to captured statements: relevant types, cut texts, rebuilt calls."""
+    return captured(shred_events(events).withColumn("proc_name", F.col("object_name")))
+
+
 def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
