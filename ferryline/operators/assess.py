@@ -295,3 +295,23 @@ def attribute_by_features(statements: DataFrame, objects: DataFrame, ad_hoc: lis
     whole = found.filter("_room = _copies").select(id_col, "object_name")
     part = found.filter("_room < _copies").withColumn("_place", F.row_number().over(Window.partitionBy("object_name", sql_col).orderBy(id_col))).filter("_place <= _room")
     return whole.unionByName(part.select(id_col, "object_name"))
+
+
+#: Categories that a reloaded report's tags have; a tag that isn't named is of queries.
+RELOADED = {
+    "query": ["TOP", "MERGE", "CROSS_APPLY", "OUTER_APPLY", "PIVOT", "UNPIVOT", "OPENQUERY", "OPENROWSET"],
+    "function": ["ISNULL", "GETDATE", "LEN", "CHARINDEX", "PATINDEX", "STUFF", "DATEADD", "DATEDIFF", "DATEPART", "XML_METHOD"],
+    "temporary": ["TEMP_TABLE", "GLOBAL_TEMP_TABLE"],
+    "transaction": ["UPDLOCK", "ROWLOCK", "NOLOCK", "TABLOCK", "HOLDLOCK", "TRY_CATCH", "DYNAMIC_SQL", "OUTPUT_CLAUSE"],
+}
+#: First words of a reloaded report's statements, which may be cut, and their classes.
+FIRST_WORDS = {"Select": ["SELECT"], "Insert": ["INSERT"], "Update": ["UPDATE"], "Delete": ["DELETE"], "Merge": ["MERGE"], "Ddl": ["CREATE", "ALTER", "DROP"], "Dcl": ["GRANT", "REVOKE", "DENY"], "Tcl": ["BEGIN", "COMMIT", "ROLLBACK"]}
+
+
+def reloaded(statements: DataFrame, text_col: str = "sql_text", tags_col: str = "tags") -> DataFrame:
+    """Statements of a report, whose texts may be cut and whose tags have no category: adds class, by the first word, and features (tag, category)."""
+    first = F.regexp_extract(F.upper(strip_params(F.coalesce(text_col, F.lit("")))), r"^\s*([A-Z]+)", 1)
+    starts = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: first.startswith(w))
+    kind = F.coalesce(*[F.when(starts(words), F.lit(c)) for c, words in FIRST_WORDS.items()], F.lit("Unknown"))
+    category = lambda tag: F.coalesce(*[F.when(F.upper(tag).isin(names), F.lit(c)) for c, names in RELOADED.items()], F.lit("query"))
+    return statements.withColumns({"class": kind, "features": F.transform(F.coalesce(tags_col, F.array().cast("array<string>")), lambda t: F.struct(t.alias("tag"), category(t).alias("category")))})

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ferryline.operators import assess as A
 from ferryline.operators.rationale import SENTENCES
+from ferryline.operators.staging import shared_folder
 from ferryline.plans.common import sql_values, t, values
 from ferryline.registry import query
+from ferryline.sources.tables import read_report, write_report
 
 TEMPLATES = list(enumerate([
     "SELECT TOP 10 * FROM orders WHERE id = {n}",
@@ -276,3 +280,18 @@ def readable_objects(s, d):
           SELECT event_id, object_name FROM p WHERE capped = 0 OR before + place <= cap""")
 def attribute_by_features(s, d):
     return A.attribute_by_features(analyzed(s, d), readable_objects(s, d), _AD_HOC)
+
+
+_RELOADED_CLASS = "CASE WHEN word LIKE 'SELECT%' THEN 'Select' WHEN word LIKE 'INSERT%' THEN 'Insert' WHEN word LIKE 'UPDATE%' THEN 'Update' WHEN word LIKE 'DELETE%' THEN 'Delete' WHEN word LIKE 'MERGE%' THEN 'Merge' WHEN word LIKE 'CREATE%' OR word LIKE 'DROP%' THEN 'Ddl' WHEN word LIKE 'GRANT%' THEN 'Dcl' WHEN word LIKE 'BEGIN%' OR word LIKE 'COMMIT%' THEN 'Tcl' ELSE 'Unknown' END"
+
+
+@query(f"""WITH {_TAGS}, r AS (SELECT event_id, string_agg(CASE WHEN tag IN ('ISNULL', 'GETDATE', 'CHARINDEX', 'PATINDEX', 'STUFF', 'DATEADD', 'DATEDIFF', 'DATEPART', 'XML_METHOD') THEN 'function' WHEN tag IN ('TEMP_TABLE', 'GLOBAL_TEMP_TABLE') THEN 'temporary'
+          WHEN tag IN ('UPDLOCK', 'ROWLOCK', 'NOLOCK', 'TRY_CATCH', 'DYNAMIC_SQL') THEN 'transaction' ELSE 'query' END, ',' ORDER BY o) AS categories FROM tags GROUP BY 1), w AS (SELECT event_id, upper(trim({_STRIP})) AS word FROM log)
+          SELECT event_id, {_RELOADED_CLASS} AS class, coalesce(categories, '') AS categories FROM w LEFT JOIN r USING (event_id)""")
+def reloaded_report(s, d):
+    """The log's statements written as a report of cut texts and tags, and read again."""
+    path = f"{shared_folder(s)}/ferryline/{uuid.uuid4().hex}"
+    a = A.tagged(statement_log(s, d)).select("event_id", F.left("sql_text", F.lit(60)).alias("sql_text"), F.transform("features", lambda f: f.tag).alias("tags"))
+    write_report({"statements": a}, path)
+    back = A.reloaded(read_report(s, path, "statements", "event_id long, sql_text string, tags array<string>"))
+    return back.select("event_id", "class", F.array_join(F.transform("features", lambda f: f.category), ",").alias("categories"))

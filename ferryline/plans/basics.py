@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferryline.functions import dialect as X
 from ferryline.operators import relational as R
+from ferryline.operators.staging import written
 from ferryline.plans.common import money, t, total
 from ferryline.registry import query
 
@@ -134,10 +135,10 @@ def not_in_null_aware(s, d):
 
 @query("SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
 def join_cross_schema(s, d):
-    """Two schemas (sales and purchasing) meet in the shared nation table; each side is counted before the join."""
+    """Two schemas (sales here, purchasing in a folder of its own) meet in the shared nation table; each side is counted before the join."""
     n = t(s, d, "nation")
     c = t(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count_distinct("c_custkey").alias("customers"))
-    p = t(s, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count_distinct("s_suppkey").alias("suppliers"))
+    p = written(t(s, d, "supplier", "s_suppkey", "s_nationkey")).groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count_distinct("s_suppkey").alias("suppliers"))
     return n.join(c, "n_nationkey", "left").join(p, "n_nationkey", "left").groupBy("n_name").agg(F.coalesce(F.sum("customers"), F.lit(0)).alias("customers"), F.coalesce(F.sum("suppliers"), F.lit(0)).alias("suppliers"))
 
 
