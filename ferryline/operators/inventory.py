@@ -14,8 +14,8 @@ TYPE_FINDINGS = {"UNIQUEIDENTIFIER": ("UUID", 2), "DATETIME": ("TIMESTAMPTZ", 2)
 FINDING_HOURS = {1: (0.1, 0.25), 2: (0.1, 0.25), 3: (0.25, 0.75), 4: (0.5, 2.0), 5: (1.0, 4.0)}
 #: Fixed value: statements shorter than this aren't attributed.
 LEAST_CHARS = 20
-#: Runs of a text that are tried as a way to bodies.
-RUNS = 40
+#: Characters of the runs that texts are looked up by.
+RUN = 12
 
 
 def column_findings(data_type: Column, max_length: Column, identity: Column, computed: Column) -> Column:
@@ -49,27 +49,40 @@ def one_line(sql: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(strip_params(sql), r"\s+", " ")))
 
 
+def _marks(text: Column) -> tuple[Column, Column]:
+    """Hashes of all runs (to be kept as _runs), and of them the marks of a text of ``LEAST_CHARS`` characters or more: of each ``LEAST_CHARS`` neighbours the smallest hash of their runs of ``RUN``.
+
+    Two texts that share ``LEAST_CHARS`` neighbouring characters share a mark;
+    about one in five characters begins one.
+    """
+    chars = F.split(text, "")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, RUN), "")))
+    wide = LEAST_CHARS - RUN + 1
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - LEAST_CHARS + 1, F.lit(1))), lambda i: F.array_min(F.slice(F.col("_runs"), i, wide)))
+    return runs, F.array_distinct(each)
+
+
+def _marked(df: DataFrame, text: str) -> DataFrame:
+    runs, marks = _marks(F.col(text))
+    return df.filter(F.length(text) >= LEAST_CHARS).withColumn("_runs", runs).withColumn("_marks", marks).drop("_runs")
+
+
 def resolve_objects(statements: DataFrame, objects: DataFrame, sql_col: str = "sql_text") -> DataFrame:
     """The statements and object_name: the first object (by ordinal) whose body contains the text, else null.
 
     ``objects``: ordinal, object_name, body. Each different text is looked up
-    once. Where a text stands in a body, so does each run of ``LEAST_CHARS`` of
-    its characters: the rarest of a text's first runs leads it to the bodies to
-    compare. Texts of fewer characters, and null ones, get none.
+    once. A body that contains a text has all of its marks: the rarest of them
+    leads a text to the bodies to compare it with. Texts of under
+    ``LEAST_CHARS`` characters, and null ones, get none.
     """
     s = statements.withColumn("_text", one_line(F.col(sql_col)))
-    texts = s.select("_text").distinct().filter(F.length("_text") >= LEAST_CHARS)
-    runs = lambda text, last: F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(LEAST_CHARS)))
-    bodies = objects.filter("body is not null").select("ordinal", "object_name", one_line(F.col("body")).alias("_body")).filter(F.length("_body") >= LEAST_CHARS)
-    every = F.length("_body") - LEAST_CHARS + 1
-    keys = bodies.select("ordinal", "object_name", "_body", F.explode(F.array_distinct(F.transform(runs(F.col("_body"), every), lambda x: F.xxhash64(x)))).alias("key"))
-    few = F.least(F.length("_text") - LEAST_CHARS + 1, F.lit(RUNS))
-    ways = texts.select("_text", F.explode(F.array_distinct(F.transform(runs(F.col("_text"), few), lambda x: F.xxhash64(x)))).alias("key"))
+    bodies = objects.filter("body is not null").select("ordinal", "object_name", one_line(F.col("body")).alias("_body"))
+    keys = _marked(bodies, "_body").select("ordinal", F.explode("_marks").alias("key"))
+    ways = _marked(s.select("_text").distinct(), "_text").select("_text", F.size("_marks").alias("all"), F.explode("_marks").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = ways.join(often, "key").groupBy("_text").agg(F.count("*").alias("met"), F.min(F.struct("n", "key")).getField("key").alias("key"))
-    # a text with a run that no body has is in none
-    whole = ways.groupBy("_text").agg(F.count("*").alias("all")).join(rarest, "_text").filter("met = all").select("_text", "key")
-    first = whole.join(keys, "key").filter(F.col("_body").contains(F.col("_text"))).groupBy("_text").agg(F.min(F.struct("ordinal", "object_name")).alias("m"))
+    rarest = ways.join(often, "key").groupBy("_text").agg(F.count("*").alias("met"), F.max("all").alias("all"), F.min(F.struct("n", "key")).getField("key").alias("key"))
+    near = rarest.filter("met = all").select("_text", "key").join(keys, "key").select("_text", "ordinal")
+    first = near.join(bodies, "ordinal").filter(F.col("_body").contains(F.col("_text"))).groupBy("_text").agg(F.min(F.struct("ordinal", "object_name")).alias("m"))
     return s.join(first.select("_text", F.col("m.object_name").alias("object_name")), "_text", "left").drop("_text")
 
 
