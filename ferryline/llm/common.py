@@ -25,14 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch: texts are long, and a task and its Python process hold several batches at once.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets tasks hand texts to Python in batches of at most ``BATCH`` rows, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/ferryline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
