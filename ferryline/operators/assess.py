@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferryline.operators.rationale import SENTENCES, STANDARD
 from ferryline.operators.relational import numbered
+from ferryline.operators.staging import written
 
 #: Features of each risk; a feature that isn't named has risk 1.
 RISK = {
@@ -122,11 +123,13 @@ def risk_of(tag: Column) -> Column:
 
 
 def tagged(statements: DataFrame, sql_col: str = "sql_text") -> DataFrame:
-    """Adds features. Each different text is taken apart once, however often it was run; null texts have none."""
+    """Adds features and risk (that of the worst feature, 1 without any). Each different text is taken apart once, however often it was run; null texts have no features."""
     texts = statements.select(F.col(sql_col).alias("_sql")).distinct().withColumn("_bare", bare(strip_params(F.col("_sql"))))
     texts = texts.select("_sql", features_of(F.col("_bare")).alias("features"))
+    texts = texts.withColumn("risk", F.coalesce(F.array_max(F.transform("features", lambda f: risk_of(f.tag))), F.lit(1)))
+    texts = written(texts)  # else filters on features would move below the distinct and run for each statement
     out = statements.join(texts, F.col(sql_col).eqNullSafe(F.col("_sql"))).drop("_sql")
-    return out.withColumn("features", F.coalesce("features", F.array().cast("array<struct<tag:string,category:string>>")))
+    return out.withColumns({"features": F.coalesce("features", F.array().cast("array<struct<tag:string,category:string>>")), "risk": F.coalesce("risk", F.lit(1))})
 
 
 def analyzed(statements: DataFrame, sql_col: str = "sql_text", failed: Column | None = None) -> DataFrame:
@@ -135,10 +138,8 @@ def analyzed(statements: DataFrame, sql_col: str = "sql_text", failed: Column |
     Needs execution_count and importance.
     """
     s = tagged(statements, sql_col)
-    risk = F.coalesce(F.array_max(F.transform("features", lambda f: risk_of(f.tag))), F.lit(1))
     if failed is not None:
-        risk = F.when(failed, 3).otherwise(risk)
-    s = s.withColumn("risk", risk)
+        s = s.withColumn("risk", F.when(failed, 3).otherwise(F.col("risk")))
     return s.withColumn("weighted_risk", weighted_risk(F.col("risk"), F.col("execution_count"), F.col("importance")))
 
 
