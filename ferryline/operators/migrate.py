@@ -4,85 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.operators.staging import written
+from ferryline.operators.graphs import cycle_members, dependency_waves
 
-
-def dependency_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes``: node; ``edges``: src needs dst. node and wave, from 0; null for nodes in or behind a cycle.
-
-    Self-edges and unknown names are ignored. One round for each wave.
-    """
-    n = nodes.select("node").distinct()
-    e = edges.filter("src != dst").join(n.withColumnRenamed("node", "src"), "src").join(n.withColumnRenamed("node", "dst"), "dst").distinct()
-    left, e, done = written(n), written(e), []
-    for wave in count():
-        ready = left.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-        ready = written(ready.withColumn("wave", F.lit(wave)))
-        if ready.isEmpty():
-            break
-        done.append(ready)
-        left = written(left.join(ready, "node", "left_anti"))
-        e = written(e.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    out = left.withColumn("wave", F.lit(None).cast("int"))
-    for r in done:
-        out = out.unionByName(r)
-    return out
-
-
-def _reach(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """``start``: part, node; ``edges``: part, src, dst. Whatever the start of its part leads to, itself included; one round for each step."""
-    seen = front = written(start.distinct())
-    while not front.isEmpty():
-        step = front.join(edges, (front["part"] == edges["part"]) & (front["node"] == edges["src"])).select(edges["part"], F.col("dst").alias("node")).distinct()
-        front = written(step.join(seen, ["part", "node"], "left_anti"))
-        seen = written(seen.unionByName(front))
-    return seen
-
-
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """node and self_loop of every node on a cycle.
-
-    Nodes without way in or out are trimmed. What is left is parted again and
-    again: in each part the smallest node is the pivot; what it reaches and what
-    reaches it is a strongly connected part, and the other nodes go on in up to
-    three parts (reached, reaching, neither), which share no cycle. Each round
-    costs a few joins in proportion to the edges left, not to their pairs.
-    """
-    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    left = written(edges.filter("src != dst").select(F.lit(0).cast("long").alias("part"), "src", "dst").distinct())
-    found = []
-    while True:
-        while True:  # trim
-            ends = lambda a, b: left.select("part", F.col(a).alias(b)).distinct()  # noqa: E731, B023
-            less = written(left.join(ends("dst", "src"), ["part", "src"], "left_semi").join(ends("src", "dst"), ["part", "dst"], "left_semi"))
-            same = less.count() == left.count()
-            left = less
-            if same:
-                break
-        if left.isEmpty():
-            break
-        back = left.select("part", F.col("dst").alias("src"), F.col("src").alias("dst"))
-        pivot = written(left.groupBy("part").agg(F.min("src").alias("node")))
-        to, fro = _reach(pivot, left).withColumn("to", F.lit(True)), _reach(pivot, back).withColumn("fro", F.lit(True))
-        nodes = left.select("part", F.col("src").alias("node")).union(left.select("part", F.col("dst").alias("node"))).distinct()
-        state = nodes.join(to, ["part", "node"], "left").join(fro, ["part", "node"], "left").fillna(False, ["to", "fro"])
-        state = written(state)
-        core = state.filter("to and fro")
-        one = core.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
-        found.append(core.join(one, "part").select("node"))
-        kind = F.when(F.col("to"), 1).when(F.col("fro"), 2).otherwise(0)
-        rest = state.filter("not (to and fro)").select("part", "node", F.xxhash64("part", kind).alias("next"))
-        src, dst = (rest.select("part", F.col("node").alias(k), F.col("next").alias(f"n_{k}")) for k in ("src", "dst"))
-        left = written(left.join(src, ["part", "src"]).join(dst, ["part", "dst"]).filter("n_src = n_dst").select(F.col("n_src").alias("part"), "src", "dst"))
-    on = loops
-    for f in found:
-        on = on.union(f)
-    return on.distinct().join(loops.withColumn("self_loop", F.lit(True)), "node", "left").fillna(False, ["self_loop"])
+__all__ = ["cycle_members", "dependency_waves"]
 
 
 def select_tables(tables: DataFrame, wanted: list[str], schema_col: str = "schema_name", name_col: str = "table_name") -> DataFrame:
