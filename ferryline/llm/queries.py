@@ -11,6 +11,7 @@ from ferryline.llm.bpe_tokens import bpe_encode
 from ferryline.llm.chat_format import chat_format
 from ferryline.llm.common import fold_of, stage, table
 from ferryline.llm.decontaminate import contaminated
+from ferryline.llm.license_scan import license_scan, license_sql
 from ferryline.llm.quality_model import Quality
 from ferryline.llm.quality_rules import quality_rules
 from ferryline.llm.sharding import shard_documents
@@ -92,12 +93,17 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_toxicity, op3_sharding, op4_quality_model, op5_bpe_tokens, op6_url_filters, op7_quality_rules, op8_decontamination, op9_chat_format, op10_simhash_dedup)
+    for f in (op1_substring_dedup, op2_toxicity, op3_sharding, op4_quality_model, op5_bpe_tokens, op6_url_filters, op7_quality_rules, op8_decontamination, op9_chat_format, op10_simhash_dedup, op13_license_scan)
 }
 
 ORACLE = {
+    "op13_license_scan": license_sql(),
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         g AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
