@@ -16,6 +16,7 @@ from ferryline.llm.quality_model import Quality
 from ferryline.llm.quality_rules import quality_rules
 from ferryline.llm.sharding import shard_documents
 from ferryline.llm.simhash_dedup import simhash_dedup
+from ferryline.llm.spelling_variants import SPELLING_SQL, spelling_variants
 from ferryline.llm.substring_dedup import substring_dedup
 from ferryline.llm.textstats import with_counts
 from ferryline.llm.toxicity import Toxicity
@@ -93,16 +94,21 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_toxicity, op3_sharding, op4_quality_model, op5_bpe_tokens, op6_url_filters, op7_quality_rules, op8_decontamination, op9_chat_format, op10_simhash_dedup, op13_license_scan)
+    for f in (op1_substring_dedup, op2_toxicity, op3_sharding, op4_quality_model, op5_bpe_tokens, op6_url_filters, op7_quality_rules, op8_decontamination, op9_chat_format, op10_simhash_dedup, op12_spelling_variants, op13_license_scan)
 }
 
 ORACLE = {
+    "op12_spelling_variants": SPELLING_SQL,
     "op13_license_scan": license_sql(),
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
