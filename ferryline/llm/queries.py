@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ferryline.llm.bpe_tokens import bpe_encode
 from ferryline.llm.chat_format import chat_format
 from ferryline.llm.common import fold_of, stage, table
+from ferryline.llm.conversation_trie import TRIE_SQL, shared_beginnings
 from ferryline.llm.decontaminate import contaminated
 from ferryline.llm.license_scan import license_scan, license_sql
 from ferryline.llm.quality_model import Quality
@@ -94,6 +95,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_beginnings(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -104,10 +109,11 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_toxicity, op3_sharding, op4_quality_model, op5_bpe_tokens, op6_url_filters, op7_quality_rules, op8_decontamination, op9_chat_format, op10_simhash_dedup, op12_spelling_variants, op13_license_scan)
+    for f in (op1_substring_dedup, op2_toxicity, op3_sharding, op4_quality_model, op5_bpe_tokens, op6_url_filters, op7_quality_rules, op8_decontamination, op9_chat_format, op10_simhash_dedup, op11_conversation_trie, op12_spelling_variants, op13_license_scan)
 }
 
 ORACLE = {
+    "op11_conversation_trie": TRIE_SQL,
     "op12_spelling_variants": SPELLING_SQL,
     "op13_license_scan": license_sql(),
     "op1_substring_dedup": r"""
