@@ -7,19 +7,18 @@ hold them. One edit spoils one of two disjoint bigrams at most. So of two words
 one edit apart, the one whose prefix ends first in the order has a pivot in the
 prefix of the other: pivots are joined with prefixes.
 
-Position limits: an untouched bigram has the edit on its left or on its right.
-On its right: same place in both words, and the same letters before it. On its
-left: same place from the end, and the same letters after it. So pivots meet
-prefixes by bigram, side, place, the letters of that side, and a length of one
-more, less or the same: what meets is nearly verified, and no bigram however
-frequent brings together more words than share a whole side.
+Position limits: an untouched bigram has the edit on its right (then it has the
+same place in both words, and the same letters before it) or on its left (the
+same place from the end, and the same letters after it). Likewise the edit is in
+one half of the word, and the other half is the same. So pivots meet prefixes by
+bigram, place, length (one more, less or the same) and all letters that must
+then agree, half the word at least; what meets is verified at once.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferryline.llm.common import stage
@@ -58,14 +57,8 @@ def pivots(grams: list[tuple[int, int]], q: int = 2, count: int = 2) -> list[int
     return list(best[count][-1][1])
 
 
-def _sides(word: str, place: int) -> list[tuple[int, int, int]]:
-    """Side, place from that end, and hash of the letters on that side, of the bigram at a place."""
-    left, right = word[:place], word[place + 2 :]
-    return [(0, place, xxhash.xxh64_intdigest(left.encode()) - (1 << 63)), (1, len(right), xxhash.xxh64_intdigest(right.encode()) - (1 << 63))]
-
-
-def _keys(rank: dict[str, int], weight: dict[str, int]):
-    """(word) to a row for each bigram of its prefix, on each side: word, size, pivot, gram, side, place, rest."""
+def _prefixes(rank: dict[str, int], weight: dict[str, int]):
+    """(word) to a row for each bigram of its prefix: word, size, pivot, gram, place."""
 
     def run(batches):
         for batch in batches:
@@ -75,30 +68,25 @@ def _keys(rank: dict[str, int], weight: dict[str, int]):
                 last = grams[min(2, len(grams) - 1)][0]
                 prefix = [(i, g) for g, i in grams if g <= last]
                 chosen = set(pivots(sorted((i, weight[word[i : i + 2]]) for i, _ in prefix)))
-                rows += [(word, len(word), i in chosen, g, *side) for i, g in prefix for side in _sides(word, i)]
-            kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            cols = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["word", "size", "pivot", "gram", "side", "place", "rest"])
+                rows += [(word, len(word), i in chosen, g, i) for i, g in prefix]
+            kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["word", "size", "pivot", "gram", "place"])
 
     return run
 
 
-def _one_edit(a: str, b: str) -> bool:
-    """Exactly one letter inserted, deleted or replaced."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
-
-
-def _verified(batches):
-    for batch in batches:
-        good = [_one_edit(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield batch.filter(pa.array(good, pa.bool_()))
+def _agreeing(size: Column) -> Column:
+    """For a bigram of a word, and the other word's ``size``: structs of case, place and hash of the letters that agree, one for each place the edit may have."""
+    word, place = F.col("word"), F.col("place")
+    end = F.length(word) - place - 2
+    half = F.floor(size / 2).cast("int")
+    one = lambda case, at, *letters: F.struct(F.lit(case).alias("case"), at.cast("int").alias("at"), F.xxhash64(*letters).alias("letters"))
+    right_half = one(0, place, F.left(word, F.greatest(half, place + 2)))
+    right_of_it = F.when(place + 2 <= half, one(1, place, F.left(word, place + 2), F.right(word, size - half)))
+    left_half = one(2, end, F.right(word, F.greatest(size - half, end + 2)))
+    left_of_it = F.when(size - end - 2 >= half, one(3, end, F.right(word, end + 2), F.left(word, half)))
+    return F.array_compact(F.array(right_half, right_of_it, left_half, left_of_it))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -108,11 +96,14 @@ def near_words(words: DataFrame) -> DataFrame:
     if len(counts) > MOST_GRAMS:
         raise ValueError(f"more than {MOST_GRAMS} bigrams: not words of {RUN}")
     rank = {g: i for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}
-    keys = stage(words.select("word").mapInArrow(_keys(rank, counts), "word string, size int, pivot boolean, gram int, side int, place int, rest long"), "grams")
-    on = ["gram", "side", "place", "rest", "size"]
-    asked = keys.filter("pivot").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).withColumnRenamed("word", "word_")
-    met = asked.join(keys, on).filter("word_ != word")
-    return met.select(F.least("word", "word_").alias("a"), F.greatest("word", "word_").alias("b")).distinct().mapInArrow(_verified, "a string, b string")
+    grams = stage(words.select("word").mapInArrow(_prefixes(rank, counts), "word string, size int, pivot boolean, gram int, place int"), "grams")
+    on = ["gram", "size", "case", "at", "letters"]
+    keys = grams.select("word", "gram", "size", F.inline(_agreeing(F.col("size"))))
+    asked = grams.filter("pivot").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    asked = asked.select(F.col("word").alias("word_"), "gram", "size", F.inline(_agreeing(F.col("size"))))
+    both = [asked[c] == keys[c] for c in on] + [F.levenshtein("word_", "word", 1) == 1]
+    met = asked.join(keys, both)
+    return met.select(F.least("word", "word_").alias("a"), F.greatest("word", "word_").alias("b")).distinct()
 
 
 def spelling_variants(docs: DataFrame, least: int = 5, shortest: int = 6, times: int = 5, spoil: int = 199, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
