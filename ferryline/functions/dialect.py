@@ -193,11 +193,70 @@ def json_query(doc: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.to_json(v))
 
 
-def json_modify(doc: Column, key: str, value: Column) -> Column:
-    """JSON_MODIFY of a key of the outermost object: its new value (text or number), or without it where the value is null."""
-    had = F.try_parse_json(doc).cast("map<string,variant>")
-    rest = F.map_filter(had, lambda k, v: k != key)
-    return F.to_json(F.when(value.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.to_json(F.struct(value.alias("v")))).cast("map<string,variant>")["v"]))))
+#: A step of a JSON path: .name, ."any name" or [index].
+_STEP = re.compile(r'\.([A-Za-z_$][\w$]*)|\."([^"]*)"|\[(\d+)\]')
+
+
+def _steps(path: str) -> tuple[bool, bool, list[str | int]]:
+    """append, strict, and the steps of a path like ``append strict $.a."b c"[2]``."""
+    m = re.fullmatch(r"\s*(append\s+)?(?:(lax|strict)\s+)?\$(.*?)\s*", path)
+    if not m:
+        raise ValueError(f"not a JSON path: {path}")
+    steps, at = [], 0
+    while at < len(m[3]):
+        s = _STEP.match(m[3], at)
+        if not s:
+            raise ValueError(f"not a JSON path: {path}")
+        steps.append(int(s[3]) if s[3] is not None else s[1] if s[1] is not None else s[2])
+        at = s.end()
+    return bool(m[1]), m[2] == "strict", steps
+
+
+def json_modify(doc: Column, path: str, value: Column) -> Column:
+    """JSON_MODIFY: the document with another value (text or number) at a path.
+
+    As the dialect has it: a missing last key is added, a missing step before it
+    changes nothing; a null value deletes a key, and becomes null in an array;
+    an index one past the end adds nothing; ``append`` adds to the array at the
+    path. ``strict`` raises where the path leads nowhere, and keeps a null value
+    as null. Null documents stay null; of texts that are no JSON null results.
+    """
+    append, strict, steps = _steps(path)
+    null = F.parse_json(F.lit("null"))
+    new = F.coalesce(F.try_parse_json(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})).cast("map<string,variant>")["v"], null)
+    missing = F.raise_error(F.lit(f"nothing at {path}")).cast("variant") if strict else None
+    is_a = lambda v, kind: F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+    def held(v):
+        """As a variant again, through JSON."""
+        return F.parse_json(F.to_json(v))
+
+    def put(v: Column, rest: list) -> Column:
+        if not rest:
+            if not append:
+                return new
+            longer = held(F.concat(v.try_cast("array<variant>"), F.array(new)))
+            return F.when(is_a(v, "ARRAY"), longer).otherwise(missing if strict else v)
+        step, last = rest[0], len(rest) == 1 and not append
+        nowhere = missing if strict else v
+        if isinstance(step, int):
+            items = F.when(is_a(v, "ARRAY"), v.try_cast("array<variant>"))
+            changed = held(F.transform(items, lambda x, i: F.when(i == step, put(x, rest[1:])).otherwise(x)))
+            return F.when(F.size(items) > step, changed).otherwise(nowhere)
+        keys = F.when(is_a(v, "OBJECT"), v.try_cast("map<string,variant>"))
+        others = F.map_filter(keys, lambda k, _: k != step)
+        there = F.map_contains_key(keys, step)
+        with_new = lambda x: held(F.map_concat(others, F.create_map(F.lit(step), x)))
+        if not last:
+            deeper = F.coalesce(keys[step], null)
+            if append and len(rest) == 1 and not strict:  # appending to what isn't there makes an array
+                return F.when(there, with_new(put(deeper, rest[1:]))).when(keys.isNotNull(), with_new(held(F.array(new)))).otherwise(nowhere)
+            return F.when(there, with_new(put(deeper, rest[1:]))).otherwise(nowhere)
+        gone = with_new(null) if strict else held(others)
+        changed = F.when(value.isNull(), gone).otherwise(with_new(new))
+        return F.when(there if strict else keys.isNotNull(), changed).otherwise(nowhere)
+
+    return F.to_json(put(F.try_parse_json(doc), steps))
 
 
 #: Type numbers of OPENJSON.
@@ -258,13 +317,14 @@ def parse_style(s: Column, style: int) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Integer / integer, cut towards zero; null where b is 0."""
-    return F.when(b != 0, ((a - a % b) / b).cast("long"))
+    """Integer / integer, cut towards zero, exact for all 64-bit values; null where b is 0."""
+    return F.when(b != 0, F.call_function("div", a, b))
 
 
 def avg_int(c: Column) -> Column:
-    """AVG of integers, cut towards zero."""
-    return F.avg(c).cast("long")
+    """AVG of integers, cut towards zero: an exact sum over the count."""
+    exact = "decimal(38,0)"
+    return F.when(F.count(c) > 0, F.call_function("div", F.sum(c.cast(exact)), F.count(c).cast(exact)))
 
 
 def square(c: Column) -> Column:

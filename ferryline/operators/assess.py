@@ -57,8 +57,8 @@ FEATURES = [
     ("OPENQUERY", "function", r"\bOPENQUERY\s*\(", None),
     ("OPENROWSET", "function", r"\bOPENROWSET\s*\(", None),
     ("XML_METHOD", "function", r"\.(VALUE|QUERY|EXIST|NODES)\s*\(", None),
-    ("TEMP_TABLE", "temporary", r"(^|[^#])#[A-Z]", None),
-    ("GLOBAL_TEMP_TABLE", "temporary", r"##[A-Z]", None),
+    ("TEMP_TABLE", "temporary", r"(^|[^#])#_?[A-Z]", None),
+    ("GLOBAL_TEMP_TABLE", "temporary", r"##_?[A-Z]", None),
     ("TABLE_VARIABLE", "temporary", r"\bDECLARE\s+@\S+\s+(AS\s+)?TABLE\b", None),
     ("TABLE_VALUED_PARAMETER", "temporary", r"\bREADONLY\b", None),
     ("TRY_CATCH", "transaction", r"\bBEGIN\s+TRY\b", None),
@@ -79,8 +79,20 @@ CLASSES = [
     ("Dcl", r"^(GRANT|DENY|REVOKE)\b"),
     ("Ddl", r"^(CREATE|ALTER|DROP)\s+(UNIQUE\s+)?((NON)?CLUSTERED\s+)?(TABLE|VIEW|INDEX|SCHEMA|SEQUENCE|TRIGGER|TYPE|DATABASE|STATISTICS)\b|^TRUNCATE\s+TABLE\b"),
 ]
+#: Nesting of block comments inside block comments that is looked through.
+_COMMENT_DEPTH = 12
+
+
+def _comment(depth: int) -> str:
+    """A block comment that holds others, so many levels deep. Possessive, so that long comments don't use up the stack."""
+    inner = f"|{_comment(depth - 1)}" if depth else ""
+    return rf"/\*[^*/]*+(?:(?:\*++(?!/)|/(?!\*){inner})[^*/]*+)*+\*++/"
+
+
 #: What isn't code, whichever begins first: a literal (its quotes are kept), a comment, or a quoted name (kept).
-_NO_CODE = r"(')(?:[^']|'')*(')|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|(\[[^\]]*\]|\"[^\"]*\")"
+_NO_CODE = rf"(')[^']*+(?:''[^']*+)*+(')|--[^\n]*|{_comment(_COMMENT_DEPTH)}|(\[[^\]]*+(?:\]\][^\]]*+)*+\]|\"[^\"]*+(?:\"\"[^\"]*+)*+\")"
+#: A quoted name, where literals and comments are gone already; the beginning of a word in a bracketed name.
+_QUOTED, _WORD_IN_NAME = r"\[([^\]]*+)\]|\"([^\"]*+(?:\"\"[^\"]*+)*+)\"", r"(?<=\[[^\]]{0,128})\b(?=\w)"
 #: Nesting of parentheses inside common tables that classes look through.
 _DEPTH = 12
 
@@ -91,8 +103,9 @@ def strip_params(sql: Column) -> Column:
 
 
 def bare(sql: Column) -> Column:
-    """Upper-cased, string literals emptied, comments gone."""
-    return F.upper(F.regexp_replace(sql, _NO_CODE, "$1$2$3"))
+    """Upper-cased, string literals emptied, comments gone, nested ones too; words of quoted names begin with _, so that none is taken for a keyword."""
+    code = F.replace(F.regexp_replace(sql, _NO_CODE, "$1$2$3"), F.lit("]]"), F.lit("_"))
+    return F.upper(F.regexp_replace(F.regexp_replace(code, _QUOTED, "[$1$2]"), _WORD_IN_NAME, "_"))
 
 
 def fingerprint(sql: Column) -> Column:

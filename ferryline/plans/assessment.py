@@ -54,6 +54,9 @@ TEMPLATES = list(enumerate([
     "DROP PROCEDURE p",
     "SELECT [it's], \"a--b\" FROM t WHERE s = '/* no comment */' AND k = {n}",
     "TRUNCATE TABLE t",
+    "SELECT a /* old: /* b */ EXEC x */ FROM t WHERE k = {n}",
+    "SELECT [PRINT], [MERGE x].[top], \"NOLOCK\" FROM [#t] WHERE [k]]EXEC] = {n}",
+    "/***** /* /* one */ two */ ***** / SELECT TOP 1 */ DELETE FROM [exec] WHERE a = {n} /**/",
 ]))
 
 
@@ -109,6 +112,9 @@ EXPECTED = [
     ("Unknown", ""),
     ("Select", ""),
     ("Ddl", ""),
+    ("Select", ""),
+    ("Select", "TEMP_TABLE"),
+    ("Delete", ""),
 ]
 #: Tag, category and risk of the tags above, for the SQL, in the order in which statements list them.
 TAGS = [

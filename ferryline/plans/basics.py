@@ -48,6 +48,22 @@ def arith_bitwise(s, d):
     return t(s, d, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", X.divide(k, F.lit(7)).alias("q"), (k % 7).alias("r"), k.bitwiseAND(12).alias("b_and"), k.bitwiseOR(12).alias("b_or"), k.bitwiseXOR(12).alias("b_xor"), F.bitwise_not(k).alias("b_not"), (-k).alias("neg"))
 
 
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, 9007199254740993 + l_orderkey * 8 + l_linenumber AS k FROM lineitem)
+          SELECT l_orderkey, l_linenumber, k // 1 AS q1, k // 3 AS q3, -(k // 3) AS minus, k // (k - 1) AS one, CAST(NULL AS BIGINT) AS by_zero FROM b""")
+def divide_large(s, d):
+    """Quotients of keys above 2^53, which a double can't hold."""
+    k = F.lit(9007199254740993) + F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    q = {"q1": X.divide(k, F.lit(1)), "q3": X.divide(k, F.lit(3)), "minus": X.divide(-k, F.lit(3)), "one": X.divide(k, k - 1), "by_zero": X.divide(k, F.lit(0))}
+    return t(s, d, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", *[v.alias(c) for c, v in q.items()])
+
+
+@query("""SELECT l_suppkey, CAST(sum(CAST(9223372036854775807 - l_orderkey AS HUGEINT)) // count(*) AS BIGINT) AS large, CAST(-(sum(CAST(9223372036854775807 - l_orderkey AS HUGEINT)) // count(*)) AS BIGINT) AS small, CAST(NULL AS BIGINT) AS none FROM lineitem GROUP BY l_suppkey""")
+def avg_large(s, d):
+    """Averages near the ends of the 64-bit range: their sums don't fit."""
+    k = F.lit(9223372036854775807) - F.col("l_orderkey")
+    return t(s, d, "lineitem", "l_suppkey", "l_orderkey").groupBy("l_suppkey").agg(X.avg_int(k).alias("large"), X.avg_int(-k).alias("small"), X.avg_int(F.lit(None).cast("long")).alias("none"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS band, CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#12' THEN 2 ELSE 0 END AS code,
           CASE WHEN p_retailprice > 1000 THEN 'dear' ELSE 'cheap' END AS price FROM part""")
 def case_iif(s, d):

@@ -57,10 +57,24 @@ def _documents(s, d):
 @query("""SELECT o_orderkey, '{"x":' || o_orderkey || '}' AS a, '[1,2]' AS b, CAST(NULL AS VARCHAR) AS c, CAST(o_orderkey AS VARCHAR) AS n, 'new' AS changed, CAST(NULL AS VARCHAR) AS gone, '[1,2]' AS kept, '7' AS added FROM orders""")
 def fn_json_query_modify(s, d):
     doc = F.col("doc")
-    x = _documents(s, d).withColumns({"m": X.json_modify(doc, "c", F.lit("new")), "g": X.json_modify(doc, "c", F.lit(None).cast("string")), "p": X.json_modify(doc, "q", F.lit(7))})
+    x = _documents(s, d).withColumns({"m": X.json_modify(doc, "$.c", F.lit("new")), "g": X.json_modify(doc, "$.c", F.lit(None).cast("string")), "p": X.json_modify(doc, "$.q", F.lit(7))})
     return x.select("o_orderkey", X.json_query(doc, "$.a").alias("a"), X.json_query(doc, "$.b").alias("b"), X.json_query(doc, "$.c").alias("c"), F.get_json_object("m", "$.n").alias("n"), F.get_json_object("m", "$.c").alias("changed"), F.get_json_object("g", "$.c").alias("gone"), X.json_query(F.col("m"), "$.b").alias("kept"), F.get_json_object("p", "$.q").alias("added"))
 
 
+@query("""SELECT o_orderkey, '{"x":7}' AS deep, '{"x":' || o_orderkey || ',"y":"k' || o_orderkey || '"}' AS added, '{}' AS gone, '[1,"two"]' AS item, '[1,2,"' || o_orderkey || '"]' AS appended, true AS nowhere FROM orders""")
+def fn_json_modify_path(s, d):
+    doc, k = F.col("doc"), F.col("o_orderkey").cast("string")
+    m = {
+        "deep": X.json_query(X.json_modify(doc, "$.a.x", F.lit(7)), "$.a"),
+        "added": X.json_query(X.json_modify(doc, "lax $.a.y", F.concat(F.lit("k"), k)), "$.a"),
+        "gone": X.json_query(X.json_modify(doc, "$.a.x", F.lit(None).cast("string")), "$.a"),
+        "item": X.json_query(X.json_modify(doc, "$.b[1]", F.lit("two")), "$.b"),
+        "appended": X.json_query(X.json_modify(doc, "append $.b", k), "$.b"),
+        "nowhere": F.to_json(F.parse_json(X.json_modify(doc, "$.no.way", F.lit(1)))) == F.to_json(F.parse_json(doc)),
+    }
+    return _documents(s, d).select("o_orderkey", *[v.alias(c) for c, v in m.items()])
+
+
 @query("""SELECT o_orderkey, key, CASE key WHEN 'a' THEN '{"x":' || o_orderkey || '}' WHEN 'b' THEN '[1,2]' WHEN 'c' THEN 't' || o_orderkey WHEN 'n' THEN CAST(o_orderkey AS VARCHAR) WHEN 'z' THEN 'true' END AS value, type FROM orders, (VALUES ('a', 5), ('b', 4), ('c', 1), ('d', 0), ('n', 2), ('z', 3)) v(key, type)""")
 def fn_openjson_types(s, d):
     return _documents(s, d).select("o_orderkey", F.explode(X.openjson(F.col("doc"))).alias("e")).select("o_orderkey", "e.*")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ferryline.functions import dialect as X_
 from ferryline.operators import assess as A
 from ferryline.operators import migrate as M
 from ferryline.operators import validate as V
@@ -66,6 +67,43 @@ def test_statements_that_begin_oddly(spark):
     assert sorted(len(r.features) for r in A.tagged(df).collect())[0] == 0 and A.tagged(df).count() == len(rows)
 
 
+def test_nested_comments_and_quoted_names(spark):
+    deep = "/*" * 12 + " exec " + "*/" * 12
+    rows = [
+        ("/* a /* b */ EXEC x */ SELECT 1", []),
+        (f"SELECT 1 {deep}", []),
+        ("SELECT [PRINT], [a merge], [x]]EXEC] FROM [#tmp]", ["TEMP_TABLE"]),
+        ('SELECT "nolock", "a""exec" FROM t', []),
+        ("SELECT '/*' EXEC p '*/'", ["DYNAMIC_SQL"]),
+        ("/* " + "*/ /* " * 3 + "*/ EXEC p", ["DYNAMIC_SQL"]),
+        ("/*" + "*" * 20_000 + "/ PRINT 1", ["PRINT_STATEMENT"]),
+        ("/* " + "long / * text " * 5_000 + "*/ PRINT 1 -- " + "x" * 50_000, ["PRINT_STATEMENT"]),
+        ("SELECT '" + "it''s " * 3_000 + "' EXEC p", ["DYNAMIC_SQL"]),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "sql_text string")
+    assert {r.sql_text: [f.tag for f in r.features] for r in A.tagged(df).collect()} == dict(rows)
+
+
+def test_json_paths(spark):
+    doc = '{"a":{"x":1,"l":[1,2]},"b c":[{"k":true}],"n":null}'
+    one = lambda path, value, d=doc: spark.createDataFrame([(d,)], "d string").select(X_.json_modify(F.col("d"), path, value)).first()[0]
+    same = lambda text, want: json.loads(text) == want
+    base = json.loads(doc)
+    assert same(one("$.a.x", F.lit("v")), {**base, "a": {"x": "v", "l": [1, 2]}})
+    assert same(one('$."b c"[0].k', F.lit(3)), {**base, "b c": [{"k": 3}]})
+    assert same(one("$.a.l[1]", F.lit(None).cast("string")), {**base, "a": {"x": 1, "l": [1, None]}})
+    assert same(one("append $.a.l", F.lit(3)), {**base, "a": {"x": 1, "l": [1, 2, 3]}})
+    assert same(one("append $.new", F.lit(3)), {**base, "new": [3]})
+    assert same(one("$.a.l[9]", F.lit(3)), base) and same(one("$.no.x", F.lit(3)), base) and same(one("$.a.x.y", F.lit(3)), base)
+    assert same(one("$.a", F.lit(None).cast("string")), {k: v for k, v in base.items() if k != "a"})
+    assert same(one("strict $.a.x", F.lit(None).cast("string")), {**base, "a": {"x": None, "l": [1, 2]}})
+    assert one("$.a", F.lit(1), None) is None and one("$.a", F.lit(1), "no json") is None
+    with pytest.raises(Exception, match="nothing at"):
+        one("strict $.no", F.lit(1))
+    with pytest.raises(ValueError):
+        one("a.b", F.lit(1))
+
+
 def test_cross_references_of_many_items(spark):
     items = spark.range(2500).select(F.format_string("i%05d", "id").alias("item"), F.when(F.col("id") < 2490, "hot").when(F.col("id") == 2499, None).otherwise("cold").alias("object"))
     got = A.related_items(items, "item", "object")
