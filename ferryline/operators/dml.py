@@ -81,6 +81,51 @@ def temporal_as_of(history: DataFrame, at: Column, start: str = "sys_start", end
     return history.filter((F.col(start) <= at) & (at < F.col(end)))
 
 
+def _next_in_time(df: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    """Adds the next later ``at`` of the same key. Times of a key differ.
+
+    Windows go over a key's rows of one day; what follows a day comes from the
+    first times of its days, one row each. So a hot key is not one task's work.
+    """
+    days = df.withColumn("_day", F.to_date(at))
+    firsts = days.groupBy(*keys, "_day").agg(F.min(at).alias("_first"))
+    after = firsts.select(*keys, "_day", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_day")).alias("_after"))
+    after = after.toDF(*[f"_j{i}" for i in range(len(keys) + 1)], "_after")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_j{i}")) for i, c in enumerate([*keys, "_day"])])
+    inside = F.lead(at).over(Window.partitionBy(*keys, "_day").orderBy(at))
+    return days.withColumn(name, inside).join(after, same).select(*df.columns, F.coalesce(name, "_after").alias(name))
+
+
+def versioned_update(history: DataFrame, changes: DataFrame, keys: list[str], at: str, sequence: str, deleted: str | None = None, start: str = "sys_start", end: str = "sys_end") -> DataFrame:
+    """A temporal table after ``changes``, in any order and however late.
+
+    ``history``: keys, values, [start, end), whose periods don't overlap within
+    a key. ``changes``: keys, the same values, ``at`` and ``sequence``. A change
+    holds from ``at`` to the next version or change of its key: it closes the
+    version that is open then and opens the next one, or splits an old period; at
+    the very start of a version it replaces it. Of several changes at one time
+    the last by ``sequence`` counts. Where ``deleted`` is true nothing holds from
+    ``at`` on. Ends of old versions that none follows stay. Changes without
+    ``at`` are ignored; null keys are keys like any. Keys without changes are not
+    touched, nor shuffled by more than their keys.
+    """
+    values = [c for c in history.columns if c not in (*keys, start, end)]
+    kind = history.schema[start].dataType
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    new = changes.filter(F.col(at).isNotNull()).select(*keys, F.col(at).cast(kind).alias("_at"), F.lit(2).alias("_kind"), F.col(sequence).cast("long").alias("_seq"), gone.alias("_gone"), F.struct(*[F.col(c).cast(history.schema[c].dataType).alias(c) for c in values]).alias("_v"))
+    named = new.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    hit = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    old = history.join(named, hit, "left_semi")
+    row = lambda time, what, gone: old.select(*keys, F.col(time).alias("_at"), F.lit(what).alias("_kind"), F.lit(0).cast("long").alias("_seq"), F.lit(gone).alias("_gone"), F.struct(*values).alias("_v"))
+    # at one time a change outranks a version's start, and that the end of the one before
+    points = new.unionByName(row(start, 1, False)).unionByName(row(end, 0, True))
+    last = points.groupBy(*keys, "_at").agg(F.max_by(F.struct("_gone", "_v"), F.struct("_kind", "_seq")).alias("_p"))
+    spliced = _next_in_time(last, keys, "_at", "_next").filter(~F.col("_p._gone"))
+    forever = F.lit("9999-12-31").cast(kind)
+    spliced = spliced.select(*keys, *[F.col(f"_p._v.{c}").alias(c) for c in values], F.col("_at").alias(start), F.coalesce("_next", forever).alias(end))
+    return history.join(named, hit, "left_anti").unionByName(spliced.select(*history.columns))
+
+
 def range_partition(c: Column, boundaries: list[Column]) -> Column:
     """Number of the partition, from 1; a boundary belongs to the partition on its right."""
     return F.lit(1) + reduce(lambda a, b: a + b, [F.when(c >= b, 1).otherwise(0) for b in boundaries])

@@ -221,3 +221,18 @@ def stream_hit_ratio(s, d):
 def active_sessions(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return t(s, d, "events").select("event_id", F.sum(F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)).over(w).alias("active"))
+
+
+_IDLE = """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END AS step FROM events),
+          g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, step DESC)),
+          s AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, step DESC ROWS UNBOUNDED PRECEDING) AS spell FROM g),
+          o AS (SELECT user_id, spell, list(step ORDER BY ts, step DESC) AS steps, max(ts) AS ts FROM s GROUP BY ALL),
+          l AS (SELECT user_id, max(ts) AS ts, arg_max(list_reduce(list_prepend(0::BIGINT, CAST(steps AS BIGINT[])), lambda a, x: greatest(a + x, 0)), ts) AS active FROM o GROUP BY user_id),
+          n AS (SELECT *, active > 0 AND ts + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) AS ended FROM l)"""
+
+
+@query(f"{_IDLE} SELECT user_id, CASE WHEN ended THEN ts + INTERVAL 12 HOUR ELSE ts END AS \"at\", CASE WHEN ended THEN 'expired' ELSE 'update' END AS event, CASE WHEN ended THEN 0 ELSE active END AS active FROM n")
+def idle_sessions(s, d):
+    """Every third event opens a session, the others close one, if one is open; twelve quiet hours end what is open."""
+    e = t(s, d, "events", "user_id", "ts", "event_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    return X.idle_sessions(e.withColumn("step", F.when(F.col("event_id") % 3 == 0, 1).otherwise(-1)), idle=12 * 3600)

@@ -114,6 +114,25 @@ def temporal_as_of(s, d):
     return dml.temporal_as_of(_history(s, d), F.expr("timestamp'2024-01-10'")).select("user_id", "event_id", "value")
 
 
+#: Changes that come late and out of order: some at the very start of a version, some inside old periods, some twice at one time, some that end what holds, some of unknown keys.
+_CHANGES = """SELECT user_id + CASE WHEN event_id % 101 = 0 THEN 1000000 ELSE 0 END AS user_id, -event_id AS event_id, value + 1 AS value, (event_id * 7919) % 1000003 AS seq, event_id % 9 = 4 AS deleted,
+    CASE event_id % 4 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 3 HOUR WHEN 2 THEN date_trunc('day', ts) ELSE ts + INTERVAL 90 DAY END AS "at" FROM events WHERE event_id % 3 = 0"""
+
+
+@query(f"""WITH h AS ({_HISTORY}), h2 AS (SELECT * FROM h WHERE sys_start < sys_end), c AS ({_CHANGES}),
+          p AS (SELECT user_id, "at", event_id, value, deleted, 2 AS kind, seq FROM c UNION ALL SELECT user_id, sys_start, event_id, value, false, 1, 0 FROM h2 UNION ALL SELECT user_id, sys_end, event_id, value, true, 0, 0 FROM h2),
+          l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id, "at" ORDER BY kind DESC, seq DESC) = 1),
+          r AS (SELECT l.user_id, l."at" AS sys_start, l.event_id, l.value, l.deleted, (SELECT min(q."at") FROM l q WHERE q.user_id = l.user_id AND q."at" > l."at") AS sys_end FROM l)
+          SELECT user_id, event_id, value, sys_start, coalesce(sys_end, TIMESTAMP '9999-12-31') AS sys_end FROM r WHERE NOT deleted""")
+def temporal_update(s, d):
+    """A year's versions, spliced with changes that arrive out of order."""
+    k = F.col("event_id")
+    at = F.when(k % 4 == 0, F.col("ts")).when(k % 4 == 1, F.col("ts") - F.expr("interval 3 hours")).when(k % 4 == 2, F.date_trunc("day", "ts").cast(t(s, d, "events").schema["ts"].dataType)).otherwise(F.col("ts") + F.expr("interval 90 days"))
+    user = F.col("user_id") + F.when(k % 101 == 0, 1000000).otherwise(0)
+    changes = t(s, d, "events").filter(k % 3 == 0).select(user.alias("user_id"), (-k).alias("event_id"), (F.col("value") + 1).alias("value"), (k * 7919 % 1000003).alias("seq"), (k % 9 == 4).alias("deleted"), at.alias("at"))
+    return dml.versioned_update(_history(s, d).filter("sys_start < sys_end"), changes, ["user_id"], "at", "seq", "deleted")
+
+
 @query("SELECT 1 + CASE WHEN o_orderdate >= TIMESTAMP '1994-01-01' THEN 1 ELSE 0 END + CASE WHEN o_orderdate >= TIMESTAMP '1996-01-01' THEN 1 ELSE 0 END AS part, count(*) AS n FROM orders GROUP BY 1")
 def range_partition_counts(s, d):
     part = dml.range_partition(F.col("o_orderdate"), [F.expr(f"timestamp'{y}-01-01'") for y in (1994, 1996)])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ferryline.sources.tables import captured, shred_events
 
@@ -49,6 +50,68 @@ def active_sessions(events: DataFrame, key: str = "user_id", late: str = "10 min
     return events.groupBy(key).agg(F.sum("step").alias("active"))
 
 
+class _Sessions(StatefulProcessor):
+    """Open sessions of a key, with a timer that ends them when nothing was heard for ``idle`` seconds."""
+
+    def __init__(self, key: str, idle: int):
+        self.key, self.idle = key, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "active long, last_ms long, timer_ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        active, last, timer = self.state.get() if self.state.exists() else (0, 0, 0)
+        steps = sorted((r["ms"], -r["step"]) for r in rows)  # of one time, opens first
+        for ms, step in steps:
+            active, last = max(active - step, 0), max(last, ms)
+        if timer:
+            self.handle.deleteTimer(timer)
+        if active:
+            timer = last + self.idle * 1000
+            self.handle.registerTimer(timer)
+            self.state.update((active, last, timer))
+        else:  # nothing is open: nothing to keep
+            self.state.clear()
+        yield Row(**{self.key: key[0]}, ms=last, event="update", active=active)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield Row(**{self.key: key[0]}, ms=expiredTimerInfo.getExpiryTimeInMs(), event="expired", active=0)
+
+    def close(self) -> None:
+        pass
+
+
+def idle_sessions(events: DataFrame, key: str = "user_id", idle: int = 1800, late: str = "10 minutes") -> DataFrame:
+    """``events``: key, ts, step (+1 opens, -1 closes). Open sessions of each key; sessions that are never closed end ``idle`` seconds after the last event.
+
+    A close that finds nothing open (it came after the end, or its open was
+    lost) changes nothing. A stream keeps state for keys with open sessions
+    only, by event time, and drops events later than the watermark; it needs the
+    RocksDB state store. It gives a row of key, at, event and active for each key
+    and trigger, and one for each end. A batch frame gives the last of these
+    rows for each key, as of the newest event of all less ``late``.
+    """
+    if events.isStreaming:
+        kind = events.schema[key].dataType.simpleString()
+        own = events.select(key, "ts", "step", F.unix_millis("ts").alias("ms")).withWatermark("ts", late).groupBy(key)
+        out = own.transformWithState(_Sessions(key, idle), f"{key} {kind}, ms long, event string, active long", "Update", "eventTime")
+        return out.select(key, F.timestamp_millis("ms").alias("at"), "event", "active")
+    line = Window.partitionBy(key).orderBy("ts", F.desc("step"))
+    gap = F.col("ts") > F.lag("ts").over(line) + F.make_dt_interval(secs=F.lit(idle))
+    spell = F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = events.select(key, "ts", "step").withColumn("spell", spell)
+    inner = Window.partitionBy(key, "spell").orderBy("ts", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    # opens less closes that found one: the running sum above its lowest point so far
+    rows = rows.withColumn("sum", F.sum("step").over(inner)).withColumn("active", F.col("sum") - F.least(F.lit(0), F.min("sum").over(inner)))
+    last = rows.groupBy(key).agg(F.max("ts").alias("ts"), F.max_by("active", F.struct("ts", "spell", -F.col("step"), -F.col("sum"))).alias("active"))
+    now = F.broadcast(events.agg((F.max("ts") - F.expr(f"interval {late}")).alias("now")))  # one row
+    end = F.col("ts") + F.make_dt_interval(secs=F.lit(idle))
+    over = (F.col("active") > 0) & (end <= F.col("now"))
+    return last.crossJoin(now).select(key, F.when(over, end).otherwise(F.col("ts")).alias("at"), F.when(over, "expired").otherwise("update").alias("event"), F.when(over, 0).otherwise(F.col("active")).cast("long").alias("active"))
+
+
 def ingest(events: DataFrame) -> DataFrame:
     """Event XML (batch or stream) to captured statements: relevant types, cut texts, rebuilt calls."""
     return captured(shred_events(events).withColumn("proc_name", F.col("object_name")))
