@@ -37,7 +37,7 @@ from ferryline.llm.common import met_by_count, stage
 #: Words of an anchor gram.
 ANCHOR = 8
 #: Words hashed together in one go inside a task.
-SLICE = 250_000
+SLICE = 80_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
