@@ -28,7 +28,7 @@ WIDTH, LITERAL = 8, 4
 #: Hashes of benchmark windows up to this number (8 bytes each) travel to all tasks; more are joined by shuffle.
 FEW_WINDOWS = 1_000_000
 #: Characters of the texts that a task takes apart in one go (one text at least).
-SLICE = 3_000_000
+SLICE = 800_000
 #: Words that are units, where a number stands before them.
 UNITS = frozenset("mm cm m km in ft yd mi miles mile metres meters metre meter inches inch feet foot g kg mg lb lbs oz pounds pound grams gram tons tonnes ml l litres liters litre liter gallons gallon s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent % $ € £ usd eur gbp dollars dollar euros euro cents cent mph kmh km/h kb mb gb tb hz khz mhz ghz w kw v a j kj cal kcal °c °f k pa bar".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice dozen".split())
