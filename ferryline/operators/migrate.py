@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferryline.operators.copying import copy_tables
 from ferryline.operators.graphs import cycle_members, dependency_waves
 
-__all__ = ["cycle_members", "dependency_waves"]
+__all__ = ["copy_tables", "cycle_members", "dependency_waves"]
 
 
 def select_tables(tables: DataFrame, wanted: list[str], schema_col: str = "schema_name", name_col: str = "table_name") -> DataFrame:
@@ -103,23 +103,3 @@ def check_breaches(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that break a rule (a null result doesn't), with the rule's name, one row for each breach."""
     broken = F.array_compact(F.array(*[F.when(~r, F.lit(k)) for k, r in rules.items()]))
     return df.withColumn("rule", F.explode(broken))
-
-
-def copy_tables(spark, tables: DataFrame, edges: DataFrame, copy: Callable[[str], int], most: int = 100_000) -> DataFrame:
-    """Copy each of ``tables`` (table_name) after those it refers to (``edges``: src refers to dst); one row for each: table_name, wave, rows, status, message.
-
-    ``copy`` moves one table, as a Spark job, and returns its number of rows. A
-    failing table doesn't stop others. Tables in or behind a cycle come last.
-    Names alone come to the driver, ``most`` at most: more is an error.
-    """
-    waves = dependency_waves(tables.select(F.col("table_name").alias("node")), edges)
-    names = waves.orderBy(F.asc_nulls_last("wave"), "node").limit(most + 1).collect()
-    if len(names) > most:
-        raise ValueError(f"over {most} tables")
-    out = []
-    for r in names:
-        try:
-            out.append((r.node, r.wave, copy(r.node), "ok", None))
-        except Exception as e:  # noqa: BLE001  reported, by table
-            out.append((r.node, r.wave, None, "failed", str(e)[:200]))
-    return spark.createDataFrame(out, "table_name string, wave int, rows long, status string, message string")
