@@ -313,6 +313,14 @@ def parse_style(s: Column, style: int) -> Column:
     return F.try_to_timestamp(s, F.lit(STYLES[style]))
 
 
+# --- collation ---
+
+
+def collated(c: Column, name: str = "UTF8_LCASE") -> Column:
+    """COLLATE: compares, joins, groups and sorts as the collation says; by default regardless of case, as the dialect's own collations do."""
+    return F.collate(c.cast("string"), name)
+
+
 # --- numbers ---
 
 

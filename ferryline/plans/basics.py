@@ -48,6 +48,48 @@ def arith_bitwise(s, d):
     return t(s, d, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", X.divide(k, F.lit(7)).alias("q"), (k % 7).alias("r"), k.bitwiseAND(12).alias("b_and"), k.bitwiseOR(12).alias("b_or"), k.bitwiseXOR(12).alias("b_xor"), F.bitwise_not(k).alias("b_not"), (-k).alias("neg"))
 
 
+def _mixed(c, k):
+    """The text in upper, lower and its own case in turn."""
+    return F.when(k % 3 == 0, F.upper(c)).when(k % 3 == 1, F.lower(c)).otherwise(c)
+
+
+_MIXED = "CASE c_custkey % 3 WHEN 0 THEN upper(c_mktsegment) WHEN 1 THEN lower(c_mktsegment) ELSE c_mktsegment END"
+
+
+def _segments(s, d):
+    k = F.col("c_custkey")
+    return t(s, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment").select("c_custkey", "c_nationkey", _mixed(F.col("c_mktsegment"), k).alias("segment"))
+
+
+@query(f"SELECT c_custkey, segment FROM (SELECT c_custkey, {_MIXED} AS segment FROM customer) WHERE lower(segment) = 'building' OR lower(segment) > 'household' AND lower(segment) <= 'machinery'")
+def collate_compare(s, d):
+    x = X.collated(F.col("segment"))
+    return _segments(s, d).filter((x == "Building") | (x > "HOUSEHOLD") & (x <= "machinerY")).select("c_custkey", "segment")
+
+
+@query(f"SELECT lower(segment) AS segment, count(*) AS n, count(DISTINCT c_nationkey) AS nations FROM (SELECT c_nationkey, {_MIXED} AS segment FROM customer) GROUP BY 1")
+def collate_group(s, d):
+    g = _segments(s, d).groupBy(X.collated(F.col("segment")).alias("g")).agg(F.count("*").alias("n"), F.count_distinct("c_nationkey").alias("nations"))
+    return g.select(F.lower(F.collate("g", "UTF8_BINARY")).alias("segment"), "n", "nations")
+
+
+@query(f"SELECT c.c_custkey, n_nationkey FROM (SELECT c_custkey, {_MIXED.replace('c_mktsegment', 'n_name')} AS name FROM customer JOIN nation ON c_nationkey = n_nationkey) c JOIN nation ON lower(name) = lower(n_name)")
+def collate_join(s, d):
+    """Joined by names whose case differs."""
+    n = t(s, d, "nation", "n_nationkey", "n_name")
+    c = t(s, d, "customer", "c_custkey", "c_nationkey").join(n.withColumnRenamed("n_name", "own"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", _mixed(F.col("own"), F.col("c_custkey")).alias("name"))
+    return c.join(n, X.collated(F.col("name")) == X.collated(F.col("n_name"))).select("c_custkey", "n_nationkey")
+
+
+@query(f"SELECT c_custkey, segment, dense_rank() OVER (ORDER BY lower(segment)) AS place, row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(segment), c_custkey) AS own FROM (SELECT c_custkey, c_nationkey, {_MIXED} AS segment FROM customer)")
+def collate_order(s, d):
+    """Ranks in an order regardless of case; the few different texts are ranked, not the rows."""
+    c = _segments(s, d).withColumn("x", X.collated(F.col("segment")))
+    ranks = c.groupBy("x").agg(F.count("*").alias("n")).select("x", F.dense_rank().over(Window.orderBy("x")).alias("place"))
+    own = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("x", "c_custkey"))
+    return c.withColumn("own", own).join(ranks, "x").select("c_custkey", "segment", "place", "own")
+
+
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, 9007199254740993 + l_orderkey * 8 + l_linenumber AS k FROM lineitem)
           SELECT l_orderkey, l_linenumber, k // 1 AS q1, k // 3 AS q3, -(k // 3) AS minus, k // (k - 1) AS one, CAST(NULL AS BIGINT) AS by_zero FROM b""")
 def divide_large(s, d):

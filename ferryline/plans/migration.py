@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ferryline.operators import casts
 from ferryline.operators import migrate as M
 from ferryline.plans.common import sql_values, t, values
 from ferryline.registry import query
@@ -75,6 +76,40 @@ def reconcile_content(s, d):
     return M.reconcile_content(o, changed.unionByName(kept.filter(k % 11 == 0).withColumn("o_orderkey", k + 10000000)), ["o_orderkey"])
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 900 = 0 THEN 'missing' ELSE 'changed' END AS difference FROM orders WHERE o_orderkey % 900 = 0 OR (o_orderkey % 1000 = 0 AND o_orderstatus <> 'Z')
+          UNION ALL SELECT o_orderkey + 10000000, 'extra' FROM orders WHERE o_orderkey % 1100 = 0 AND o_orderkey % 900 <> 0""")
+def reconcile_tree(s, d):
+    """One row in some hundreds differs: the hash tree finds where."""
+    o, k = t(s, d, "orders"), F.col("o_orderkey")
+    kept = o.filter(k % 900 != 0)
+    changed = kept.withColumn("o_orderstatus", F.when(k % 1000 == 0, "Z").otherwise(F.col("o_orderstatus")))
+    return M.reconcile_by_tree(o, changed.unionByName(kept.filter(k % 1100 == 0).withColumn("o_orderkey", k + 10000000)), ["o_orderkey"])
+
+
+def _texts(s, d):
+    """Orders as text, as an export would have them, with values here and there that no longer fit."""
+    k = F.col("o_orderkey")
+    text = lambda c, odd: F.when(k % odd[0] == 0, odd[1]).otherwise(F.col(c).cast("string"))
+    o = t(s, d, "orders")
+    return o.select(k, text("o_custkey", (13, "12.5")).alias("cust"), text("o_totalprice", (17, "n/a")).alias("price"), text("o_orderdate", (19, "2024-02-30 00:00:00")).alias("placed"), F.when(k % 23 == 0, "FINISHED").when(k % 29 != 0, F.col("o_orderstatus")).alias("status"), (k % 300).cast("string").alias("tiny"))
+
+
+_PLAN = [("cust", "integer", None), ("price", "numeric(12,2)", None), ("placed", "timestamp(0)", None), ("status", "varchar(4)", None), ("tiny", "smallint", "between 0 and 255")]
+
+
+@query("""SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS cust, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS price, date_trunc('second', o_orderdate) AS placed, CASE WHEN o_orderkey % 29 <> 0 THEN o_orderstatus END AS status, CAST(o_orderkey % 300 AS SMALLINT) AS tiny
+          FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 300 <= 255""")
+def cast_kept(s, d):
+    kept, _ = casts.convert_table(_texts(s, d), _PLAN, ["o_orderkey"])
+    return kept.withColumn("price", F.col("price").cast("double"))
+
+
+@query("""SELECT o_orderkey, v.* FROM orders, (VALUES ('cust', '12.5', 'no integer', 13), ('price', 'n/a', 'no numeric(12,2)', 17), ('placed', '2024-02-30 00:00:00', 'no timestamp(0)', 19), ('status', 'FINISHED', 'longer than 4', 23)) t(c, x, r, m), LATERAL (SELECT c AS "column", x AS value, r AS reason) v WHERE o_orderkey % m = 0
+          UNION ALL SELECT o_orderkey, 'tiny', CAST(o_orderkey % 300 AS VARCHAR), 'not between 0 and 255' FROM orders WHERE o_orderkey % 300 > 255""")
+def cast_set_aside(s, d):
+    return casts.convert_table(_texts(s, d), _PLAN, ["o_orderkey"])[1]
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)")
 def fk_orphans(s, d):
     parents = t(s, d, "customer", "c_custkey").filter("c_custkey % 4 != 0")
