@@ -25,6 +25,8 @@ from ferryline.llm.common import stage
 
 #: Tokens of a template window, and how many of them must be no placeholders.
 WIDTH, LITERAL = 8, 4
+#: Items under SHORT tokens have windows of SHORT_WIDTH tokens too, SHORT_LITERAL of them no placeholders; found by those, SHORT_SHARE of the item must be there.
+SHORT, SHORT_WIDTH, SHORT_LITERAL, SHORT_SHARE = 20, 5, 3, 0.8
 #: Hashes of benchmark windows up to this number (8 bytes each) travel to all tasks; more are joined by shuffle.
 FEW_WINDOWS = 1_000_000
 #: Characters of the texts that a task takes apart in one go (one text at least).
@@ -165,44 +167,56 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
             lo, chars = i + 1, 0
 
 
-def _hits(few: np.ndarray | None, whole: dict[int, np.ndarray] | None = None, bare: bool = False):
-    """Windows of (key, text): those of ``few`` (all if None), and those with the lengths and hashes of ``whole``.
-
-    Without ``whole`` the texts are items: one without a usable window is a
-    single window of its own length. ``bare`` leaves out tokens and values.
-    """
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Usable windows of items (key, text): key, at, h, tokens, vals, usable. An item without one is a single window of its own length."""
+    words = _Words()
+    for batch in batches:
+        for names, texts in _slices(batch):
+            t = words.templates(texts)
+            size = np.bincount(t.owner, minlength=len(texts))
+            begin = np.cumsum(size) - size
+            found, some = [], np.zeros(len(texts), bool)
+            for width, least, most in ((WIDTH, LITERAL, None), (SHORT_WIDTH, SHORT_LITERAL, SHORT)):
+                h, ok, literal = t.windows(width)
+                ok &= literal >= least
+                at = np.flatnonzero(ok)
+                at = at[size[t.owner[at]] < most] if most else at
+                some[t.owner[at]] = True
+                found += [(i, width, int(h[i]), True) for i in at.tolist()]
+            found += [(int(begin[k]), int(size[k]), int(t.windows(int(size[k]))[0][begin[k]]), False) for k in np.flatnonzero((size > 0) & ~some).tolist()]
+            yield _window_rows(t, names, begin, found, [f[3] for f in found])
+
+
+def _hits(known: dict[int, np.ndarray | None], bare: bool = False):
+    """Windows of (key, text), by size: those whose hashes are ``known`` (all if None). ``bare`` leaves out tokens and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             for names, texts in _slices(batch):
-                t = words.templates(texts)
-                h, ok, literal = t.windows(WIDTH)
-                ok &= literal >= LITERAL
-                if few is not None:
-                    ok &= _among(h, few)
-                found = [(i, WIDTH, x) for i, x in zip(np.flatnonzero(ok).tolist(), h[ok].tolist())]
-                begin = np.searchsorted(t.owner, np.arange(len(texts) + 1))
-                if whole is None:
-                    some = {int(x) for x in t.owner[[i for i, _, _ in found]]} if found else set()
-                    for k, (i, j) in enumerate(zip(begin.tolist(), begin[1:].tolist())):
-                        if j > i and k not in some:
-                            found.append((i, j - i, int(t.windows(j - i)[0][i])))
-                else:
-                    for size, known in whole.items():
-                        h, ok, _ = t.windows(size)
-                        ok &= _among(h, known)
-                        found += [(i, size, x) for i, x in zip(np.flatnonzero(ok).tolist(), h[ok].tolist())]
-                at = np.array([f[0] for f in found], np.int64)
-                own = t.owner[at]
-                cols = [names.take(pa.array(own)), pa.array((at - begin[own]).astype(np.int32)), pa.array([f[2] for f in found], pa.int64())]
-                if not bare:
-                    cols += [pa.array([f(i, size) for i, size, _ in found], pa.list_(pa.string())) for f in (t.tokens, t.values)]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "at", "h", "tokens", "vals"][: len(cols)])
+                t, found = words.templates(texts), []
+                for width, those in known.items():
+                    h, ok, _ = t.windows(width)
+                    if those is not None:
+                        ok &= _among(h, those)
+                    found += [(i, width, x) for i, x in zip(np.flatnonzero(ok).tolist(), h[ok].tolist())]
+                size = np.bincount(t.owner, minlength=len(texts))
+                yield _window_rows(t, names, np.cumsum(size) - size, found, None, bare)
 
     return run
 
 
+def _window_rows(t: _Templates, names: pa.Array, begin: np.ndarray, found: list[tuple], usable: list[bool] | None, bare: bool = False) -> pa.RecordBatch:
+    at = np.array([f[0] for f in found], np.int64)
+    own = t.owner[at]
+    cols = [names.take(pa.array(own)), pa.array((at - begin[own]).astype(np.int32)), pa.array([f[2] for f in found], pa.int64())]
+    if not bare:
+        cols += [pa.array([f(i, width) for i, width, *_ in found], pa.list_(pa.string())) for f in (t.tokens, t.values)]
+    if usable is not None:
+        cols.append(pa.array(usable, pa.bool_()))
+    return pa.RecordBatch.from_arrays(cols, ["key", "at", "h", "tokens", "vals", "usable"][: len(cols)])
+
+
 def _cover(windows: list[tuple]) -> tuple[int, int]:
     """Item words covered and values changed by the windows (pos, size, slots (token and benchmark value, document value, changed)).
 
@@ -256,7 +270,12 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for windows, total in zip(batch.column("windows"), batch.column("total").to_pylist()):
             rows = [(w["at"], w["pos"], w["size"], [(s["was"], s["now"], s["changed"]) for s in w["slots"]]) for w in windows.as_py()]
-            out.append(best_cover(rows, total))
+            wide = [r for r in rows if r[2] != SHORT_WIDTH or total <= SHORT_WIDTH]
+            cover = best_cover(wide, total) if wide else (0, 0)
+            if len(wide) < len(rows):
+                every = best_cover(rows, total)
+                cover = every if every[0] > max(cover[0], SHORT_SHARE * total - 1e-9) else cover
+            out.append(cover)
         n, changed = (pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), batch.column("total"), n, changed], ["key", "item", "total", "n_words", "n_changed"])
 
@@ -269,8 +288,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sha
     n_changed (placeholder values that differ). A pair counts if the cover has
     at least ``min_words`` words or ``share`` of the item. Windows near each
     other in a document are added up; of those with changed values only the
-    ones count whose benchmark values have one counterpart each. An item
-    without a usable window (too short, or mostly placeholders) must be there
+    ones count whose benchmark values have one counterpart each. Items under
+    ``SHORT`` tokens are also found by shorter windows, where those cover
+    ``SHORT_SHARE`` of the item. An item without a usable window (too short, or mostly placeholders) must be there
     as a whole, with unchanged values if it has under ``LITERAL`` other words.
     Null and empty texts match nothing; rows that share an id are judged text
     by text and give the best of them (of ties that with fewer changed values).
@@ -280,24 +300,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sha
     item = benchmark.select(F.col(item_col).alias("key"), F.col(item_text_col).alias("text"))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     shape = "at int, h long, tokens array<string>, vals array<string>"
-    own = stage(item.mapInArrow(_hits(None), f"key {item_kind}, {shape}"), "windows")
+    own = stage(item.mapInArrow(_item_windows, f"key {item_kind}, {shape}, usable boolean"), "windows")
     literals = F.size(F.filter("tokens", lambda t: ~t.startswith("\x01")))
-    usable = (F.size("tokens") == WIDTH) & (literals >= LITERAL)
-    whole = {r.size: np.array(r.h, np.int64) for r in own.filter(~usable).groupBy(F.size("tokens").alias("size")).agg(F.sort_array(F.collect_set("h")).alias("h")).collect()}
     named = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
     key_kind = f"struct<id:{kind},th:bigint>"
-    texts, few = docs.select(named.alias("key"), F.col(text_col).alias("text")), None
-    usable_h = own.filter(usable).select("h").distinct()
-    if usable_h.count() <= FEW_WINDOWS:
-        few = np.unique(np.array([r.h for r in usable_h.collect()], np.int64))
+    texts = docs.select(named.alias("key"), F.col(text_col).alias("text"))
+    seen = own.select(F.size("tokens").alias("width"), "h").distinct()
+    if seen.count() <= FEW_WINDOWS:
+        rows = seen.collect()
+        known = {w: np.unique(np.array([r.h for r in rows if r.width == w], np.int64)) for w in {r.width for r in rows}}
     else:
         # hashes and keys alone are joined first; only texts with a hit are read again with their words
-        hit = stage(texts.mapInArrow(_hits(None, whole, bare=True), f"key {key_kind}, at int, h long").join(own.select("h").distinct(), "h", "left_semi").select("key").distinct(), "hit")
+        known = {r.width: None for r in seen.select("width").distinct().collect()}  # as many as items have lengths
+        hit = stage(texts.mapInArrow(_hits(known, bare=True), f"key {key_kind}, at int, h long").join(own.select("h").distinct(), "h", "left_semi").select("key").distinct(), "hit")
         same = texts["key.id"].eqNullSafe(hit["key.id"]) & texts["key.th"].eqNullSafe(hit["key.th"])
         texts = texts.join(hit, same, "left_semi")
-    hits = texts.mapInArrow(_hits(few, whole), f"key {key_kind}, {shape}")
-    item_windows = own.select(F.col("key").alias("item"), F.col("at").alias("pos"), "h", F.col("tokens").alias("its"), F.col("vals").alias("was"))
-    pairs = hits.join(item_windows, "h").filter((F.col("tokens") == F.col("its")) & ((literals >= LITERAL) | (F.col("vals") == F.col("was"))))
+    hits = texts.mapInArrow(_hits(known), f"key {key_kind}, {shape}")
+    item_windows = own.select(F.col("key").alias("item"), F.col("at").alias("pos"), "h", "usable", F.col("tokens").alias("its"), F.col("vals").alias("was"))
+    free = F.col("usable") | (literals >= LITERAL)  # others must have unchanged values
+    pairs = hits.join(item_windows, "h").filter((F.col("tokens") == F.col("its")) & (free | (F.col("vals") == F.col("was"))))
     slots = F.expr("transform(filter(sequence(0, size(tokens) - 1), k -> startswith(tokens[k], '\x01')), k -> struct(xxhash64(tokens[k], was[k]) as was, xxhash64(vals[k]) as now, vals[k] != was[k] as changed))")
     met = pairs.groupBy("key", "item").agg(F.collect_set(F.struct("at", "pos", F.size("tokens").alias("size"), slots.alias("slots"))).alias("windows"))
     words = item.mapInArrow(_lengths, f"key {item_kind}, total int").groupBy(F.col("key").alias("item")).agg(F.max("total").alias("total"))
