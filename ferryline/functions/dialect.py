@@ -194,7 +194,7 @@ def json_query(doc: Column, path: str) -> Column:
 
 
 #: A step of a JSON path: .name, ."any name" or [index].
-_STEP = re.compile(r'\.([A-Za-z_$][\w$]*)|\."([^"]*)"|\[(\d+)\]')
+_JSON_STEP = re.compile(r'\.([A-Za-z_$][\w$]*)|\."([^"]*)"|\[(\d+)\]')
 
 
 def _steps(path: str) -> tuple[bool, bool, list[str | int]]:
@@ -204,7 +204,7 @@ def _steps(path: str) -> tuple[bool, bool, list[str | int]]:
         raise ValueError(f"not a JSON path: {path}")
     steps, at = [], 0
     while at < len(m[3]):
-        s = _STEP.match(m[3], at)
+        s = _JSON_STEP.match(m[3], at)
         if not s:
             raise ValueError(f"not a JSON path: {path}")
         steps.append(int(s[3]) if s[3] is not None else s[1] if s[1] is not None else s[2])

@@ -136,12 +136,18 @@ def risk_of(tag: Column) -> Column:
 
 
 def tagged(statements: DataFrame, sql_col: str = "sql_text") -> DataFrame:
-    """Adds features and risk (that of the worst feature, 1 without any). Each different text is taken apart once, however often it was run; null texts have no features."""
+    """Adds features and risk (that of the worst feature, 1 without any). Each different text is taken apart once, however often it was run; null texts have no features.
+
+    Statements and tags meet by two hashes of the text. Where tags are few, as in
+    a log of templates, their written size shows it and they travel to the
+    statements, which are not shuffled at all.
+    """
+    named = {"_a": F.xxhash64(sql_col), "_b": F.xxhash64(F.lit(1), sql_col)}
     texts = statements.select(F.col(sql_col).alias("_sql")).distinct().withColumn("_bare", bare(strip_params(F.col("_sql"))))
-    texts = texts.select("_sql", features_of(F.col("_bare")).alias("features"))
+    texts = texts.select(F.xxhash64("_sql").alias("_a"), F.xxhash64(F.lit(1), "_sql").alias("_b"), features_of(F.col("_bare")).alias("features"))
     texts = texts.withColumn("risk", F.coalesce(F.array_max(F.transform("features", lambda f: risk_of(f.tag))), F.lit(1)))
     texts = written(texts)  # else filters on features would move below the distinct and run for each statement
-    out = statements.join(texts, F.col(sql_col).eqNullSafe(F.col("_sql"))).drop("_sql")
+    out = statements.withColumns(named).join(texts, ["_a", "_b"]).drop("_a", "_b")
     return out.withColumns({"features": F.coalesce("features", F.array().cast("array<struct<tag:string,category:string>>")), "risk": F.coalesce("risk", F.lit(1))})
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ferryline.operators.assess import RANGE_RATIO, conversion, strip_params
 from ferryline.operators.rationale import NO_NOTE, NOTES
+from ferryline.operators.relational import numbered
+from ferryline.operators.staging import Appended, written
 
 #: Target type and risk of the types that need a finding.
 TYPE_FINDINGS = {"UNIQUEIDENTIFIER": ("UUID", 2), "DATETIME": ("TIMESTAMPTZ", 2), "SMALLDATETIME": ("TIMESTAMPTZ", 2), "DATETIME2": ("TIMESTAMPTZ", 1), "BIT": ("BOOLEAN", 1), "IMAGE": ("BYTEA", 2), "MONEY": ("NUMERIC(19,4)", 2), "SMALLMONEY": ("NUMERIC(10,4)", 2), "TINYINT": ("SMALLINT", 1)}
@@ -49,41 +51,60 @@ def one_line(sql: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(strip_params(sql), r"\s+", " ")))
 
 
-def _marks(text: Column) -> tuple[Column, Column]:
-    """Hashes of all runs (to be kept as _runs), and of them the marks of a text of ``LEAST_CHARS`` characters or more: of each ``LEAST_CHARS`` neighbours the smallest hash of their runs of ``RUN``.
+def _once(x: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _marks(text: Column) -> Column:
+    """The marks of a text of ``LEAST_CHARS`` characters or more: of each ``LEAST_CHARS`` neighbours the smallest hash of their runs of ``RUN``.
 
     Two texts that share ``LEAST_CHARS`` neighbouring characters share a mark;
     about one in five characters begins one.
     """
-    chars = F.split(text, "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, RUN), "")))
     wide = LEAST_CHARS - RUN + 1
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - LEAST_CHARS + 1, F.lit(1))), lambda i: F.array_min(F.slice(F.col("_runs"), i, wide)))
-    return runs, F.array_distinct(each)
+    places = lambda chars, n: F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
+    runs = lambda chars: F.transform(places(chars, RUN), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, RUN), "")))
+    least = lambda chars, r: F.array_distinct(F.transform(places(chars, LEAST_CHARS), lambda i: F.array_min(F.slice(r, i, wide))))
+    return _once(F.split(text, ""), lambda chars: _once(runs(chars), lambda r: least(chars, r)))
 
 
 def _marked(df: DataFrame, text: str) -> DataFrame:
-    runs, marks = _marks(F.col(text))
-    return df.filter(F.length(text) >= LEAST_CHARS).withColumn("_runs", runs).withColumn("_marks", marks).drop("_runs")
+    return df.filter(F.length(text) >= LEAST_CHARS).withColumn("_marks", _marks(F.col(text)))
+
+
+#: Objects that a text is compared with first, and how much larger each further block is.
+FIRST_BLOCK, LARGER = 64, 4
 
 
 def resolve_objects(statements: DataFrame, objects: DataFrame, sql_col: str = "sql_text") -> DataFrame:
     """The statements and object_name: the first object (by ordinal) whose body contains the text, else null.
 
-    ``objects``: ordinal, object_name, body. Each different text is looked up
-    once. A body that contains a text has all of its marks: the rarest of them
-    leads a text to the bodies to compare it with. Texts of under
+    ``objects``: ordinal (each once), object_name, body. Each different text is
+    looked up once. A body that contains a text has all of its marks: the rarest
+    of them leads a text to the bodies to compare it with. Bodies are tried in
+    blocks, in order of their ordinals; a text that is found goes no further, so
+    one that all bodies hold meets a first block only. Blocks grow, so their
+    number follows the logarithm of the objects'. Texts of under
     ``LEAST_CHARS`` characters, and null ones, get none.
     """
     s = statements.withColumn("_text", one_line(F.col(sql_col)))
     bodies = objects.filter("body is not null").select("ordinal", "object_name", one_line(F.col("body")).alias("_body"))
-    keys = _marked(bodies, "_body").select("ordinal", F.explode("_marks").alias("key"))
+    bodies = written(numbered(bodies, [F.asc("ordinal")], "no", "all"))
+    keys = written(_marked(bodies, "_body").select("no", F.explode("_marks").alias("key")))
     ways = _marked(s.select("_text").distinct(), "_text").select("_text", F.size("_marks").alias("all"), F.explode("_marks").alias("key"))
-    often = keys.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = ways.join(often, "key").groupBy("_text").agg(F.count("*").alias("met"), F.max("all").alias("all"), F.min(F.struct("n", "key")).getField("key").alias("key"))
-    near = rarest.filter("met = all").select("_text", "key").join(keys, "key").select("_text", "ordinal")
-    first = near.join(bodies, "ordinal").filter(F.col("_body").contains(F.col("_text"))).groupBy("_text").agg(F.min(F.struct("ordinal", "object_name")).alias("m"))
-    return s.join(first.select("_text", F.col("m.object_name").alias("object_name")), "_text", "left").drop("_text")
+    often = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("no").alias("last"))
+    rarest = ways.join(often, "key").groupBy("_text").agg(F.count("*").alias("met"), F.max("all").alias("all"), F.min(F.struct("n", "key", "last")).alias("k"))
+    left = written(rarest.filter("met = all").select("_text", "k.key", "k.last"))
+    found = Appended(bodies.select(F.col("_body").alias("_text"), "object_name"))
+    low, size = 0, FIRST_BLOCK
+    while not left.isEmpty():
+        block = lambda df: df.filter(F.col("no").between(low + 1, low + size))  # noqa: E731, B023
+        near = left.join(block(keys), "key").select("_text", "no").join(block(bodies), "no").filter(F.col("_body").contains(F.col("_text")))
+        hit = found.add(near.groupBy("_text").agg(F.min_by("object_name", "no").alias("object_name")))
+        low, size = low + size, size * LARGER
+        left = written(left.filter(F.col("last") > low).join(hit, "_text", "left_anti"))
+    return s.join(found.read(), "_text", "left").drop("_text")
 
 
 def object_inventory(resolved: DataFrame, objects: DataFrame) -> DataFrame:

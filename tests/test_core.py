@@ -111,6 +111,18 @@ def test_cross_references_of_many_items(spark):
     assert len(sizes) == 2499 and all(r.n == (2489 if r.item < "i02490" else 8) and r.most < 1300 for r in sizes)
 
 
+def test_objects_of_texts_that_many_bodies_hold(spark):
+    """The first object that holds a text, whether all bodies do, the last one only, or none."""
+    from ferryline.operators.inventory import resolve_objects
+
+    n = 700
+    own = lambda i: f"update stock set amount = {i} where item = {i * 7919}"
+    bodies = [(i * 3, f"o{i}", f"create procedure p{i} as select everything from everywhere; {own(i)}" + (" select the rare one from here" if i == n - 1 else "")) for i in range(n)] + [(5000, "opaque", None)]
+    texts = ["select everything from everywhere", own(0), own(n - 1), own(430), "select the rare one from here", "no object holds this statement text", "short", None, "select  everything\nfrom everywhere"]
+    got = resolve_objects(spark.createDataFrame([(t,) for t in texts], "sql_text string"), spark.createDataFrame(bodies, "ordinal int, object_name string, body string"))
+    assert {r.sql_text: r.object_name for r in got.collect()} == dict(zip(texts, ["o0", "o0", f"o{n - 1}", "o430", f"o{n - 1}", None, None, None, "o0"]))
+
+
 def test_errors_of_checks(spark):
     good = V.assert_no_error(spark, "fine", lambda: spark.range(3)).first()
     bad = V.assert_no_error(spark, "broken", lambda: spark.sql("select raise_error('no')")).first()

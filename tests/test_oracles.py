@@ -1,5 +1,7 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every registered query against its SQL, on the smallest tables, each within a time limit."""
 
+import signal
+from contextlib import contextmanager
 from pathlib import Path
 
 import duckdb
@@ -8,6 +10,22 @@ import pytest
 from ferryline import registry
 
 SF = "/root/testdata/sf0.001"
+#: Seconds that a query may take here.
+LIMIT = 60
+
+
+@contextmanager
+def limit(seconds):
+    def stop(*_):
+        raise TimeoutError(f"over {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(seconds)
+    try:
+        yield
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
 
 
 @pytest.fixture(scope="module")
@@ -27,11 +45,13 @@ def plain(rows, columns):
 
 @pytest.mark.parametrize("name", sorted(registry.oracles()))
 def test_query_equals_sql(spark, con, name):
-    df = registry.queries()[name](spark, SF)
+    with limit(LIMIT):
+        df = registry.queries()[name](spark, SF)
+        rows = [tuple(r) for r in df.collect()]
     cur = con.execute(registry.oracles()[name])
     names = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(names)
-    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(cur.fetchall(), names)
+    assert plain(rows, df.columns) == plain(cur.fetchall(), names)
 
 
 def test_flagship(spark):
