@@ -164,7 +164,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None =
     blocks = seen.select("rid", "places", "tokens").mapInArrow(_blocks(rank, least), "rid long, m int, block long, words array<int>")
     fewest = F.coalesce(*[F.when(F.col("m") == m, F.lit(a)) for m, a in least.items()], F.lit(1))
     first = blocks.withColumn("n", F.size("words")).select("*", F.posexplode(F.slice("words", F.lit(1), F.col("n") - fewest + 1)).alias("i", "word"))
-    met = first.join(posting, ["m", "word"]).filter(F.least(F.col("n") - F.col("i"), F.col("t_rest")) >= F.col("alpha"))
+    # one row for each prefix word of a template: a parameter's size, not the data's
+    met = first.join(F.broadcast(posting), ["m", "word"]).filter(F.least(F.col("n") - F.col("i"), F.col("t_rest")) >= F.col("alpha"))
     both = F.size(F.array_intersect("words", "whole"))
     hits = met.filter((both >= F.col("alpha")) & (F.size(F.array_except("must", "words")) == 0)).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max(both / F.size("whole")).alias("best"))  # as many labels as templates have
     names = F.array(*[F.lit(label) for _, label in phrases]).cast("array<string>")
