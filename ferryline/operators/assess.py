@@ -171,6 +171,7 @@ def rationale(features: Column, risk: Column) -> Column:
     """Sentence of the feature that decides."""
     top = top_feature(features)
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    # fixed values: the sentences of features without one of their own, by risk
     other = F.when(risk >= 4, F.concat(top, F.lit(" requires manual conversion; no direct PostgreSQL equivalent available."))).when(risk == 3, F.concat(top, F.lit(" requires procedural restructuring for PostgreSQL compatibility."))).when(risk == 2, F.concat(top, F.lit(" requires simple function substitution with no behavioral change."))).otherwise(STANDARD)
     return F.when(F.size(features) == 0, STANDARD).otherwise(F.coalesce(F.element_at(known, top), other))
 

@@ -170,7 +170,7 @@ def read_catalog(catalog: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 #: Categories of server features, in the order of reports.
 FEATURE_CATEGORIES = ["SQL CLR", "Service Broker", "Agent Jobs", "CDC", "Change Tracking", "Replication", "Linked Servers", "Full Text Search", "FileStream", "XML Indexes", "Temporal Tables", "Memory Optimized", "Partitioning"]
-#: Category, catalog table, and the rows of it that count.
+#: Category, catalog table, and the rows of it that count.
 FEATURE_SOURCES = [
     ("SQL CLR", "assemblies", "is_user_defined = 1"),
     ("Service Broker", "service_queues", "lower(schema_name) != 'sys'"),
