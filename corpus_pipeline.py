@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 0.8 or more of their five-word shingles: that with the smallest doc_id, then text hash.
 
-    A row is named by its id and the hash of its text; of identical rows one stays.
+    Texts meet in the walk of SimHash tries (op10's, with fingerprints for 0.8) and are verified exactly. A row is named by its id and the hash of its text; of identical rows one stays.
     """
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_th"))
     ids = rows.groupBy("doc_id", "_th").agg(F.count("*").alias("same"))

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of an Arrow batch: texts are long, and a task and its Python process hold several batches at once.
-BATCH = 1000
+BATCH = 250
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -31,8 +31,13 @@ BITS, TURNS, STEP = 64, 5, 4
 #: First bit of each turning. A prefix up to bound j of REACH lies within j fifths in every turning.
 STARTS = [0, 13, 26, 39, 52]
 REACH = [0, 12, 25, 38, 51, 64]
-#: Pairs of keys up to which two nodes are compared key by key, and packs of keys that a task walks together.
-FEW, PACKS = 16, 256
+#: Pairs of keys up to which two nodes are compared key by key; packs of keys that a task walks together, and their pairs of keys.
+FEW, PACKS, AT_ONCE = 16, 256, 4_000_000
+
+
+def fifths(budget: int) -> list[tuple[int, int]]:
+    """Bits that prefixes may differ in, (depth, bits): each up to its bound. No pair within the budget is lost."""
+    return [(d, budget * j // TURNS) for j, d in enumerate(REACH)]
 
 
 def _bits(words: list[bytes], shingle: int) -> bytes:
@@ -69,18 +74,19 @@ def _prefix(column: str, depth: int):
 
 
 def turnings(fps: DataFrame) -> DataFrame:
-    """turn and key (the turned bits) of each fingerprint, five rows each."""
+    """turn and key (the turned bits) of each fingerprint, five rows each; ``lane``, where given, numbers fingerprints by other hashes, whose turns are their own."""
     turned = [F.expr(f"shiftleft(fp, {b}) | shiftrightunsigned(fp, {BITS - b})") if b else F.col("fp") for b in STARTS]
-    return fps.select(F.posexplode(F.array(*turned)).alias("turn", "key"))
+    lane = F.col("lane").cast("int") if "lane" in fps.columns else F.lit(0)
+    return fps.select(lane.alias("lane"), F.posexplode(F.array(*turned)).alias("turn", "key")).select((F.col("lane") * TURNS + F.col("turn")).alias("turn"), "key")
 
 
-def trie_leaves(fps: DataFrame, budget: int, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Walk the five tries by node pairs, from the roots as deep as nodes hold more than ``leaf`` keys.
+def trie_leaves(fps: DataFrame, spend: list[tuple[int, int]], leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Walk the tries of all turns by node pairs, from the roots as deep as nodes hold more than ``leaf`` keys; ``spend`` as of ``fifths``.
 
     Returns the leaves' keys (turn, depth, node, key) and the pairs of
     different leaves that are left to compare (turn, da, a, db, b).
     """
-    rows, depth = turnings(fps), 0
+    rows, depth, first = turnings(fps), 0, next(d for d, _ in spend if d)
     nodes = stage(rows.groupBy("turn", _prefix("key", depth).alias("node")).agg(F.count("*").alias("n")).withColumn("big", F.col("n") > leaf), "nodes")
     pairs = nodes.select("turn", *[c for s in "ab" for c in (F.lit(depth).alias(f"d{s}"), F.col("node").alias(s), F.col("big").alias(f"big_{s}"))])
     keys, met = [], []
@@ -90,7 +96,7 @@ def trie_leaves(fps: DataFrame, budget: int, leaf: int) -> tuple[DataFrame, Data
         met.append(pairs.filter("not big_a and not big_b and (da != db or a != b)").drop("big_a", "big_b"))
         if nodes.filter("big").isEmpty():
             break
-        rows, deeper = stage(here.filter("big").select("turn", "key"), "keys"), min(depth + STEP, BITS) if depth else REACH[1]
+        rows, deeper = stage(here.filter("big").select("turn", "key"), "keys"), min(depth + STEP, BITS) if depth else first
         nodes = stage(rows.groupBy("turn", _prefix("key", deeper).alias("node")).agg(F.count("*").alias("n")).withColumn("big", (F.col("n") > leaf) & F.lit(deeper < BITS)), "nodes")
         walk = pairs.filter("big_a or big_b")
         for s in "ab":
@@ -98,25 +104,26 @@ def trie_leaves(fps: DataFrame, budget: int, leaf: int) -> tuple[DataFrame, Data
             split = walk.filter(f"big_{s}").join(child, ["turn", s]).withColumns({s: F.col("n_"), f"d{s}": F.col("d_"), f"big_{s}": F.col("b_")})
             walk = split.select(*pairs.columns).unionByName(walk.filter(f"not big_{s}"))
         differ = F.expr("bit_count(shiftrightunsigned(a, da - least(da, db)) ^ shiftrightunsigned(b, db - least(da, db)))")
-        spend = F.coalesce(*[F.when(F.least("da", "db") <= d, F.lit(budget * j // TURNS)) for j, d in enumerate(REACH)])
-        pairs, depth = stage(walk.filter("da != db or a <= b").filter(differ <= spend), "pairs"), deeper
+        most = F.coalesce(*[F.when(F.least("da", "db") <= d, F.lit(bits)) for d, bits in spend])
+        pairs, depth = stage(walk.filter("da != db or a <= b").filter(differ <= most), "pairs"), deeper
     every, left = keys[0], met[0]
     for x, y in zip(keys[1:], met[1:]):
         every, left = every.unionByName(x), left.unionByName(y)
     return every, left
 
 
-def _spend(depth: int, budget: int) -> int:
+def _spend(depth: int, spend: list[tuple[int, int]]) -> int:
     """Bits that two prefixes of this depth may differ in."""
-    return budget * next(j for j, d in enumerate(REACH) if depth <= d) // TURNS
+    return next(bits for d, bits in spend if depth <= d)
 
 
-def trie_pairs(keys: np.ndarray, start: np.ndarray, stop: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(keys: np.ndarray, start: np.ndarray, stop: np.ndarray, budget: int, spend: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of all pairs that differ in at most ``budget`` bits and whose prefixes spend no more than they may.
 
     ``keys``: ascending in each range [start, stop), a trie of its own. Node
     pairs of all tries go down together, one bit in a round.
     """
+    spend = spend or fifths(budget)
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     # a pair: keys [a0, a1) and [b0, b1), bits that differ so far
     a0, a1, b0, b1, diff = start, stop, start, stop, np.zeros(len(start), np.int64)
@@ -139,7 +146,7 @@ def trie_pairs(keys: np.ndarray, start: np.ndarray, stop: np.ndarray, budget: in
         other = a0 != b0  # a node with itself has its mixed child pair once
         c = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1), tuple(x[other] for x in (am, a1, b0, bm, diff + 1))]
         a0, a1, b0, b1, diff = (np.concatenate(x) for x in zip(*c))
-        on = (a1 > a0) & (b1 > b0) & (diff <= _spend(depth + 1, budget))
+        on = (a1 > a0) & (b1 > b0) & (diff <= _spend(depth + 1, spend))
         a0, a1, b0, b1, diff = (x[on] for x in (a0, a1, b0, b1, diff))
     return np.concatenate(us), np.concatenate(vs)
 
@@ -159,9 +166,21 @@ def _least(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(fps: DataFrame, budget: int = 4, leaf: int = 1024) -> DataFrame:
-    """``fps``: distinct fp. Links (u, v) that connect whatever pairs within the budget connect."""
-    keys, pairs = trie_leaves(fps, budget, leaf)
+def _packed(sizes: list[int]):
+    """Ranges of neighbouring packs that are walked together."""
+    lo = pairs = 0
+    for hi, n in enumerate(sizes):
+        if hi > lo and (hi - lo >= PACKS or pairs + n * n > AT_ONCE):
+            yield lo, hi
+            lo, pairs = hi, 0
+        pairs += n * n
+    if sizes:
+        yield lo, len(sizes)
+
+
+def lane_links(fps: DataFrame, spend: list[tuple[int, int]], leaf: int = 1024) -> DataFrame:
+    """``fps``: distinct fp (and lane). Links (lane, u, v) that connect whatever the tries' pairs connect; ``spend`` as of ``fifths``, the last bound for whole fingerprints."""
+    keys, pairs = trie_leaves(fps, spend, leaf)
     packs = keys.groupBy("turn", "depth", "node").agg(F.collect_list("key").alias("keys"))  # at most leaf keys
     packs = stage(packs, "leaves") if not pairs.isEmpty() else packs
     side = {s: packs.select("turn", F.col("depth").alias(f"d{s}"), F.col("node").alias(s), F.col("keys").alias(f"keys_{s}")) for s in "ab"}
@@ -170,21 +189,27 @@ def links(fps: DataFrame, budget: int = 4, leaf: int = 1024) -> DataFrame:
 
     def compare(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, PACKS):
-                batch = whole.slice(lo, PACKS)
+            for lo, hi in _packed(np.diff(whole.column("keys").offsets.to_numpy()).tolist()):
+                batch = whole.slice(lo, hi - lo)
                 lists = batch.column("keys")
                 own = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 size = np.diff(lists.offsets.to_numpy())
                 pack = np.repeat(np.arange(len(size)), size)
                 own = own[np.lexsort((own, pack))]
                 stop = np.cumsum(size)
-                label = _least(len(own), *trie_pairs(own, stop - size, stop, budget))
-                back = np.array(STARTS, np.uint64)[batch.column("turn").to_numpy()][pack]
+                label = _least(len(own), *trie_pairs(own, stop - size, stop, spend[-1][1], spend))
+                turn = batch.column("turn").to_numpy()[pack]
+                back = np.array(STARTS, np.uint64)[turn % TURNS]
                 own = np.where(back > 0, (own >> back) | (own << ((np.uint64(BITS) - back) % np.uint64(BITS))), own)
                 v = np.flatnonzero(label != np.arange(len(label)))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (own[label[v]], own[v])], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array((turn[v] // TURNS).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (own[label[v]], own[v]))], ["lane", "u", "v"])
+
+    return todo.mapInArrow(compare, "lane int, u long, v long")
+
 
-    return todo.mapInArrow(compare, "u long, v long")
+def links(fps: DataFrame, budget: int = 4, leaf: int = 1024) -> DataFrame:
+    """``fps``: distinct fp. Links (u, v) that connect whatever pairs within the budget connect."""
+    return lane_links(fps.select("fp"), fifths(budget), leaf).select("u", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
