@@ -103,21 +103,45 @@ def _field(name: str, kind: str = "data") -> Column:
     return F.expr(f"""nullif(xpath_string(event_xml, 'event/{kind}[@name="{name}"][last()]/value'), '')""")
 
 
+#: An event as one parse sees it, and texts that only the XPath form reads rightly: other roots, comments, CDATA, instructions.
+_EVENT = "_name string, _timestamp string, " + ", ".join(f"{kind} array<struct<_name: string, value: array<string>>>" for kind in ("data", "action"))
+_PLAIN = r"^<event[\s>]"
+
+
+def _parsed_field(event: Column, name: str, kind: str = "data") -> Column:
+    """The same as ``_field``, of a parsed event; a value with markup of its own, or a "<", is read by XPath."""
+    value = F.get(F.get(F.reverse(F.filter(event[kind], lambda f: f["_name"] == name)), F.lit(0))["value"], F.lit(0))
+    return F.when(value.contains("<"), _field(name, kind)).otherwise(F.nullif(value, F.lit("")))
+
+
 def _parameters() -> Column:
     """Array of (name, type, value) of a procedure call: at most PARAMETER_LIMIT, values cut at VALUE_LIMIT; without a name @p and their number, without a type unknown."""
     block = lambda name: F.regexp_extract("event_xml", rf"(?s)<data name=['\"]{name}['\"][^>]*>\s*<value>(.*?)</value>", 1)
-    inner = F.when(block("parameters") != "", block("parameters")).otherwise(block("input_parameters"))
-    found = F.from_xml(F.concat(F.lit("<v>"), inner, F.lit("</v>")), "parameter array<struct<_name: string, _type: string, _VALUE: string>>").getField("parameter")
+    once = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))
+    inner = once(block("parameters"), lambda b: F.when(b != "", b).otherwise(block("input_parameters")))
+    found = once(inner, lambda b: F.when(b != "", F.from_xml(F.concat(F.lit("<v>"), b, F.lit("</v>")), "parameter array<struct<_name: string, _type: string, _VALUE: string>>").getField("parameter")))
     one = lambda p, i: F.struct(F.coalesce(p["_name"], F.concat(F.lit("@p"), i)).alias("name"), F.coalesce(p["_type"], F.lit("unknown")).alias("type"), F.left(F.coalesce(p["_VALUE"], F.lit("")), F.lit(VALUE_LIMIT)).alias("value"))
     return F.transform(F.slice(F.coalesce(found, F.array().cast("array<struct<_name:string,_type:string,_VALUE:string>>")), 1, PARAMETER_LIMIT), one)
 
 
 def shred_events(events: DataFrame) -> DataFrame:
-    """``event_xml`` to columns; events of other types, or without a statement, are left out."""
-    e = events.select("event_xml", F.expr("xpath_string(event_xml, 'event/@name')").alias("event_name"), F.expr("xpath_string(event_xml, 'event/@timestamp')").alias("event_time")).filter(F.col("event_name").isin(EVENT_TYPES))
-    text = F.coalesce(_field("statement"), _field("batch_text"), _field("sql_text", "action"))
-    e = e.select("event_name", "event_time", F.substring(text, 1, TEXT_LIMIT).alias("sql_text"), _field("duration").try_cast("long").alias("duration_us"), _field("cpu_time").try_cast("long").alias("cpu_us"), _field("logical_reads").try_cast("long").alias("logical_reads"), _field("object_name").alias("object_name"), _field("database_name", "action").alias("database_name"), _field("username", "action").alias("principal"), _parameters().alias("params"))
-    return e.filter("sql_text is not null")
+    """``event_xml`` to columns; events of other types, or without a statement, are left out. An event is parsed once."""
+
+    def shred(name: Column, time: Column, field) -> Column:
+        text = F.coalesce(field("statement"), field("batch_text"), field("sql_text", "action"))
+        numbers = [field(c).try_cast("long").alias(n) for n, c in (("duration_us", "duration"), ("cpu_us", "cpu_time"), ("logical_reads", "logical_reads"))]
+        texts = [field("object_name").alias("object_name"), field("database_name", "action").alias("database_name"), field("username", "action").alias("principal")]
+        row = F.struct(name.alias("event_name"), time.alias("event_time"), F.substring(text, 1, TEXT_LIMIT).alias("sql_text"), *numbers, *texts, _parameters().alias("params"))
+        return F.when(name.isin(EVENT_TYPES), row)
+
+    plain = F.col("event_xml").rlike(_PLAIN) & ~F.col("event_xml").contains("<!") & ~F.col("event_xml").contains("<?")
+    event = F.from_xml("event_xml", _EVENT, {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST"})
+    # lambdas: a parsed event is used many times, and computed once
+    parsed = F.transform(F.array(event), lambda e: shred(F.coalesce(e["_name"], F.lit("")), F.coalesce(e["_timestamp"], F.lit("")), lambda name, kind="data": _parsed_field(e, name, kind)))
+    named = F.col("event_xml").rlike("|".join(EVENT_TYPES)) | F.col("event_xml").contains("&")  # an entity may hide a name
+    path = lambda a: F.expr(f"xpath_string(event_xml, 'event/@{a}')")
+    found = F.when(plain & ~named, None).when(plain, parsed).otherwise(F.array(shred(path("name"), path("timestamp"), _field)))
+    return events.select(F.explode(F.filter(found, lambda r: r["sql_text"].isNotNull())).alias("r")).select("r.*")
 
 
 def captured(events: DataFrame, params: str = "params", name: str = "proc_name") -> DataFrame:
