@@ -187,10 +187,14 @@ def rand() -> Column:
 # --- JSON and XML ---
 
 
+def _once(x: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def json_query(doc: Column, path: str) -> Column:
     """JSON_QUERY: the object or array at a path; null for a single value or nothing."""
-    v = F.try_variant_get(F.try_parse_json(doc), path, "variant")
-    return F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.to_json(v))
+    return _once(F.try_variant_get(F.try_parse_json(doc), path, "variant"), lambda v: F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.to_json(v)))
 
 
 #: A step of a JSON path: .name, ."any name" or [index].
@@ -232,31 +236,37 @@ def json_modify(doc: Column, path: str, value: Column) -> Column:
         return F.parse_json(F.to_json(v))
 
     def put(v: Column, rest: list) -> Column:
+        """``v``: a name for a value that is computed once; so are its entries, else each step would repeat the steps before it."""
         if not rest:
             if not append:
                 return new
             longer = held(F.concat(v.try_cast("array<variant>"), F.array(new)))
             return F.when(is_a(v, "ARRAY"), longer).otherwise(missing if strict else v)
-        step, last = rest[0], len(rest) == 1 and not append
-        nowhere = missing if strict else v
+        step, nowhere = rest[0], missing if strict else v
         if isinstance(step, int):
-            items = F.when(is_a(v, "ARRAY"), v.try_cast("array<variant>"))
-            changed = held(F.transform(items, lambda x, i: F.when(i == step, put(x, rest[1:])).otherwise(x)))
-            return F.when(F.size(items) > step, changed).otherwise(nowhere)
-        keys = F.when(is_a(v, "OBJECT"), v.try_cast("map<string,variant>"))
+
+            def in_items(items: Column) -> Column:
+                changed = held(F.transform(items, lambda x, i: F.when(i == step, put(x, rest[1:])).otherwise(x)))
+                return F.when(F.size(items) > step, changed).otherwise(nowhere)
+
+            return _once(F.when(is_a(v, "ARRAY"), v.try_cast("array<variant>")), in_items)
+        return _once(F.when(is_a(v, "OBJECT"), v.try_cast("map<string,variant>")), lambda keys: in_keys(keys, step, rest, nowhere))
+
+    def in_keys(keys: Column, step: str, rest: list, nowhere: Column) -> Column:
+        last = len(rest) == 1 and not append
         others = F.map_filter(keys, lambda k, _: k != step)
         there = F.map_contains_key(keys, step)
         with_new = lambda x: held(F.map_concat(others, F.create_map(F.lit(step), x)))
         if not last:
-            deeper = F.coalesce(keys[step], null)
+            deeper = with_new(_once(F.coalesce(keys[step], null), lambda v: put(v, rest[1:])))
             if append and len(rest) == 1 and not strict:  # appending to what isn't there makes an array
-                return F.when(there, with_new(put(deeper, rest[1:]))).when(keys.isNotNull(), with_new(held(F.array(new)))).otherwise(nowhere)
-            return F.when(there, with_new(put(deeper, rest[1:]))).otherwise(nowhere)
+                return F.when(there, deeper).when(keys.isNotNull(), with_new(held(F.array(new)))).otherwise(nowhere)
+            return F.when(there, deeper).otherwise(nowhere)
         gone = with_new(null) if strict else held(others)
         changed = F.when(value.isNull(), gone).otherwise(with_new(new))
         return F.when(there if strict else keys.isNotNull(), changed).otherwise(nowhere)
 
-    return F.to_json(put(F.try_parse_json(doc), steps))
+    return F.to_json(_once(F.try_parse_json(doc), lambda v: put(v, steps)))
 
 
 #: Type numbers of OPENJSON.

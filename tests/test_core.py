@@ -216,3 +216,12 @@ def test_statements_stream_in_once(spark, tmp_path):
     stamped = lambda df: df.select("ts", F.sha2("event_xml", 256).alias("fingerprint"))
     once = streamed(spark, lambda df: X.without_repeats(stamped(df)), X.read_stream(spark, str(tmp_path / "xml"), batch.schema), tmp_path, "once", "append")
     assert once.count() == X.without_repeats(stamped(batch)).count() == batch.select("event_xml").distinct().count() < batch.count()
+
+
+def test_json_modify_parses_a_document_once(spark):
+    """However deep the path, the plan names the parse of the document once; else each step repeats the steps before it."""
+    df = spark.createDataFrame([('{"a":{"b":{"c":{"d":[1,{"e":2}]}}}}',)], "doc string")
+    out = df.select(X_.json_modify(F.col("doc"), "$.a.b.c.d[1].e", F.lit(7)).alias("m"))
+    assert out.first().m == '{"a":{"b":{"c":{"d":[1,{"e":7}]}}}}'
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("doc#") <= 3 and len(plan) < 20_000
