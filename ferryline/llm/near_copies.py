@@ -12,10 +12,14 @@ trie is a bucket, and is compared by its whole sets:
 1. texts with equal sets are one class from the start;
 2. each class is compared with one of its own fingerprint in each lane, and
    those with one of their bucket, so that many copies are linked in one go;
-3. in buckets that the links so far leave apart, texts are joined at rare
+3. in buckets that the links so far leave apart, texts meet at rare
    shingles: each text's shingles stand in one order, rare ones first, and a
-   pair that shares 0.8 must share one of its first fifth. Where lengths, and
-   the places at which they meet, rule a pair out, it is not made.
+   pair that shares 0.8 must share one of its first fifth. Where these lists
+   would make more pairs than they have rows, texts are first compared with
+   some of each of their lists, in turns, which links large groups by about as
+   many pairs as the lists have rows; then all pairs of texts that are still
+   apart are made. Where lengths, and the places at which they meet, rule a pair out, it
+   is not made.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ LANES = 8
 SPEND = [(10, 0), (14, 1), (18, 2), (22, 3), (26, 4), (38, 7), (51, 9), (64, 11)]
 #: Every eighth bit, and how many shingles can be added up in such bytes.
 _EIGHTH, _MOST = np.uint64(0x0101010101010101), 255
+#: Texts of a list that others are compared with in a turn, at most. Turns go on while each leaves at most this share of the pairs that the lists would make.
+HEADS, FALLS = 64, 0.75
 
 
 def simhashes(code: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -130,30 +136,63 @@ def _alike(share: float):
     return run
 
 
-def rare_pairs(sets: DataFrame, roots: DataFrame, share: float) -> DataFrame:
-    """Pairs (a, b) of ``sets`` (th, n, s) under different ``roots`` (th, root) that can share ``share`` of their shingles; none that does is left out.
+def _both(n_x, n_y, share: float):
+    """Shingles that two sets of these sizes must share."""
+    return F.ceil((n_x + n_y) * (share / (1 + share)) - 1e-9)
 
-    The order of shingles is by the number of sets that hold them, then hash. A
-    shingle of one set alone meets nothing, but takes its place in the order.
+
+def rare_lists(sets: DataFrame, share: float) -> DataFrame:
+    """The shingles h at which a text of ``sets`` (th, n, s) must meet those that it can share ``share`` of its shingles with.
+
+    Returns h, th, n, alone (shingles that no other set holds), rest (how many
+    of those that others hold follow, h included) and even (whether that is
+    enough for a set of its own size). The order of shingles is by the number
+    of sets that hold them, then hash. A shingle of one set alone meets
+    nothing, but takes its place in the order.
     """
     rows = stage(sets.select("th", "s").mapInArrow(_shingles, "th long, h long"), "shingles")
     often = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     often = stage(often.withColumn("df", F.col("n")), "common")
     common = met_by_count(rows, often, ["h"], rows.count()).groupBy("th").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))  # one text's shingles
-    own = common.join(sets.select("th", "n"), "th").join(roots, "th").withColumn("alone", F.col("n") - F.size("hs"))
+    own = common.join(sets.select("th", "n"), "th").withColumn("alone", F.col("n") - F.size("hs"))
     first = F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - F.col("alone")
-    own = own.filter(first > 0).select("th", "n", "root", "alone", F.posexplode(F.slice("hs", 1, F.greatest(first, F.lit(1)).cast("int"))).alias("i", "x"))
-    posted = stage(own.select(F.col("x.h").alias("h"), "th", "n", "root", (F.col("n") - F.col("alone") - F.col("i")).alias("rest")), "rare")
-    # in each list, texts outside its largest group meet all others: what links already connect is not tried again
-    counted = posted.groupBy("h", "root").agg(F.count("*").alias("m"))
-    most = counted.groupBy("h").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("h", F.col("most.root").alias("most"))
-    odd = posted.join(most, "h").filter("root != most")
-    x, y = (df.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("th", "n", "root", "rest")]) for k, df in (("x", odd), ("y", posted)))
-    both = F.ceil((F.col("n_x") + F.col("n_y")) * (share / (1 + share)) - 1e-9)  # shingles that both must hold
-    can = (F.col("root_x") != F.col("root_y")) & (F.least("rest_x", "rest_y") >= both)
+    own = own.filter(first > 0).select("th", "n", "alone", F.posexplode(F.slice("hs", 1, F.greatest(first, F.lit(1)).cast("int"))).alias("i", "x"))
+    own = own.select(F.col("x.h").alias("h"), "th", "n", "alone", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"))
+    return stage(own.withColumn("even", F.col("rest") >= _both(F.col("n"), F.col("n"), share)), "rare")
+
+
+def mixed_lists(posted: DataFrame) -> DataFrame:
+    """h of each list of ``posted`` (as of ``rare_lists``, with root) that holds several roots, its largest root (most), its rows n, and its even rows in all and outside that root (evens, odd)."""
+    each = posted.groupBy("h", "root").agg(F.count("*").alias("m"), F.count_if("even").alias("e"))
+    by = each.groupBy("h").agg(F.count("*").alias("roots"), F.sum("m").alias("n"), F.sum("e").alias("evens"), F.max(F.struct("m", "root", "e")).alias("top")).filter("roots > 1")
+    return stage(by.select("h", F.col("top.root").alias("most"), "n", "evens", (F.col("evens") - F.col("top.e")).alias("odd")), "lists")
+
+
+def _meet(x: DataFrame, y: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of texts that stand in one list under different roots, and can share ``share`` by their sizes and by what follows in both."""
+    x, y = (df.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("th", "n", "root", "rest")]) for k, df in (("x", x), ("y", y)))
+    can = (F.col("root_x") != F.col("root_y")) & (F.least("rest_x", "rest_y") >= _both(F.col("n_x"), F.col("n_y"), share))
     return x.join(y, (x["h"] == y["h"]) & can).select(F.least("th_x", "th_y").alias("a"), F.greatest("th_x", "th_y").alias("b")).distinct()
 
 
+def head_pairs(posted: DataFrame, lists: DataFrame, heads: int, turn: int, share: float) -> DataFrame:
+    """Pairs (a, b) of the texts outside the largest root of each of ``lists`` with some of the list's texts, ``heads`` at most.
+
+    Those are of the list's parts by hash, in each turn others, and from each
+    part the text with the fewest shingles of its own: many copies are near it.
+    """
+    posted = posted.filter("even").join(lists.select("h", "most"), "h")
+    part = F.pmod(F.xxhash64("th", F.lit(turn)), F.lit(heads))
+    head = posted.groupBy("h", part.alias("part")).agg(F.min(F.struct("alone", "th", "n", "root", "rest")).alias("head")).select("h", "head.*")
+    return _meet(posted.filter("root != most"), head, share)
+
+
+def rare_pairs(posted: DataFrame, lists: DataFrame, share: float) -> DataFrame:
+    """All pairs (a, b) of ``posted`` under different roots that can share ``share`` of their shingles; none that does is left out."""
+    # in each list, texts outside its largest group meet all others: what links already connect is not tried again
+    return _meet(posted.join(lists.select("h", "most"), "h").filter("root != most"), posted, share)
+
+
 def near_groups(docs: DataFrame, share: float = 0.8, shingle: int = 5, text_col: str = "text", leaf: int = 1024) -> DataFrame:
     """th, root and copies of each distinct text: its hash, the smallest hash that links of at least ``share`` reach, and how many rows have the text.
 
@@ -195,10 +234,21 @@ def near_groups(docs: DataFrame, share: float = 0.8, shingle: int = 5, text_col:
     # a bucket of two has been compared; where more are not all linked, pairs besides the heads' may be near
     split = member.join(spread, ["lane", "fp"]).groupBy("lane", "bucket").agg(F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("m > 2 and lo != hi").select("lane", "bucket")
     apart = member.join(split, ["lane", "bucket"]).select("lane", "fp").unionByName(spread.filter("m > 2 and lo != hi").select("lane", "fp")).distinct()
-    left = met.join(apart, ["lane", "fp"]).select(F.col("rep").alias("th"), "root").distinct()
-    rest = stage(rare_pairs(sets.join(left.select("th"), "th", "left_semi"), left, share).join(tried, ["a", "b"], "left_anti"), "compared")
+    left = stage(met.join(apart, ["lane", "fp"]).select(F.col("rep").alias("th")).distinct(), "left")
+    posted = rare_lists(sets.join(left, "th", "left_semi"), share)
+    total, turn, before = posted.count(), 0, None
+    while True:
+        now = stage(posted.join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "rooted")
+        lists = mixed_lists(now)
+        odd, pairs = lists.agg(F.sum("odd"), F.sum(F.col("odd").cast("double") * F.col("evens"))).first()
+        if (pairs or 0) <= total or before and pairs > before * FALLS:
+            break
+        some = stage(head_pairs(now, lists, min(max(total // odd, 1), HEADS), turn, share).join(tried, ["a", "b"], "left_anti"), "compared")
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(some)))
+        tried, turn, before = tried.unionByName(some), turn + 1, pairs
+    rest = stage(rare_pairs(now, lists, share).join(tried, ["a", "b"], "left_anti"), "compared")
     if not rest.isEmpty():
-        roots = components(links.unionByName(verified(rest)))
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(rest)))
     group = classes.select(*same, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("root"))
     each = slim.groupBy("th", *same).agg(F.count("*").alias("copies"))
     return each.join(group, same).select("th", "root", "copies")
