@@ -81,18 +81,24 @@ def resolve_objects(statements: DataFrame, objects: DataFrame, sql_col: str = "s
     """The statements and object_name: the first object (by ordinal) whose body contains the text, else null.
 
     ``objects``: ordinal (each once), object_name, body. Each different text is
-    looked up once. A body that contains a text has all of its marks: the rarest
-    of them leads a text to the bodies to compare it with. Bodies are tried in
-    blocks, in order of their ordinals; a text that is found goes no further, so
-    one that all bodies hold meets a first block only. Blocks grow, so their
-    number follows the logarithm of the objects'. Texts of under
-    ``LEAST_CHARS`` characters, and null ones, get none.
+    looked up once, and of equal bodies the first stands for all. A body that
+    contains a text has all of its marks: the rarest of them leads a text to the
+    bodies to compare it with. Bodies are tried in blocks, in order of their
+    ordinals; a text that is found goes no further, so one that all bodies hold
+    meets a first block only. Blocks grow, so their number follows the logarithm
+    of the bodies'. Texts of under ``LEAST_CHARS`` characters, and null ones,
+    get none. Statements meet their text by two hashes, as in ``tagged``.
     """
-    s = statements.withColumn("_text", one_line(F.col(sql_col)))
-    bodies = objects.filter("body is not null").select("ordinal", "object_name", one_line(F.col("body")).alias("_body"))
-    bodies = written(numbered(bodies, [F.asc("ordinal")], "no", "all"))
+    named = {"_a": F.xxhash64(sql_col), "_b": F.xxhash64(F.lit(1), sql_col)}
+    # written, else lines would be made for each statement and object, and again wherever they are filtered
+    texts = written(statements.select(F.col(sql_col).alias("_sql")).distinct())
+    texts = written(texts.select(F.xxhash64("_sql").alias("_a"), F.xxhash64(F.lit(1), "_sql").alias("_b"), one_line(F.col("_sql")).alias("_text")))
+    first = F.min(F.struct("ordinal", "object_name")).alias("o")
+    bodies = written(objects.filter("body is not null").groupBy("body").agg(first))
+    bodies = bodies.select("o", one_line(F.col("body")).alias("_body")).groupBy("_body").agg(F.min("o").alias("o"))
+    bodies = written(numbered(bodies.select("o.*", "_body"), [F.asc("ordinal")], "no", "all"))
     keys = written(_marked(bodies, "_body").select("no", F.explode("_marks").alias("key")))
-    ways = _marked(s.select("_text").distinct(), "_text").select("_text", F.size("_marks").alias("all"), F.explode("_marks").alias("key"))
+    ways = _marked(texts.select("_text").distinct(), "_text").select("_text", F.size("_marks").alias("all"), F.explode("_marks").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("no").alias("last"))
     rarest = ways.join(often, "key").groupBy("_text").agg(F.count("*").alias("met"), F.max("all").alias("all"), F.min(F.struct("n", "key", "last")).alias("k"))
     left = written(rarest.filter("met = all").select("_text", "k.key", "k.last"))
@@ -104,7 +110,8 @@ def resolve_objects(statements: DataFrame, objects: DataFrame, sql_col: str = "s
         hit = found.add(near.groupBy("_text").agg(F.min_by("object_name", "no").alias("object_name")))
         low, size = low + size, size * LARGER
         left = written(left.filter(F.col("last") > low).join(hit, "_text", "left_anti"))
-    return s.join(found.read(), "_text", "left").drop("_text")
+    named_texts = written(texts.join(found.read(), "_text").select("_a", "_b", "object_name"))
+    return statements.withColumns(named).join(named_texts, ["_a", "_b"], "left").drop("_a", "_b")
 
 
 def object_inventory(resolved: DataFrame, objects: DataFrame) -> DataFrame:
